@@ -59,7 +59,7 @@ def spans_of(text: str, prefix: str, match: str, gate: str = "true") -> str:
     pattern = ("\\G(" + prefix + ")(" + match + ")").replace("\\", "\\\\").replace("'", "\\'")
     part = f"regexp_extract_all({text}, '{pattern}', %d)"
     return f"""CASE WHEN {gate} THEN aggregate(
-        arrays_zip({part % 1} AS p, {part % 2} AS m),
+        zip_with({part % 1}, {part % 2}, (p, m) -> named_struct('p', p, 'm', m)),
         named_struct('a', CAST(array() AS array<struct<s:int,e:int,v:string>>), 'at', 0),
         (acc, x) -> named_struct(
             'a', concat(acc.a, array(named_struct('s', acc.at + length(x.p), 'e', acc.at + length(x.p) + length(x.m), 'v', x.m))),

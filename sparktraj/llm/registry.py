@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from sparktraj.llm import quality_rules
+from sparktraj.llm import quality_rules, secret_scan
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, secret_scan)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
