@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
+#: Bytes of text that Python code takes at a time; a longer single text is taken alone.
+SLICE_BYTES = 4_000_000
+
 
 @functools.cache
 def _own_dir() -> str:
@@ -35,10 +42,54 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_fs(uri: str):
+    """(pyarrow file system, path in it) of a folder that all machines share; local files are memory-mapped on reading."""
+    import pyarrow.fs as fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        path = uri.removeprefix("file:")
+        return fs.LocalFileSystem(use_mmap=True), "/" + path.lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose Python workers find this package where it lies in the same folder; elsewhere ship it with --py-files."""
+    env = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
+    return df.mapInArrow(fn, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in order, in batches of at most ``most`` bytes of text each, one row at least.  Nulls in ``text`` become ''."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        k = b.schema.get_field_index(text)
+        col = pc.fill_null(b.column(k), "")
+        b = b.set_column(k, text, col)
+        total = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(b):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def docs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str | Column) -> DataFrame:
+    """Only the columns that an operator reads, under its own names; other columns and clashing names are left behind."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in more.items()))
+
+
+def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
+    return docs.select(id_col).schema[0].dataType.simpleString()
+
+
 def crc_fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % mod
