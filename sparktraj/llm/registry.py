@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from sparktraj.llm import quality_rules, secret_scan
+from sparktraj.llm import bpe, chosen_path, matroska, packing, quality_rules, secret_scan, token_files
 
-_MODULES = (quality_rules, secret_scan)
+_MODULES = (secret_scan, matroska, token_files, packing, chosen_path, quality_rules, bpe)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
