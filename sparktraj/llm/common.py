@@ -101,18 +101,21 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_CLASS + "+"))
 
 
-def spans_of(text: str, prefix: str, match: str, gate: str = "true") -> str:
-    """SQL for the leftmost non-overlapping matches in column ``text``: array<struct<s, e, v>> in code points, end exclusive.
+def spans_of(text: str, prefix: str, match: str, gate: str = "true", context: int = 0) -> str:
+    """SQL for the leftmost non-overlapping matches in column ``text``: array<struct<s, e, v, c>> in code points, end exclusive.
 
     ``prefix`` must take what lies before the next match and never what a match would begin with; with the anchor to the
-    end of the previous match the scan is linear in the text.  ``gate`` is a cheap necessary condition.
+    end of the previous match the scan is linear in the text.  ``gate`` is a cheap necessary condition.  ``c`` is what stands
+    before the match, back to the previous one, ``context`` characters at most.
     """
     pattern = ("\\G(" + prefix + ")(" + match + ")").replace("\\", "\\\\").replace("'", "\\'")
-    part = f"regexp_extract_all({text}, '{pattern}', %d)"
+    part = lambda k: f"regexp_extract_all({text}, '{pattern}', {k})"
+    kind = "CAST(array() AS array<struct<s:int,e:int,v:string,c:string>>)"
+    before = f"right(x.p, {context})" if context else "''"
     return f"""CASE WHEN {gate} THEN aggregate(
-        zip_with({part % 1}, {part % 2}, (p, m) -> named_struct('p', p, 'm', m)),
-        named_struct('a', CAST(array() AS array<struct<s:int,e:int,v:string>>), 'at', 0),
+        zip_with({part(1)}, {part(2)}, (p, m) -> named_struct('p', p, 'm', m)),
+        named_struct('a', {kind}, 'at', 0),
         (acc, x) -> named_struct(
-            'a', concat(acc.a, array(named_struct('s', acc.at + length(x.p), 'e', acc.at + length(x.p) + length(x.m), 'v', x.m))),
+            'a', concat(acc.a, array(named_struct('s', acc.at + length(x.p), 'e', acc.at + length(x.p) + length(x.m), 'v', x.m, 'c', {before}))),
             'at', acc.at + length(x.p) + length(x.m)),
-        acc -> acc.a) ELSE CAST(array() AS array<struct<s:int,e:int,v:string>>) END"""
+        acc -> acc.a) ELSE {kind} END"""
