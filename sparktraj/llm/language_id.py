@@ -101,8 +101,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Prof
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score ((1 + cosine) / 2), n_letters, and the columns ``keep`` as they are."""
-    names = ["doc_id", "lang_pred", "score", "n_letters", *keep]
+    """doc_id, lang_pred, score ((1 + cosine) / 2), n_letters, and the columns ``keep`` as _keep_0 and so on."""
+    names = ["doc_id", "lang_pred", "score", "n_letters", *(f"_keep_{k}" for k in range(len(keep)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -124,10 +124,10 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
                 best += [profiles.languages[k] if ok else "und" for k, ok in zip(top, known)]
                 score += [float(min(1, max(0, (1 + c[k]) / 2))) if ok else 0.0 for c, k, ok in zip(cosine, top, known)]
             letters = [int(np.count_nonzero(_symbols()[np.frombuffer(t.encode("utf-32-le"), "<u4")])) for t in texts]
-            yield pa.record_batch([b.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64()), *(b.column(f"_{k}") for k in range(len(keep)))], names=names)
+            yield pa.record_batch([b.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64()), *(b.column(f"_keep_{k}") for k in range(len(keep)))], names=names)
 
-    d = docs_of(docs, id_col, text_col, **{f"_{k}": c for k, c in enumerate(keep)})
-    kept = "".join(f", `{c}` {docs.select(c).schema[0].dataType.simpleString()}" for c in keep)
+    d = docs_of(docs, id_col, text_col, **{f"_keep_{k}": c for k, c in enumerate(keep)})
+    kept = "".join(f", _keep_{k} {docs.select(c).schema[0].dataType.simpleString()}" for k, c in enumerate(keep))
     return arrow_map(d, run, f"doc_id {id_type(docs, id_col)}, lang_pred string, score double, n_letters long{kept}")
 
 

@@ -68,15 +68,16 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
     return verdict
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: id, counts, base_failed and kept.  See the module's docstring for the edge cases.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, counts, base_failed and kept, then the columns ``keep`` as _keep_0 and so on.  See the module's docstring for the edge cases.
 
     Words in repeated 3-word windows are found per row: 44 bits of each window's hash and its position are packed into a
     long, neighbours after a sort are the candidates, and only those are compared as words.  Texts of over 2**20 words take
     every window as a candidate.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    d = d.select("doc_id", "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "").alias("_l"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *(F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)))
+    kept = [f"_keep_{k}" for k in range(len(keep))]
+    d = d.select("doc_id", "_t", *kept, words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "").alias("_l"))
     stops = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
     d = d.withColumns({
         "n_words": F.size("_w").cast("long"),
@@ -97,7 +98,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.withColumn("_q", F.expr(f"transform(filter(_e, (x, i) -> {same.format('-')} OR {same.format('+')}), x -> x.p)"))
     d = d.withColumn("n_repeat_words", F.expr("CAST(size(array_distinct(flatten(transform(_q, p -> array(p, p + 1, p + 2))))) AS bigint)"))
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & compiled(rules)).alias("kept"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & compiled(rules)).alias("kept"), *kept)
 
 
 def op8_quality_rules(spark, sf_dir):
