@@ -13,6 +13,7 @@ result; only the id and text columns are read.  A special token's string in a te
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
@@ -23,20 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sparktraj.llm.chunks import SPACES, ChunkEncoder
+from sparktraj.llm.chunks import SPACES, ChunkEncoder, byte_letters
 from sparktraj.llm.common import arrow_map, docs_of, id_type, read, slices
 
 #: Pairs whose compatibility a worker remembers.
 PAIRS = 400_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Bpe:
     """A byte-level vocabulary with its merges, from a tokenizer file."""
 
@@ -47,7 +41,7 @@ class Bpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letter = byte_letters()
+        letter = {c: b for b, c in byte_letters().items()}
         to_bytes = lambda s: bytes(map(letter.__getitem__, s))
         vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -150,22 +144,22 @@ class Bpe:
                 less = shorter[token]
             token = less
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and offsets."""
-        out: list[int] = []
-        cut = [0]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        out = []
         words: dict[str, list[int]] = {}
         for text in texts:
+            ids: list[int] = []
             for k, part in enumerate(self._at_special.split(text) if self._at_special and any(s in text for s in self.special) else [text]):
                 if k % 2:
-                    out.append(self.special[part])
+                    ids.append(self.special[part])
                     continue
                 for w in self._split.findall(part):
                     if (got := words.get(w)) is None:
                         got = words[w] = self.encode_word(w.encode())
-                    out += got
-            cut.append(len(out))
-        return np.array(out, "<u4"), np.array(cut)
+                    ids += got
+            out.append(array.array("I", ids).tobytes())
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that are not UTF-8 become U+FFFD."""

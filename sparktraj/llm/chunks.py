@@ -7,6 +7,7 @@ the tokenizer's pre-tokenization, so each of the two kinds of vocabulary has its
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,38 +27,50 @@ class Cutter:
     unsafe: str
 
 
-def _before_spaces(texts: pa.Array) -> pa.ListArray:
+def _spaces(texts: pa.Array) -> pa.ListArray:
+    texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])", "\\1\x00\\2")
+    texts = pc.replace_substring_regex(texts, r"\n([A-Za-z])", "\x00\n\x00\\1")
     return pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
 
 
-#: The tokenizer drops white space: words between ASCII white space are independent.
-WORDS = Cutter(pc.ascii_split_whitespace, r"\A\z.")
-#: A space begins a token if white space doesn't stand on both its sides: each space can begin a chunk.
-SPACES = Cutter(_before_spaces, r"\x00|" + _ANY_WS + " (" + _ANY_WS + r"|\z)")
+def _words(texts: pa.Array) -> pa.ListArray:
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2"))
+
+
+#: The tokenizer lowers and drops white space: words between ASCII white space are independent, and punctuation after a letter is too.
+#: Special tokens are found before letters are lowered, so what may hold one is left whole.
+WORDS = Cutter(_words, r"<\|")
+#: A space or line end begins a token if white space doesn't stand on both its sides; a full stop or comma after a letter does always.
+SPACES = Cutter(_spaces, r"\x00|" + _ANY_WS + r"[ \n](" + _ANY_WS + r"|\z)")
 
 
 class ChunkEncoder:
-    """``encode``: list of chunks or whole texts -> (all ids, offsets).  ``limit`` bounds the chunks kept in memory."""
+    """``encode``: list of chunks or whole texts -> little-endian 32-bit ids of each.
 
-    def __init__(self, cutter: Cutter, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
+    Chunks met lately are kept, ``limit`` at most in each of two generations: when the younger is full, the older goes.
+    """
+
+    def __init__(self, cutter: Cutter, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000):
         self.cutter, self.encode, self.limit = cutter, encode, limit
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _look_up(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        found = list(map(known.get, chunks))
-        new = [i for i, x in enumerate(found) if x is None]
-        if len(known) + len(new) > self.limit:
-            known.clear()
+        young, old = self.young, self.old
+        found = list(map(young.get, chunks))
+        new = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (x := old.get(chunks[i])) is None:
+                new.append(i)
+            else:
+                found[i] = young[chunks[i]] = x
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             words = [chunks[i] for i in part]
-            ids, cut = self.encode(words)
-            raw, cut = ids.astype("<u4").tobytes(), (cut * 4).tolist()
-            for k, i in enumerate(part):
-                found[i] = raw[cut[k] : cut[k + 1]]
-            if len(known) < self.limit:
-                known.update(zip(words, (found[i] for i in part)))
+            if len(young) + len(part) > self.limit:
+                self.old, self.young = young, (young := {})
+            for i, word, ids in zip(part, words, self.encode(words)):
+                found[i] = young[word] = ids
         return found
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -72,7 +85,7 @@ class ChunkEncoder:
                 continue
             if whole:
                 for i in rows.tolist():
-                    out[i] = self.encode([texts[i].as_py()])[0].astype("<u4")
+                    out[i] = np.frombuffer(self.encode([texts[i].as_py()])[0], "<u4")
                 continue
             lists = self.cutter.cut(texts.filter(keep))
             flat = lists.flatten().dictionary_encode()
@@ -90,20 +103,63 @@ class ChunkEncoder:
         return out
 
 
-def by_library(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encoding with the tokenizers library: each string as a text of its own, without special tokens being added."""
+def by_library(path: str, alone: Callable[[str], str | None]) -> Callable[[list[str]], list[bytes]]:
+    """Encoding with the tokenizers library: each string as a text of its own, without special tokens being added.
+
+    ``alone`` gives, for a string that normalization leaves as it is and that is one word, the symbols that the model sees; such
+    words go straight to the model.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    model = Tokenizer(whole.model)
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def each(tok: Tokenizer, words: list[str]) -> list[bytes]:
         e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-        return ids, np.searchsorted(word, np.arange(len(words) + 1))
+        raw = np.array(e.ids, "<u4").tobytes()
+        cut = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1)) * 4).tolist()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+    def encode(words: list[str]) -> list[bytes]:
+        symbols = list(map(alone, words))
+        out = iter(each(model, [x for x in symbols if x is not None]))
+        rest = iter(each(whole, [w for w, x in zip(words, symbols) if x is None]))
+        return [next(rest if x is None else out) for x in symbols]
 
     return encode
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
+
+
+def byte_word(chunk: str) -> str | None:
+    """For a byte-level vocabulary: letters, maybe after one space, are one word."""
+    word = chunk[1:] if chunk[:1] == " " else chunk
+    if not word.isalpha():
+        return None
+    if chunk.isascii():
+        return chunk.replace(" ", _LETTERS[32])
+    return "".join(map(_LETTERS.__getitem__, chunk.encode()))
+
+
+def lower_word(chunk: str) -> str | None:
+    """For a vocabulary of lowered words: lower-case letters in composed form are one word."""
+    if not chunk.isalpha():
+        return None
+    if chunk.isascii():
+        return chunk if chunk.islower() else None
+    if chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
+        return "".join(map(_LETTERS.__getitem__, chunk.encode()))
+    return None

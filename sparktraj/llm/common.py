@@ -18,7 +18,7 @@ WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
 #: Bytes of text that Python code takes at a time; a longer single text is taken alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 8_000_000
 
 
 @functools.cache
