@@ -5,8 +5,10 @@
 2. A run samples tokens, each with probability 1 / (similarity * COORDS), and classes that share a sampled token meet in a
    bucket.  Buckets over ``LEAF`` are split again on newly sampled tokens, ``DEPTH`` times at most.  Runs are repeated until
    a pair at the threshold is found with the target recall.
-3. Small buckets are brute-forced on the embedding; what is still large at the last level shares so many sampled tokens that
-   all of it is taken as candidates.  Connected candidates form a *candidate cluster*.
+3. Small buckets are brute-forced on the embedding.  In a large one all classes are compared with a pivot: those near it are its
+   candidates, and only what could still have a partner among classes that aren't near is split further.  What is large at
+   the last level shares so many sampled tokens that all of it is taken as candidates.  Connected candidates form a
+   *candidate cluster*.
 4. Within each candidate cluster all pairs are compared by their exact sets, in blocks of ``BLOCK`` classes; links are counted and
    never listed.  Each block returns, for a class, its number of links and the least class that it is connected to.
 
@@ -32,13 +34,15 @@ from pyspark.sql import functions as F
 from sparktraj.llm.common import arrow_map, docs_of, id_type, read, slices, stage
 
 COORDS = 64
-LEAF = 200
+LEAF = 1000
 DEPTH = 4
 BLOCK = 3000
 #: Chance that one run brings a pair at the threshold together, for buckets split to the last level (a critical branching process).
 RUN_FINDS = 0.35
-#: Rows of the table of clustered classes up to which it is broadcast; a row has a digest of 32 letters twice and four numbers.
-BROADCAST_ROWS = 250_000
+#: On the embedding, candidates are this much below the threshold; classes this close to a pivot have no partner that isn't its candidate.
+SLACK, CLOSE = 0.2, 0.88
+#: Rows up to which the table of clustered classes (a digest and four numbers) or of pivots (an embedding) is broadcast.
+BROADCAST_ROWS = 100_000
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, COORDS), dtype=np.uint64) | np.uint64(1)
 
@@ -50,12 +54,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's word n-grams; of all its words if they are fewer; none without words."""
+    """The sorted distinct 64-bit hashes of each trimmed text's word n-grams; of all its words if they are fewer; none without words."""
     import xxhash
 
     lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten().dictionary_encode()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))[words.indices.to_numpy()]
+    blank = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)[words.indices.to_numpy()]
     cut = np.diff(lists.offsets.to_numpy(), prepend=lists.offsets[0].as_py()).cumsum().tolist()
     grams = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for k in range(n):
@@ -63,8 +68,9 @@ def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     grams = _mixed(grams)
     out = []
     for a, b in zip(cut[:-1], cut[1:]):
-        # A text may begin with white space, which gives an empty first word.
-        if b - a >= n:
+        if b - a == 1 and blank[a]:  # a trimmed text without words is split into one empty word
+            out.append(np.empty(0, np.uint64))
+        elif b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
             out.append(_mixed(np.array([int.from_bytes(xxhash.xxh64_digest(hashes[a:b].tobytes()), "big")], np.uint64)))
@@ -107,7 +113,7 @@ def runs_for(recall: float) -> int:
 
 
 def _paths(similarity: float, level: int, roots: tuple[tuple[int, int], ...] = ()):
-    """Rows (key, sig[, node]) -> (key, sig, node): the buckets of the next level that a class falls in."""
+    """Rows (cls, sig[, node]) -> (cls, node): the buckets of the next level that a class falls in."""
     most = int(2**32 / (similarity * COORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,21 +121,28 @@ def _paths(similarity: float, level: int, roots: tuple[tuple[int, int], ...] = (
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, COORDS).astype(np.uint64)
             if roots:
                 r = np.repeat(np.arange(len(sig)), len(roots))
-                run_, c = (np.tile(np.array(x), len(sig)) for x in zip(*roots))
-                seed = run_.astype(np.uint64)
+                seed, c = (np.tile(np.array(x), len(sig)) for x in zip(*roots))
+                seed = seed.astype(np.uint64)
             else:
                 node = b.column("node").to_numpy().view(np.uint64)
                 draw = _mixed(node[:, None] + np.arange(1, COORDS + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)
                 r, c = np.nonzero(draw < most)
                 seed = node[r]
             node = _mixed(_mixed(seed * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(level << 20)) + sig[r, c]).view(np.int64)
-            for at in range(0, len(r), 20_000):
-                k = pa.array(r[at : at + 20_000])
-                yield pa.record_batch([b.column("key").take(k), b.column("sig").take(k), pa.array(node[at : at + 20_000])], names=["key", "sig", "node"])
+            cls = b.column("cls").to_numpy()[r]
+            for at in range(0, len(r), 50_000):
+                yield pa.record_batch([pa.array(cls[at : at + 50_000]), pa.array(node[at : at + 50_000])], names=["cls", "node"])
 
     return run
 
 
+def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the share of equal tokens with the bucket's pivot."""
+    for b in batches:
+        own, other = (np.frombuffer(b"".join(b.column(x).to_pylist()), "<u4").reshape(-1, COORDS) for x in ("sig", "pivot_sig"))
+        yield pa.record_batch([*(b.column(x) for x in ("cls", "sig", "node", "pivot")), pa.array((own == other).mean(axis=1))], names=["cls", "sig", "node", "pivot", "share"])
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by ``by``, in tables of whole groups, with the places where groups begin and the end."""
     kept: list[pa.RecordBatch] = []
@@ -170,7 +183,7 @@ def _leaf_edges(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cut in _sorted_groups(batches, "node"):
-            key = t["key"].combine_chunks()
+            cls = t["cls"].to_numpy()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, COORDS)
             size = np.diff(cut)
             row = np.arange(len(sig))
@@ -190,51 +203,63 @@ def _leaf_edges(least: float):
             label = _spread(label, np.concatenate(links_a), np.concatenate(links_b))
             k = np.flatnonzero(label != row)
             if len(k):
-                yield pa.record_batch([key.take(pa.array(k)), key.take(pa.array(label[k]))], names=["a", "b"])
+                yield pa.record_batch([pa.array(cls[k]), pa.array(cls[label[k]])], names=["a", "b"])
 
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has at most ``BROADCAST_ROWS`` rows, else joined as the engine likes.  ``df`` is staged."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def candidate_edges(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Edges (a, b) between text classes; connected ones are candidates.  ``classes``: key, sig."""
+    """Edges (a, b) between text classes; connected ones are candidates.  ``classes``: cls, sig."""
     chance, rng, roots = 1 / (similarity * COORDS), np.random.default_rng(11), []
     for k in range(runs_for(recall)):
         chosen = np.flatnonzero(rng.random(COORDS) < chance).tolist() or [int(rng.integers(COORDS))]
         roots += [(k, c) for c in chosen]
     at, found = classes, []
     for level in range(DEPTH):
-        rows = arrow_map(at, _paths(similarity, level, tuple(roots) if level == 0 else ()), "key string, sig binary, node long")
+        rows = stage(arrow_map(at, _paths(similarity, level, tuple(roots) if level == 0 else ()), "cls long, node long"), f"paths{level}")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = stage(rows.join(sizes, "node"), f"buckets{level}")
-        small = sized.where(F.col("n") <= LEAF).select("key", "sig", "node")
-        # What neither node nor sig tells apart needs no order: a bucket's classes are distinct.
-        found.append(arrow_map(small.repartition("node").sortWithinPartitions("node", "key"), _leaf_edges(similarity - 0.2), "a string, b string"))
-        at = sized.where(F.col("n") > LEAF).select("key", "sig", "node")
-        if level == DEPTH - 1 or at.isEmpty():
+        sized = stage(rows.join(sizes, "node").join(classes, "cls"), f"buckets{level}")
+        small = sized.where(F.col("n") <= LEAF).select("cls", "sig", "node")
+        found.append(arrow_map(small.repartition("node").sortWithinPartitions("node", "cls"), _leaf_edges(similarity - SLACK), "a long, b long"))
+        large = sized.where(F.col("n") > LEAF)
+        if large.isEmpty():
+            break
+        if level == DEPTH - 1:
+            pivots = stage(large.groupBy("node").agg(F.min("cls").alias("b")), "pivots")
+            found.append(large.join(_small(pivots), "node").where("cls <> b").select(F.col("cls").alias("a"), "b"))
             break
-    first = at.groupBy("node").agg(F.min("key").alias("b"))
-    found.append(at.select("node", F.col("key").alias("a")).join(first, "node").where("a <> b").select("a", "b"))
+        pivots = stage(large.groupBy("node").agg(F.min(F.struct("cls", "sig")).alias("p")).selectExpr("node", "p.cls AS pivot", "p.sig AS pivot_sig"), "pivots")
+        shared = stage(arrow_map(large.join(_small(pivots), "node").select("cls", "sig", "node", "pivot", "pivot_sig"), _to_pivot, "cls long, sig binary, node long, pivot long, share double"), "shared")
+        found.append(shared.where((F.col("share") >= similarity - SLACK) & (F.col("cls") != F.col("pivot"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        mixed = shared.groupBy("node").agg(F.min("share").alias("least")).where(F.col("least") < similarity - SLACK).select("node")
+        at = shared.where(F.col("share") < CLOSE).select("cls", "sig", "node").join(mixed, "node")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return stage(out.distinct(), "candidates")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars: node, label (the least node), for all nodes of edges.
 
     No node's neighbours are gathered: each step is a minimum per node and a join back, and nodes with very many neighbours are
-    split by the engine as skewed.
+    split by the engine as skewed.  What comes out of a step is keyed by nodes that have few rows, so it's dealt out once by them and
+    made distinct, reduced and joined there.
     """
     e = edges.selectExpr(f"{a} AS u", f"{b} AS v").where("u <> v")
     before = None
     while True:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        down = large.selectExpr("greatest(u, v) AS u", "least(u, v) AS v")
+        large = both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v")
+        down = large.repartition("u").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        e = stage(down.join(least, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(least.selectExpr("u", "m AS v")).distinct(), "stars")
+        e = stage(down.join(least, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(least.selectExpr("u", "m AS v")).repartition("u").distinct(), "stars")
         now = e.selectExpr("count(*)", "bit_xor(xxhash64(u, v))", "sum(CAST(xxhash64(v, u) AS decimal(38, 0)))").first()
         if now == before:
             break
@@ -243,7 +268,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _exact(similarity: float):
-    """Blocks (or pairs of blocks) of a cluster -> key, links (weighted by copies), label (the least key connected here)."""
+    """Blocks (or pairs of blocks) of a cluster -> cls, links (weighted by copies), label (the least cls connected here)."""
 
     def shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of some sets with others."""
@@ -307,13 +332,10 @@ def _exact(similarity: float):
         for t, cut in _sorted_groups(batches, "g"):
             for a, b in zip(cut[:-1], cut[1:]):
                 part = t.slice(a, b - a)
-                key = part["key"].combine_chunks()
                 # Copies of a set from several partitions: one is enough.
-                x = key.dictionary_encode().indices.to_numpy()
-                part = part.take(pa.array(np.unique(x, return_index=True)[1]))
-                links, label = linked(part)
-                key = part["key"].combine_chunks()
-                yield pa.record_batch([key, pa.array(links), key.take(pa.array(label))], names=["key", "links", "label"])
+                cls, first = np.unique(part["cls"].to_numpy(), return_index=True)
+                links, label = linked(part.take(pa.array(first)))
+                yield pa.record_batch([pa.array(cls), pa.array(links), pa.array(cls[label])], names=["cls", "links", "label"])
 
     return run
 
@@ -343,23 +365,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     """See the module's docstring."""
     d = docs_of(docs, id_col, text_col)
     told = embedded(d, n)
-    classes = stage(told.where("key IS NOT NULL").groupBy("key").agg(F.min("sig").alias("sig"), F.count("*").alias("n_docs"), F.min("doc_id").alias("least_id")), "classes")
-    clusters = components(candidate_edges(classes.select("key", "sig"), similarity, recall))
+    classes = stage(told.where("key IS NOT NULL").groupBy("key").agg(F.min("sig").alias("sig"), F.count("*").alias("n_docs"), F.min("doc_id").alias("least_id")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    clusters = components(candidate_edges(classes.select("cls", "sig"), similarity, recall))
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    clustered = stage(clusters.withColumnRenamed("node", "key").join(sizes, "label").join(classes.select("key", "n_docs"), "key").selectExpr("key", "label AS cluster", "n_docs", f"CAST(ceil(n / {BLOCK}) AS int) AS blocks"), "clustered")
-    side = F.broadcast(clustered) if clustered.count() <= BROADCAST_ROWS else clustered
-    held = arrow_map(d.select("text"), _grams_of(n), "key string, grams binary").join(side, "key")
-    blocks = held.withColumn("side", F.expr("CAST(pmod(xxhash64(key), blocks) AS int)")).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    blocks = blocks.selectExpr("key", "grams", "n_docs", "side", "least(side, other) AS lo", "greatest(side, other) AS hi", "cluster")
-    blocks = blocks.withColumn("g", F.xxhash64("cluster", "lo", "hi")).drop("cluster")
-    exact = stage(arrow_map(blocks.repartition("g").sortWithinPartitions("g"), _exact(similarity), "key string, links long, label string"), "exact")
-    links = exact.groupBy("key").agg(F.sum("links").alias("links"))
-    joined = components(exact.where("key <> label").select(F.col("key").alias("a"), F.col("label").alias("b")).distinct())
-    per_class = classes.join(links, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "n_docs", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "key").alias("label"))
+    clustered = stage(clusters.withColumnRenamed("node", "cls").join(sizes, "label").join(classes.select("cls", "key", "n_docs"), "cls").selectExpr("key", "cls", "label AS cluster", "n_docs", f"CAST(ceil(n / {BLOCK}) AS int) AS blocks"), "clustered")
+    held = arrow_map(d.select("text"), _grams_of(n), "key string, grams binary").join(_small(clustered), "key")
+    blocks = held.withColumn("side", F.expr("CAST(pmod(xxhash64(cls), blocks) AS int)")).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    blocks = blocks.selectExpr("cls", "grams", "n_docs", "side", "least(side, other) AS lo", "greatest(side, other) AS hi", "xxhash64(cluster, least(side, other), greatest(side, other)) AS g")
+    exact = stage(arrow_map(blocks.repartition("g").sortWithinPartitions("g"), _exact(similarity), "cls long, links long, label long"), "exact")
+    links = exact.groupBy("cls").agg(F.sum("links").alias("links"))
+    joined = components(exact.where("cls <> label").select(F.col("cls").alias("a"), F.col("label").alias("b")).distinct())
+    per_class = classes.drop("sig").join(links, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("key", "n_docs", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "cls").alias("label"))
     per_class = stage(per_class, "linked")
     least = per_class.groupBy("label").agg(F.min("least_id").alias("class_id"))
     per_class = per_class.join(least, "label").selectExpr("key", "class_id", "links + n_docs - 1 AS n_links", "n_docs AS n_copies")
-    return told.join(per_class, "key", "left").selectExpr("doc_id", "CASE WHEN key IS NULL THEN doc_id ELSE class_id END AS class_id", "coalesce(n_links, 0L) AS n_links", "key AS text_class", "coalesce(n_copies, 1L) AS n_copies")
+    return told.drop("sig").join(per_class, "key", "left").selectExpr("doc_id", "CASE WHEN key IS NULL THEN doc_id ELSE class_id END AS class_id", "coalesce(n_links, 0L) AS n_links", "key AS text_class", "coalesce(n_copies, 1L) AS n_copies")
 
 
 def op7_chosen_path(spark, sf_dir):
