@@ -101,9 +101,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.selectExpr("frame", "v AS u", "u AS v"))
         least = both.groupBy("frame", "u").agg(F.min("v").alias("m")).selectExpr("frame", "u", "least(u, m) AS m")
-        large = both.join(least, ["frame", "u"]).where("v > u").selectExpr("frame", "v AS u", "m AS v").distinct()
+        large = both.join(least, ["frame", "u"]).where("v > u AND v <> m").selectExpr("frame", "v AS u", "m AS v").repartition("frame", "u").distinct()
         least = large.groupBy("frame", "u").agg(F.min("v").alias("m"))
-        e = stage(large.join(least, ["frame", "u"]).selectExpr("frame", "v AS u", "m AS v").where("u <> v").unionByName(least.selectExpr("frame", "u", "m AS v")).distinct(), "stars")
+        e = stage(large.join(least, ["frame", "u"]).selectExpr("frame", "v AS u", "m AS v").where("u <> v").unionByName(least.selectExpr("frame", "u", "m AS v")).repartition("frame", "u").distinct(), "stars")
         now = e.selectExpr("count(*)", "bit_xor(xxhash64(frame, u, v))").first()
         if now == before:
             break
