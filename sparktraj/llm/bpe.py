@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sparktraj.llm.chunks import SPACES, ChunkEncoder, byte_letters
-from sparktraj.llm.common import arrow_map, docs_of, id_type, read, slices
+from sparktraj.llm.common import CHUNKED_BYTES, arrow_map, docs_of, id_type, read, slices
 
 #: Pairs whose compatibility a worker remembers.
 PAIRS = 400_000
@@ -184,7 +184,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _bpe(tokenizer)[1]
-        for b in slices(batches):
+        for b in slices(batches, most=CHUNKED_BYTES):
             yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in encode(b.column("text"))], pa.binary())], names=["doc_id", "ids"])
 
     return arrow_map(docs_of(docs, id_col, text_col), run, f"doc_id {id_type(docs, id_col)}, ids binary")
@@ -210,7 +210,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encode = _bpe(tokenizer)
-        for b in slices(batches):
+        for b in slices(batches, most=CHUNKED_BYTES):
             ids = encode(b.column("text"))
             hexed = lambda x: hashlib.sha256(x).hexdigest()
             yield pa.record_batch([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(x.tobytes()) for x in ids], pa.string()), pa.array([hexed(bpe.decode(x.astype(np.int64))) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

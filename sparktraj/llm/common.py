@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
-#: Bytes of text that Python code takes at a time; a longer single text is taken alone.
-SLICE_BYTES = 8_000_000
+#: Bytes of text that Python code takes at a time; a longer single text is taken alone.  Chunks repeat more in larger slices.
+SLICE_BYTES, CHUNKED_BYTES = 4_000_000, 8_000_000
 
 
 @functools.cache

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktraj.llm.chunks import WORDS, ChunkEncoder, by_library, lower_word
-from sparktraj.llm.common import arrow_map, docs_of, id_type, new_path, read, shared_fs, slices
+from sparktraj.llm.common import CHUNKED_BYTES, arrow_map, docs_of, id_type, new_path, read, shared_fs, slices
 
 MANIFEST = "part int, ids string, offsets string, docs string, width int, n_docs long, n_ids long"
 
@@ -66,7 +66,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, id_co
 
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"ids-{part:06d}-{attempt}.bin", f"offsets-{part:06d}-{attempt}.bin", f"docs-{part:06d}-{attempt}.arrow"]
-        first = next(rows := slices(batches), None)
+        first = next(rows := slices(batches, most=CHUNKED_BYTES), None)
         if first is None:
             return
         fs, at = shared_fs(folder)
