@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
-from sparktraj.dataset import POSITION, Dataset, col, stage
+from sparktraj.dataset import POSITION, Dataset, col, on_workers, stage
 from sparktraj.operators.neighbors import closest, pairs
 from sparktraj.operators.select import selected
 
@@ -223,6 +223,37 @@ def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) ->
     return out.count_attribute("AtomicStrain.invalid_particle_count", F.col("Selection") != 0)
 
 
+def polar_decomposition(ds: Dataset) -> Dataset:
+    """Rotation (a quaternion x, y, z, w) and the stretch tensor of each deformation gradient; the identity where it is singular."""
+    import numpy as np
+    import pyarrow as pa
+
+    given = [f"Deformation Gradient.{m}{n}" for n in (1, 2, 3) for m in (1, 2, 3)]
+    names = ["frame", "idx", *(f"Rotation.{k}" for k in "XYZW"), *(f"Stretch Tensor.{k}" for k in ("XX", "YY", "ZZ", "XY", "XZ", "YZ"))]
+
+    def run(batches):
+        for b in batches:
+            f = np.stack([b.column(k + 2).to_numpy(zero_copy_only=False) for k in range(9)], axis=1).reshape(-1, 3, 3).transpose(0, 2, 1)
+            f = np.where((np.abs(np.linalg.det(f)) > 1e-12)[:, None, None], f, np.eye(3))
+            u, s, vt = np.linalg.svd(f)
+            r = u @ vt
+            stretch = np.einsum("nji,nj,njk->nik", vt, s, vt)
+            # The quaternion from the eigenvector of the greatest eigenvalue of a symmetric 4x4 matrix of the rotation's entries.
+            k = np.zeros((len(r), 4, 4))
+            k[:, 0, 0], k[:, 1, 1], k[:, 2, 2] = r[:, 0, 0] - r[:, 1, 1] - r[:, 2, 2], r[:, 1, 1] - r[:, 0, 0] - r[:, 2, 2], r[:, 2, 2] - r[:, 0, 0] - r[:, 1, 1]
+            k[:, 3, 3] = r[:, 0, 0] + r[:, 1, 1] + r[:, 2, 2]
+            for i, j, v in ((0, 1, r[:, 0, 1] + r[:, 1, 0]), (0, 2, r[:, 0, 2] + r[:, 2, 0]), (1, 2, r[:, 1, 2] + r[:, 2, 1]), (0, 3, r[:, 2, 1] - r[:, 1, 2]), (1, 3, r[:, 0, 2] - r[:, 2, 0]), (2, 3, r[:, 1, 0] - r[:, 0, 1])):
+                k[:, i, j] = k[:, j, i] = v
+            q = np.linalg.eigh(k)[1][:, :, 3]
+            q *= np.where(q[:, 3:] < 0, -1, 1)
+            cols = [*q.T, *(stretch[:, i, j] for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)))]
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
+
+    on_workers(ds.spark)
+    schema = "frame int, idx long, " + ", ".join(f"`{n}` double" for n in names[2:])
+    return ds.having(particles=ds.particles.join(ds.particles.select("frame", "idx", *(col(c).alias(f"f{k}") for k, c in enumerate(given))).mapInArrow(run, schema), ["frame", "idx"]))
+
+
 def create_bonds(ds: Dataset, cutoff: float = 3.2, lower: float = 0.0, pair_cutoffs: dict[tuple[int, int], float] | None = None, type_column: str = "Particle Type", molecule_column: str | None = None) -> Dataset:
     """Half-bonds for all pairs within a cutoff, one for all or one for each pair of types (in either order), added to the bonds that are there."""
     most = max(pair_cutoffs.values()) if pair_cutoffs else cutoff
