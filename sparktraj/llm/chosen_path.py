@@ -236,8 +236,7 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float) -> Dat
         pivots = stage(large.groupBy("node").agg(F.min(F.struct("cls", "sig")).alias("p")).selectExpr("node", "p.cls AS pivot", "p.sig AS pivot_sig"), "pivots")
         shared = stage(arrow_map(large.join(_small(pivots), "node").select("cls", "sig", "node", "pivot", "pivot_sig"), _to_pivot, "cls long, sig binary, node long, pivot long, share double"), "shared")
         found.append(shared.where((F.col("share") >= similarity - SLACK) & (F.col("cls") != F.col("pivot"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-        mixed = shared.groupBy("node").agg(F.min("share").alias("least")).where(F.col("least") < similarity - SLACK).select("node")
-        at = shared.where(F.col("share") < CLOSE).select("cls", "sig", "node").join(mixed, "node")
+        at = shared.where(F.col("share") < CLOSE).select("cls", "sig", "node")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
