@@ -50,7 +50,7 @@ class ChunkEncoder:
     Chunks met lately are kept, ``limit`` at most in each of two generations: when the younger is full, the older goes.
     """
 
-    def __init__(self, cutter: Cutter, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000):
+    def __init__(self, cutter: Cutter, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
         self.cutter, self.encode, self.limit = cutter, encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktraj.llm.common import WS, WS_CLASS, read, words_of
+from sparktraj.llm.common import WS, read, words_of
 
 #: Common function words of English, German, French and Spanish.
 STOP_WORDS = """
