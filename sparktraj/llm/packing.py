@@ -1,10 +1,10 @@
 """Best-fit packing of documents into sequences, improved by swap-based local search.
 
 Pieces of full length make a sequence each, in SQL.  The others are dealt to groups of bounded size by a hash, each group is
-packed best fit first, and its underfull bins are then worked on: items move, or are exchanged one for one, two for one or
-one for two, always from the emptier to the fuller bin, which raises the sum of squared fills, until bins empty or nothing
-improves.  The emptiest bins of each group are taken apart and packed again with those of other groups, in ever fewer groups,
-until there is one.
+packed best fit first, and all its underfull bins are then worked on: items move, or are exchanged one for one, two for one or
+one for two, always from the emptier to the fuller bin, which raises the sum of squared fills, until no two bins of the group
+have such an exchange.  The underfull bins of all groups are dealt anew and worked on again, until there is one group or a
+round saves no sequence.
 
 Defined results: a null text is empty and has the end id only; ids, null or repeated, are carried through, and repeated rows are
 packed one by one; an empty table gives an empty result; only the id and text columns are read.
@@ -12,7 +12,6 @@ packed one by one; an empty table gives an empty result; only the id and text co
 
 from __future__ import annotations
 
-import bisect
 import functools
 import zlib
 from collections.abc import Iterator
@@ -27,10 +26,6 @@ from sparktraj.llm.common import CHUNKED_BYTES, arrow_map, docs_of, id_type, rea
 
 #: Pieces packed together in one task.
 GROUP = 4000
-#: Bins that one round of local search looks at; the others of a group are full or nearly so.
-SEARCHED = 400
-#: Times that the bins are gone through; each exchange raises the sum of squared fills, so it ends in any case.
-SWEEPS = 5
 
 
 @functools.cache
@@ -78,100 +73,166 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(low: list[int], high: list[int], free: int, length: list[int]) -> tuple[list[int], list[int]] | None:
-    """Items to give from ``low`` and to take from ``high`` that fill ``high`` best, at most ``free`` more: one for none, one, two, or two for one."""
-    best, found = 0, None
-    singles = sorted((length[b], b) for b in high)
-    sums = [(0, []), *((n, [b]) for n, b in singles), *((n + m, [b, c]) for i, (n, b) in enumerate(singles) for m, c in singles[:i])]
-    sums.sort(key=lambda x: x[0])
-    keys = [x[0] for x in sums]
-    ones = [x for x in sums if len(x[1]) == 1]
-    ones_keys = [x[0] for x in ones]
-    for i, a in enumerate(low):
-        n = length[a]
-        k = bisect.bisect_left(keys, n - free)  # the least return that lets it in
-        if k < len(keys) and best < n - keys[k]:
-            best, found = n - keys[k], ([a], sums[k][1])
-        for c in low[:i]:
-            m = n + length[c]
-            k = bisect.bisect_left(ones_keys, m - free)
-            if k < len(ones) and best < m - ones_keys[k]:
-                best, found = m - ones_keys[k], ([a, c], ones[k][1])
-        if best == free:
-            break
-    return found
-
-
-def local_search(bins: list[list[int]], length: list[int], size: int, searched: int = SEARCHED) -> list[list[int]]:
-    """Empties bins by exchanges that raise the sum of squared fills.  Bins of very many items take part as what gives, not as what is searched."""
-    fill = [sum(length[i] for i in b) for b in bins]
-    open_ = sorted((k for k in range(len(bins)) if fill[k] < size and len(bins[k]) <= 64), key=lambda k: fill[k])
-    open_ = open_[: searched // 2] + open_[max(searched // 2, len(open_) - searched // 2) :]
-    for _ in range(SWEEPS):
-        before = list(fill)
-        for low in sorted((k for k in open_ if bins[k]), key=lambda k: fill[k]):
-            if sum(size - fill[k] for k in open_ if k != low and fill[k]) < min((length[i] for i in bins[low]), default=size + 1):
-                continue
-            moved = True
-            while moved and bins[low]:
-                moved = False
-                for high in sorted((k for k in open_ if k != low and fill[low] <= fill[k] < size), key=lambda k: -fill[k]):
-                    got = _exchange(bins[low], bins[high], size - fill[high], length)
-                    if got is None:
-                        continue
-                    for i in got[0]:
-                        bins[low].remove(i)
-                        bins[high].append(i)
-                    for i in got[1]:
-                        bins[high].remove(i)
-                        bins[low].append(i)
-                    gain = sum(length[i] for i in got[0]) - sum(length[i] for i in got[1])
-                    fill[low], fill[high], moved = fill[low] - gain, fill[high] + gain, True
-                    if not bins[low]:
-                        break
-        if fill == before:
-            break
-    return [b for b in bins if b]
+class _Bins:
+    """Bins with their items by length, and an index of what each underfull bin can be brought to have free.
 
+    In ``rooms[w][c][f]`` are the bins of ``f`` free that have ``c`` free once they have given back one item (w = 1), or none, one or two (w = 0).
+    A bin has few distinct lengths, 63 at most in 2048, so its entries are few however many items it has.
+    """
 
-def _packed(size: int, carried: int):
-    """A group's pieces with bin and offset; ``again``: in the emptiest underfull bins, of at most ``carried`` pieces together."""
+    def __init__(self, bins: list[list[int]], length: list[int], size: int):
+        self.length, self.size = length, size
+        self.held: list[dict[int, list[int]]] = [{} for _ in bins]
+        self.fill = [0] * len(bins)
+        self.rooms: tuple[dict[int, dict[int, set[int]]], ...] = ({}, {})
+        self.known = [0, 0]  # bit c: rooms[w] has c
+        for k, b in enumerate(bins):
+            self.put(k, b)
+            self.enter(k)
+
+    def put(self, k: int, items: list[int]) -> None:
+        for i in items:
+            self.held[k].setdefault(self.length[i], []).append(i)
+            self.fill[k] += self.length[i]
+
+    def take(self, k: int, total: int, items: int) -> list[int]:
+        """Takes ``items`` items of that total length out."""
+        held = self.held[k]
+        if items == 0:
+            return []
+        if items == 1:
+            lengths = [total]
+        else:
+            n = next(n for n in held if (total - n in held if 2 * n != total else len(held[n]) > 1))
+            lengths = [n, total - n]
+        out = [held[n].pop() for n in lengths]
+        for n in lengths:
+            if n in held and not held[n]:
+                del held[n]
+        self.fill[k] -= total
+        return out
+
+    def sums(self, k: int) -> tuple[set[int], set[int]]:
+        """Lengths of single items and of two."""
+        held = self.held[k]
+        ones = sorted(held)
+        return set(ones), {n + m for i, n in enumerate(ones) for m in ones[:i]} | {2 * n for n in ones if len(held[n]) > 1}
+
+    def _rooms(self, k: int) -> tuple[set[int], set[int]]:
+        free = self.size - self.fill[k]
+        ones, twos = self.sums(k)
+        return {free, *(free + n for n in ones | twos)}, {free + n for n in ones}
+
+    def open(self, k: int) -> bool:
+        return 0 < self.fill[k] < self.size
+
+    def enter(self, k: int) -> None:
+        if self.open(k):
+            for w, rooms in enumerate(self._rooms(k)):
+                for c in rooms:
+                    self.rooms[w].setdefault(c, {}).setdefault(self.size - self.fill[k], set()).add(k)
+                    self.known[w] |= 1 << c
+
+    def leave(self, k: int) -> None:
+        if self.open(k):
+            free = self.size - self.fill[k]
+            for w, rooms in enumerate(self._rooms(k)):
+                for c in rooms:
+                    of = self.rooms[w][c]
+                    of[free].discard(k)
+                    if not of[free]:
+                        del of[free]
+                    if not of:
+                        self.known[w] ^= 1 << c
+
+    def exchange(self, low: int) -> tuple[int, int, int, int, int] | None:
+        """What ``low`` gives (length, items), to which bin, as full as itself or fuller, and what it gets back (length, items).
+
+        The exchange that leaves the receiver the least room, of all that raise its fill; None only if there is none.
+        """
+        ones, twos = self.sums(low)
+        least, found = self.size + 1, None
+        for w, given in ((0, ones), (1, twos)):
+            for n in sorted(given, reverse=True):
+                rest, c = self.known[w] >> n, n
+                while rest:
+                    step = (rest & -rest).bit_length()
+                    c += step - 1
+                    if c - n >= least:
+                        break
+                    # It gets c - free back, so its fill rises by n - c + free.
+                    for free, bins in self.rooms[w][c].items():
+                        if c - n < free <= self.size - self.fill[low]:
+                            k = next((k for k in bins if k != low), None)
+                            if k is not None:
+                                back = c - free
+                                least, found = c - n, (n, 1 + w, k, back, 0 if not back else 1 if w or back in self.held[k] else 2)
+                                break
+                    rest, c = rest >> step, c + 1
+                if least == 0:
+                    return found
+        return found
+
+
+def local_search(bins: list[list[int]], length: list[int], size: int) -> list[list[int]]:
+    """Empties bins by exchanges that raise the sum of squared fills, until no two bins have one left."""
+    b = _Bins(bins, length, size)
+    moved = True
+    while moved:
+        moved = False
+        for low in sorted(filter(b.open, range(len(bins))), key=lambda k: b.fill[k]):
+            while b.open(low) and (got := b.exchange(low)):
+                n, items, high, back, returned = got
+                b.leave(low)
+                b.leave(high)
+                given, taken = b.take(low, n, items), b.take(high, back, returned)
+                b.put(high, given)
+                b.put(low, taken)
+                b.enter(low)
+                b.enter(high)
+                moved = True
+    return [[i for items in held.values() for i in items] for held in b.held if held]
+
+
+def _packed(size: int):
+    """A group's pieces with bin and offset; ``again``: in an underfull bin.  ``was`` tells the bins that the pieces came in."""
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         length = table["length"].to_pylist()
-        bins = local_search(best_fit(length, size), length, size)
+        came: dict[int, list[int]] = {}
+        for i, was in enumerate(table["was"].to_pylist()):
+            came.setdefault(was, []).append(i)
+        bins = local_search(min(best_fit(length, size), list(came.values()), key=len), length, size)
         n, place, again = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.zeros(len(length), bool)
-        filled = []
         for k, b in enumerate(bins):
             at = 0
             for i in b:
                 n[i], place[i] = k, at
                 at += length[i]
-            filled.append((at, len(b), k))
-        left = carried
-        for fill, count, k in sorted(filled):
-            left -= count
-            if fill == size or left < 0:
-                break
-            again[bins[k]] = True
+            again[b] = at < size
         return pa.table({"rid": table["rid"], "length": table["length"], "grp": pa.array([key[0].as_py()] * len(length), pa.int64()), "bin": n, "offset": place, "again": again})
 
     return pack
 
 
 def pack(pieces: DataFrame, size: int, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to a table with a length column of 1 to ``size``.  Each round leaves an eighth of the pieces at most to the next."""
+    """Adds sequence_id and offset to a table with a length column of 1 to ``size``."""
     told = stage(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     done = [told.where(F.col("length") >= size).select("rid", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    rest, base = told.where(F.col("length") < size).select("rid", "length"), 0
+    rest, base, before = told.where(F.col("length") < size).select("rid", "length", F.col("rid").alias("was")), 0, None
     while n := rest.count():
         groups = -(-n // group)
-        dealt = rest.withColumn("g", F.pmod(F.xxhash64("rid", F.lit(base)), F.lit(groups)))
-        carried = group // 8 if groups > 1 else 0
-        packed = stage(dealt.groupBy("g").applyInArrow(_packed(size, carried), "rid long, length long, grp long, bin long, offset long, again boolean"), "packed")
-        done.append(packed.where(~F.col("again")).select("rid", ((F.lit(base) + F.col("grp")) * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))
-        base += groups
-        rest = packed.where("again").select("rid", "length")
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64("was", F.lit(base)), F.lit(groups)))
+        packed = stage(dealt.groupBy("g").applyInArrow(_packed(size), "rid long, length long, grp long, bin long, offset long, again boolean"), "packed")
+        packed = packed.withColumn("sequence_id", (F.lit(base) + F.col("grp")) * F.lit(1 << 24) + F.col("bin"))
+        # Each bin has one piece at its start.
+        now, left = packed.where("offset = 0").selectExpr("count(*)", "count_if(again)").first()
+        last = groups == 1 or now == before
+        done.append(packed.where(F.lit(last) | ~F.col("again")).select("rid", "sequence_id", "offset"))
+        if last:
+            break
+        base, before = base + groups, left
+        rest = packed.where("again").select("rid", "length", F.col("sequence_id").alias("was"))
     places = functools.reduce(DataFrame.unionByName, done)
     return told.join(places, "rid").drop("rid")
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -95,6 +96,47 @@ def test_local_search_empties_bins():
     assert len(better) <= len(plain) and sorted(i for b in better for i in b) == list(range(600)) and all(sum(length[i] for i in b) <= 2048 for b in better)
 
 
+def exchanges_left(bins, length, size):
+    """Whether some two underfull bins have an exchange that makes the fuller one fuller, by trying all."""
+    sums = [{sum(length[i] for i in c): n for n in (2, 1) for c in itertools.combinations(b, n)} for b in bins]
+    ones = [{length[i] for i in b} for b in bins]
+    twos = [{length[i] + length[j] for i, j in itertools.combinations(b, 2)} for b in bins]
+    fill = [sum(length[i] for i in b) for b in bins]
+    for low, high in itertools.permutations((k for k in range(len(bins)) if fill[k] < size), 2):
+        free = size - fill[high]
+        if fill[low] <= fill[high] and (any(0 < n - m <= free for n in ones[low] for m in {0, *sums[high]}) or any(0 < n - m <= free for n in twos[low] for m in ones[high])):
+            return True
+    return False
+
+
+def test_local_search_leaves_no_exchange():
+    rng = random.Random(7)
+    # Middling lengths, of which best fit leaves most bins underfull; then bins of very many items.
+    for lengths, most in (([rng.randint(500, 900) for _ in range(3000)], 1100), ([rng.randint(5, 60) for _ in range(800)] + [700] * 60, 40), ([1025] * 50, 50)):
+        plain = packing.best_fit(lengths, 2048)
+        better = packing.local_search(plain, lengths, 2048)
+        assert sorted(i for b in better for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in better)
+        assert len(better) <= min(most, len(plain)) and not exchanges_left(better, lengths, 2048)
+    # A bin of a hundred items gives what the other has room for.
+    lengths = [10] * 100 + [900, 900]
+    assert sorted(sum(lengths[i] for i in b) for b in packing.local_search([list(range(100)), [100, 101]], lengths, 2048)) == [760, 2040]
+
+
+def test_packing_carries_all_underfull_bins(spark):
+    # Each group alone is left with more bins than all together need.
+    rng = random.Random(9)
+    rows = [(k, rng.randint(500, 900)) for k in range(1200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), 2048, group=100).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert collections.Counter((r.doc_id, r.length) for r in got) == collections.Counter(rows)
+    for b in bins.values():
+        b.sort()
+        assert sum(n for _, n in b) <= 2048 and all(o == sum(n for _, n in b[:k]) for k, (o, _) in enumerate(b))
+    assert len(bins) <= 435
+
+
 def test_matroska(hard, empty):
     want = collections.Counter()
     for r in hard.collect():
