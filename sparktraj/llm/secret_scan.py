@@ -26,15 +26,27 @@ BASE = {
     "access": ("(?s:.*?)", "AKIA[A-Z0-9]+", "instr(_t, 'AKIA') > 0", "length(x.v) >= 20"),
     "hex": ("(?s:.*?)", "[0-9a-f]{24,}", "_t RLIKE '[0-9a-f]{24}'", "true"),
 }
+_PEM_LINE_END = r"(?:\r?\n|(?:\\r)?\\n)"
+#: A private key from its header to its END line; where there is none, with all lines of base64 that follow.  Line ends may be escaped.
+#: Loops are possessive, as Java takes others by recursion.
+_PEM = (
+    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:"
+    "[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]{0,30}PRIVATE KEY-----|"
+    rf"(?:[\x20\t]*+[A-Za-z0-9+/=]{{32,}}+)?+(?:[\x20\t]*+{_PEM_LINE_END}[A-Z][A-Za-z-]{{2,30}}:\x20[^\r\n\\]*+)*+"
+    rf"""(?:[\x20\t]*+(?:{_PEM_LINE_END}[\x20\t]*+)++(?:[A-Za-z0-9+/=]{{32,}}+|[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:["']|{_PEM_LINE_END}|\z))))*+)"""
+)
 #: Further shapes; only live values of these become spans.
 EXTRA = {
     "jwt": ("(?s:.*?)", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", "instr(_t, 'eyJ') > 0"),
     "prefixed": ("(?s:.*?)", r"(?:gh[pousr]_|github_pat_|xox[baprs]-|sk_live_|rk_live_|glpat-|AIza)[A-Za-z0-9_-]{16,}", "_t RLIKE 'gh[pousr]_|github_pat_|xox[baprs]-|[sr]k_live_|glpat-|AIza'"),
     "url_login": ("(?s:.*?)", r"://[^\s:/@]{1,64}:[^\s/@]{6,128}@", "instr(_t, '://') > 0"),
-    "pem": ("(?s:.*?)", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "instr(_t, '-----BEGIN ') > 0"),
+    "pem": ("(?s:.*?)", _PEM, "instr(_t, '-----BEGIN ') > 0"),
+}
+#: Values are compared as what follows the assignment sign, private keys as their body however its lines are cut (a header alone as it stands); other kinds as they stand.
+_VALUES = {
+    "assign": r"""regexp_extract(x.v, '^(?:[A-Za-z_]+["\']?\\x20*[:=]\\x20*["\']?)?(.*)$', 1)""",
+    "pem": r"""coalesce(nullif(regexp_replace(x.v, '-----[A-Z ]+-----|\\\\[rnt]|[^A-Za-z0-9+/=]', ''), ''), x.v)""",
 }
-#: Values are compared as what follows the assignment sign; other kinds as they stand.
-_VALUE = r"""regexp_extract(x.v, '^(?:[A-Za-z_]+["\']?\\x20*[:=]\\x20*["\']?)?(.*)$', 1)"""
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
@@ -46,7 +58,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def shaped(kind: str) -> str:
         keep = f"filter(_{kind}, x -> {BASE[kind][3]})" if kind in BASE else f"_{kind}"
-        return f"transform({keep}, x -> named_struct('s', x.s, 'rank', {kinds.index(kind)}, 'e', x.e, 'kind', '{kind}', 'h', sha2({_VALUE if kind == 'assign' else 'x.v'}, 256)))"
+        return f"transform({keep}, x -> named_struct('s', x.s, 'rank', {kinds.index(kind)}, 'e', x.e, 'kind', '{kind}', 'h', sha2({_VALUES.get(kind, 'x.v')}, 256)))"
 
     d = d.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", "repo", "owner",
