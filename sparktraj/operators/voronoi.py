@@ -76,11 +76,12 @@ def _volume(faces: list[tuple[int, np.ndarray]]) -> float:
 
 
 def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: float = 1e-6) -> Dataset:
-    """``Atomic Volume``, ``Coordination`` and ``Voronoi Index.1`` to ``.12`` (faces by number of edges), and the frame's ``Voronoi.max_face_order``.
+    """``Atomic Volume``, ``Coordination`` and ``Voronoi Index.1`` to ``.12`` (faces by number of edges; those of more are in none), ``Max Face Order`` (edges of the
+    largest face), and the frame's ``Voronoi.max_face_order``.
 
     ``cutoff`` must reach all neighbours that touch a cell.  A cell that neighbours don't close is an error, as is a particle without neighbours.
     """
-    names = ["frame", "idx", "Atomic Volume", "Coordination", *(f"Voronoi Index.{k}" for k in range(1, MOST_EDGES + 1))]
+    names = ["frame", "idx", "Atomic Volume", "Coordination", *(f"Voronoi Index.{k}" for k in range(1, MOST_EDGES + 1)), "Max Face Order"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,20 +93,21 @@ def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: flo
                 if not closed:
                     raise ValueError("the cutoff is too short for a Voronoi cell")
                 index = [0] * MOST_EDGES
-                count = 0
+                count = most = 0
                 for _, p in faces:
                     if _area(p) <= least_area:
                         continue
                     count += 1
                     edges = int((np.linalg.norm(p - np.roll(p, 1, axis=0), axis=1) > least_edge).sum())
-                    index[min(edges, MOST_EDGES) - 1] += edges > 0
-                rows.append((_volume(faces), count, *index))
-            cols = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.float64(), *[pa.int32()] * (MOST_EDGES + 1)])]
+                    most = max(most, edges)
+                    if 0 < edges <= MOST_EDGES:
+                        index[edges - 1] += 1
+                rows.append((_volume(faces), count, *index, most))
+            cols = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.float64(), *[pa.int32()] * (MOST_EDGES + 2)])]
             yield pa.record_batch([b.column("frame"), b.column("idx"), *cols], names=names)
 
     on_workers(ds.spark)
     schema = "frame int, idx long, `Atomic Volume` double, Coordination int, " + ", ".join(f"`{n}` int" for n in names[4:])
     found = neighbor_rows(pairs(ds, cutoff)).mapInArrow(run, schema)
     out = ds.having(particles=ds.particles.drop(*names[2:]).join(found, ["frame", "idx"], "left"))
-    order = F.greatest(*(F.when(F.col(f"`{n}`") > 0, k + 1).otherwise(0) for k, n in enumerate(names[4:])))
-    return out.with_attributes(out.particles.groupBy("frame").agg(F.max(order).alias("num")).select("frame", F.lit("Voronoi.max_face_order").alias("key"), "num"))
+    return out.with_attributes(out.particles.groupBy("frame").agg(F.max("Max Face Order").alias("num")).select("frame", F.lit("Voronoi.max_face_order").alias("key"), "num"))

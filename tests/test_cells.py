@@ -24,6 +24,16 @@ def test_voronoi_fills_the_box(spark):
     assert voronoi(ds, 9.0).particles.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
 
 
+def test_voronoi_face_of_fourteen_edges(spark):
+    # A ring of fourteen about the first particle, and the face to the one above it.
+    ring = lambda n, r, z: [(5 + r * np.cos(2 * np.pi * k / n), 5 + r * np.sin(2 * np.pi * k / n), z) for k in range(n)]
+    points = [(5.0, 5.0, 4.0), (5.0, 5.0, 6.0), *ring(14, 1.0, 4.0), *ring(7, 1.3, 6.0), *((x, y, z) for x in (1.0, 5.0, 9.0) for y in (1.0, 5.0, 9.0) for z in (1.0, 9.0))]
+    out = voronoi(frame(spark, [(0, k, *map(float, p)) for k, p in enumerate(points)]), 9.0)
+    r = out.particles.where("idx = 0").first()
+    assert r["Max Face Order"] == out.attributes.first().num == 14 and r["Coordination"] - sum(r[f"Voronoi Index.{k}"] for k in range(1, 13)) in (1, 2)
+    assert out.particles.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
+
+
 def test_power_diagram_moves_planes():
     faces, closed = cell(np.array([[2.0, 0, 0], [-2.0, 0, 0], [0, 2.0, 0], [0, -2.0, 0], [0, 0, 2.0], [0, 0, -2.0]]), 10.0, 1.0, np.array([0.0, 1.0, 1.0, 1.0, 1.0, 1.0]))
     assert closed and max(p[:, 0].max() for _, p in faces) == pytest.approx(1.25)
