@@ -111,6 +111,30 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_CLASS + "+"))
 
 
+#: Elements that an SQL expression handles by growing an array; longer arrays are handled in parts of so many, so work stays near the length.
+PART = 512
+
+
+def parts_of(items: str) -> str:
+    """SQL: the array in parts of ``PART`` elements; one empty part for an empty array.  ``items`` must be cheap to evaluate again."""
+    return f"transform(sequence(0, greatest(size({items}) - 1, 0) DIV {PART}), i -> slice({items}, i * {PART} + 1, {PART}))"
+
+
+def running(values: str, step: str) -> str:
+    """SQL for what stands before each element of an int array: 0 for the first, then ``step`` (of a and x) over the elements before it."""
+    grown = lambda items, start, of: (
+        f"aggregate({items}, named_struct('r', CAST(array() AS array<int>), 'a', {start}), (acc, y) -> named_struct('r', concat(acc.r, array(acc.a)), 'a', {of}), acc -> acc.r)"
+    )
+    one = step.replace("{a}", "acc.a").replace("{x}", "y")
+    part = step.replace("{a}", "acc.a").replace("{x}", f"aggregate(y, 0, (b, z) -> {step.replace('{a}', 'b').replace('{x}', 'z')})")
+    return f"""transform(array({values}), v -> transform(array({parts_of('v')}), ps ->
+        flatten(zip_with(ps, {grown('ps', '0', part)}, (p, s) -> {grown('p', 's', one)})))[0])[0]"""
+
+
+#: Steps of ``running``: sums, and largest so far.
+SUM, LARGEST = "({a} + {x})", "greatest({a}, {x})"
+
+
 def spans_of(text: str, prefix: str, match: str, gate: str = "true", context: int = 0) -> str:
     """SQL for the leftmost non-overlapping matches in column ``text``: array<struct<s, e, v, c>> in code points, end exclusive.
 
@@ -122,10 +146,6 @@ def spans_of(text: str, prefix: str, match: str, gate: str = "true", context: in
     part = lambda k: f"regexp_extract_all({text}, '{pattern}', {k})"
     kind = "CAST(array() AS array<struct<s:int,e:int,v:string,c:string>>)"
     before = f"right(x.p, {context})" if context else "''"
-    return f"""CASE WHEN {gate} THEN aggregate(
-        zip_with({part(1)}, {part(2)}, (p, m) -> named_struct('p', p, 'm', m)),
-        named_struct('a', {kind}, 'at', 0),
-        (acc, x) -> named_struct(
-            'a', concat(acc.a, array(named_struct('s', acc.at + length(x.p), 'e', acc.at + length(x.p) + length(x.m), 'v', x.m, 'c', {before}))),
-            'at', acc.at + length(x.p) + length(x.m)),
-        acc -> acc.a) ELSE {kind} END"""
+    return f"""CASE WHEN {gate} THEN transform(array(zip_with({part(1)}, {part(2)}, (p, m) -> named_struct('p', p, 'l', length(p), 'm', m, 'n', length(m)))), found ->
+        zip_with(found, {running('transform(found, w -> w.l + w.n)', SUM)}, (x, at) -> named_struct('s', at + x.l, 'e', at + x.l + x.n, 'v', x.m, 'c', {before})))[0]
+        ELSE {kind} END"""
