@@ -26,17 +26,18 @@ from sparktraj.llm.common import arrow_map, crc_fold, docs_of, id_type, read, sl
 #: Dimensions, and symbols: the gap, a to z, and 37 shared by all other letters.
 DIMS, SYMBOLS = 1024, 64
 CODES = SYMBOLS**3
+#: Characters that are worked on at a time.
+PIECE = 1_000_000
 
 
 @functools.cache
 def _symbols() -> np.ndarray:
     """Symbol of each code point: 0 for what is no letter."""
     out = np.zeros(0x110000, np.uint8)
-    for cp in (*range(0x3000), *range(0x3040, 0xD800), *range(0xF900, 0x20000)):
+    for cp in range(0x110000):
         if (c := chr(cp)).isalpha():
             low = ord(c.lower()[0])
             out[cp] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 // 2**12 % 37
-    out[0x20000:0x32000] = 27 + np.arange(0x20000, 0x32000) % 37
     return out
 
 
@@ -64,6 +65,38 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[2:][ok], (s[:-2] << 12 | s[1:-1] << 6 | s[2:])[ok]
 
 
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, code, count) in order, each pair once.  A text of over ``PIECE`` characters is counted by pieces."""
+    short = [t if len(t) <= PIECE else "" for t in texts]
+    doc, code = trigrams(short)
+    pair, n = np.unique(doc.astype(np.int64) * CODES + code, return_counts=True)
+    parts = [(pair, n)]
+    for i, t in enumerate(texts):
+        if len(t) > PIECE:
+            total = _counts_of_long(t)
+            codes = np.flatnonzero(total)
+            parts.append((i * CODES + codes, total[codes]))
+    if len(parts) > 1:
+        pair, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(pair, kind="stable")
+        pair, n = pair[order], n[order]
+    return pair // CODES, pair % CODES, n
+
+
+def _counts_of_long(text: str) -> np.ndarray:
+    """Count of each code; the last two symbols of a piece are carried to the next."""
+    total, before = np.zeros(CODES, np.int64), np.zeros(1, np.int32)
+    for at in range(0, len(text) + 1, PIECE):
+        piece = text[at : at + PIECE] + ("\n" if at + PIECE > len(text) else "")
+        s = np.concatenate([before, _symbols()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)])
+        keep = np.ones(len(s), bool)
+        keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
+        s = s[keep]
+        total += np.bincount(s[:-2] << 12 | s[1:-1] << 6 | s[2:], minlength=CODES)
+        before = s[-2:]
+    return total
+
+
 @dataclass(frozen=True)
 class Profiles:
     languages: tuple[str, ...]
@@ -72,28 +105,34 @@ class Profiles:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Profiles:
-    """Trigrams are counted per language on the executors; what comes back has languages times the trigrams of ``SYMBOLS`` symbols at most."""
+    """Each task bundles its texts by language; the bundles' components are summed on the executors, and languages times ``DIMS`` sums come back."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
         for b in slices(batches):
             lang = b.column("lang").dictionary_encode()
-            doc, code = trigrams(b.column("text").to_pylist())
-            which, n = np.unique(lang.indices.to_numpy()[doc].astype(np.int64) * CODES + code, return_counts=True)
-            yield pa.record_batch([lang.dictionary.take(pa.array(which // CODES)), pa.array((which % CODES).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
+            names = lang.dictionary.to_pylist()
+            doc, code, n = counted(b.column("text").to_pylist())
+            which, at = np.unique(lang.indices.to_numpy()[doc].astype(np.int64) * CODES + code, return_inverse=True)
+            n = np.bincount(at, weights=n, minlength=len(which))
+            for k, name in enumerate(names):
+                lo, hi = np.searchsorted(which, [k * CODES, (k + 1) * CODES])
+                mine = sums.setdefault(name, np.zeros(DIMS + 1))
+                for c in range(lo, hi, 4096):
+                    mine[:DIMS] += n[c : min(hi, c + 4096)] @ bound(which[c : min(hi, c + 4096)] - k * CODES).astype(np.float64)
+                mine[DIMS] += n[lo:hi].sum()
+        for name, x in sums.items():
+            yield pa.record_batch([pa.array([name] * (DIMS + 1), pa.string()), pa.array(np.arange(DIMS + 1, dtype=np.int32)), pa.array(np.rint(x).astype(np.int64))], names=["lang", "at", "n"])
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    table = arrow_map(rows, count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    table = arrow_map(rows, bundle, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(table["lang"].to_pylist()))
     if not languages:
         return Profiles((), np.zeros((0, DIMS), np.float32))
-    at = {x: k for k, x in enumerate(languages)}
-    code, where = np.unique(table["code"].to_numpy(), return_inverse=True)
-    counts = np.zeros((len(languages), len(code)))
-    counts[[at[x] for x in table["lang"].to_pylist()], where] = table["n"].to_numpy()
-    counts /= counts.sum(axis=1, keepdims=True)
-    bundles = np.zeros((len(languages), DIMS))
-    for k in range(0, len(code), 4096):
-        bundles += counts[:, k : k + 4096] @ bound(code[k : k + 4096]).astype(np.float32)
+    number = {x: k for k, x in enumerate(languages)}
+    bundles = np.zeros((len(languages), DIMS + 1))
+    bundles[[number[x] for x in table["lang"].to_pylist()], table["at"].to_numpy()] = table["n"].to_numpy()
+    bundles = bundles[:, :DIMS] / np.maximum(bundles[:, DIMS:], 1)
     if len(languages) > 1:
         bundles -= bundles.mean(axis=0)
     norm = np.linalg.norm(bundles, axis=1, keepdims=True)
@@ -107,23 +146,26 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column("text").to_pylist()
-            doc, code = trigrams(texts)
-            pair, n = np.unique(doc.astype(np.int64) * CODES + code, return_counts=True)
-            doc, (seen, code) = pair // CODES, np.unique(pair % CODES, return_inverse=True)
-            vectors, best, score = bound(seen).astype(np.float32), [], []
-            # In parts, so that the dense counts stay small.
-            for at in range(0, len(texts), 256):
-                lo, hi = np.searchsorted(doc, [at, at + 256])
-                counts = np.zeros((min(256, len(texts) - at), len(seen)), np.float32)
-                counts[doc[lo:hi] - at, code[lo:hi]] = n[lo:hi]
-                bundle = counts @ vectors
-                size = np.linalg.norm(bundle, axis=1)
-                cosine = bundle @ profiles.prototypes.T / np.where(size > 0, size, 1)[:, None]
-                known = counts.any(axis=1) if len(profiles.languages) else np.zeros(len(counts), bool)
-                top = cosine.argmax(axis=1) if len(profiles.languages) else np.zeros(len(counts), int)
-                best += [profiles.languages[k] if ok else "und" for k, ok in zip(top, known)]
-                score += [float(min(1, max(0, (1 + c[k]) / 2))) if ok else 0.0 for c, k, ok in zip(cosine, top, known)]
-            letters = [int(np.count_nonzero(_symbols()[np.frombuffer(t.encode("utf-32-le"), "<u4")])) for t in texts]
+            doc, code, n = counted(texts)
+            seen, code = np.unique(code, return_inverse=True)
+            bundle, any_trigram = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), bool)
+            any_trigram[doc] = True
+            # In parts of codes and texts, so that vectors and dense counts stay small.
+            for c in range(0, len(seen), 4096):
+                vectors, mine = bound(seen[c : c + 4096]).astype(np.float32), (code >= c) & (code < c + 4096)
+                d, k, m = doc[mine], code[mine] - c, n[mine]
+                for at in range(0, len(texts), 256):
+                    lo, hi = np.searchsorted(d, [at, at + 256])
+                    counts = np.zeros((min(256, len(texts) - at), len(vectors)), np.float32)
+                    counts[d[lo:hi] - at, k[lo:hi]] = m[lo:hi]
+                    bundle[at : at + 256] += counts @ vectors
+            size = np.linalg.norm(bundle, axis=1)
+            cosine = bundle @ profiles.prototypes.T / np.where(size > 0, size, 1)[:, None]
+            known = any_trigram if len(profiles.languages) else np.zeros(len(texts), bool)
+            top = cosine.argmax(axis=1) if len(profiles.languages) else np.zeros(len(texts), int)
+            best = [profiles.languages[k] if ok else "und" for k, ok in zip(top, known)]
+            score = [float(min(1, max(0, (1 + c[k]) / 2))) if ok else 0.0 for c, k, ok in zip(cosine, top, known)]
+            letters = [sum(int(np.count_nonzero(_symbols()[np.frombuffer(t[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")])) for at in range(0, len(t), PIECE)) for t in texts]
             yield pa.record_batch([b.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64()), *(b.column(f"_keep_{k}") for k in range(len(keep)))], names=names)
 
     d = docs_of(docs, id_col, text_col, **{f"_keep_{k}": c for k, c in enumerate(keep)})
