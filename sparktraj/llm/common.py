@@ -29,16 +29,32 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a new local one only where unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_dir()}"
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; where it's unset, a new local one, with a local master only."""
+    if at := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return at
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{_own_dir()}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes the tables and files written to the shared folder so far, when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut, and lost executors lose nothing.  ``drop_staged`` takes it away."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

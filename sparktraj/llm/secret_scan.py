@@ -2,7 +2,8 @@
 
 Three base kinds are found per text by pattern; further credential shapes are candidates only.  All candidate values are
 hashed, counted by distinct repository and distinct owner over the whole corpus, and a value held by few owners counts as
-live, one copied widely as an example.  Live candidates of the further shapes are added to the base spans.
+live, one copied widely as an example.  Live candidates of the further shapes are added to the base spans.  A repository's owner is a column
+of its own, or else what stands before the first slash of the repository's name, the whole name if it has none.
 
 Defined results: a null text is empty and has no spans; a null id is passed through; a null repository or owner counts as
 one unnamed one; repeated rows each give a row and count once per repository; an empty table gives an empty table; other
@@ -49,9 +50,9 @@ _VALUES = {
 }
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, repo, owner, base and extra arrays of (s, rank, e, kind, h)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), (F.col(owner_col).cast("string") if owner_col else F.substring_index(F.col(repo_col).cast("string"), "/", 1)).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     kinds = [*BASE, *EXTRA]
     for kind, (prefix, match, gate, *_) in (BASE | EXTRA).items():
         d = d.withColumn(f"_{kind}", F.expr(spans_of("_t", prefix, match, gate)))
@@ -74,15 +75,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return c.groupBy("h").agg(F.count_distinct(F.coalesce("repo", F.lit(""))).alias("n_repos"), F.count_distinct(F.coalesce("owner", F.lit(""))).alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", max_live_owners: int = 2) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, max_live_owners: int = 2, max_live_repos: int = 5) -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, base_sha256, spans, and n_live and n_example over all its spans.
 
-    A value found with at most ``max_live_owners`` owners and repositories is live, else an example.
+    A value found with at most ``max_live_owners`` owners, in at most ``max_live_repos`` of their repositories, is live, else an example.
     """
     found = candidates(docs, id_col, text_col, repo_col, owner_col)
     each = found.where("size(base) + size(extra) > 0").select("rid", F.explode(F.concat("base", "extra")).alias("x"))
-    judged = each.withColumn("h", F.col("x.h")).join(ownership(found), "h")
-    live = (F.col("n_repos") <= max_live_owners) & (F.col("n_owners") <= max_live_owners)
+    judged = each.withColumn("h", F.col("x.h")).join(stage(ownership(found), "secret-owners"), "h")  # written first: a value held very often is then split by the engine
+    live = (F.col("n_repos") <= max_live_repos) & (F.col("n_owners") <= max_live_owners)
     per_doc = judged.groupBy("rid").agg(
         F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_example"),
         F.collect_list(F.when(live & (F.col("x.rank") >= len(BASE)), F.col("x"))).alias("added"),
