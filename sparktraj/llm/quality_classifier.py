@@ -1,14 +1,15 @@
 """Quality classifier by positive-unlabelled learning.
 
 A linear model over shape features of the text is trained on trusted positives and unlabelled texts by minimising the
-non-negative unbiased risk: pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]) with the logistic loss, where the class prior pi is
-estimated as the share of positives among labelled training rows.
+non-negative unbiased risk: pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]) with the logistic loss.  The class prior pi is estimated
+from positives and unlabelled texts alone, by the best bin: of all thresholds on a score that tells the two apart, on rows that it wasn't
+trained on, the least upper bound of the ratio of the share of unlabelled texts above it to that of positives.  Negative labels are not used.
 
-At most ``MOST_POSITIVE`` positives and ``MOST_UNLABELLED`` unlabelled texts, those of least id hash, are used to fit; all texts are scored.
+The unlabelled texts are drawn from all training rows, whatever their label.  ``fit`` takes at most ``most_positive`` positives and
+``most_unlabelled`` unlabelled texts, those of least id hash; all texts are scored.
 
-Defined results: a null text is empty; ids, null or repeated, are carried through; a text with contradictory labels counts as unlabelled;
-without positives or unlabelled texts every score is the prior (0.5 without labels); an empty table gives an empty result; only the named
-columns are read.
+Defined results: a null text is empty; ids, null or repeated, are carried through; a text with contradictory labels is no positive;
+without positives every score is 0.5; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from sparktraj.llm.common import arrow_map, crc_fold, docs_of, id_type, read, slices
 
-MOST_POSITIVE, MOST_UNLABELLED = 10_000, 20_000
+#: Characters that are worked on at a time.
+PIECE = 1_000_000
 #: Kinds of characters: fixed sets, then letters by case, digits, white space and the rest.
 KINDS = (" ", "\n", ".", ",;:", "!", "?", "|", "#", "*", "$", "%", "&<>", "-_", "()[]{}", "'\"")
 N_KINDS = len(KINDS) + 5
@@ -74,12 +76,17 @@ def features(texts: pa.Array) -> np.ndarray:
     words, lines = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts)), pc.split_pattern(texts, "\n")
     listed = texts.to_pylist()
     size = np.array([len(t) for t in listed])
-    cp = np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), "<u4")
-    doc = np.repeat(np.arange(len(listed)), size)
-    kind = _kinds()[cp].astype(np.int64)
-    inside = doc[1:] == doc[:-1]
-    pairs = np.bincount((doc[1:] * N_KINDS**2 + kind[:-1] * N_KINDS + kind[1:])[inside], minlength=len(listed) * N_KINDS**2).reshape(len(listed), -1)
-    single = np.bincount(doc * N_KINDS + kind, minlength=len(listed) * N_KINDS).reshape(len(listed), -1)
+    pairs, single = np.zeros((len(listed), N_KINDS**2), np.int64), np.zeros((len(listed), N_KINDS), np.int64)
+    ends, whole = np.cumsum(size), "".join(listed)
+    del listed
+    for at in range(0, len(whole), PIECE):
+        # One character more, so that no pair is lost between pieces.
+        kind = _kinds()[np.frombuffer(whole[at : at + PIECE + 1].encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)
+        doc = np.searchsorted(ends, np.arange(at, at + len(kind)), "right")
+        lo, hi = int(doc[0]), int(doc[-1]) + 1
+        inside = doc[1:] == doc[:-1]
+        pairs[lo:hi] += np.bincount(((doc[1:] - lo) * N_KINDS**2 + kind[:-1] * N_KINDS + kind[1:])[inside], minlength=(hi - lo) * N_KINDS**2).reshape(hi - lo, -1)
+        single[lo:hi] += np.bincount(((doc - lo) * N_KINDS + kind)[:PIECE], minlength=(hi - lo) * N_KINDS).reshape(hi - lo, -1)
     n_words, distinct = _repeats(words)
     n_lines, distinct_lines = _repeats(lines)
     n_grams, distinct_grams = _repeats(words, 3)
@@ -101,8 +108,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Full-batch Adam.  Where the estimated risk on negatives is below 0, the step goes up that part alone, as the method has it."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, apart: bool = False) -> Model:
+    """Full-batch Adam; ``apart``: unlabelled texts count as negatives.  Where the estimated risk on negatives is below 0, the step goes up that part alone, as the method has it."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0)
     scale = np.where(scale > 1e-4, scale, 1.0)
@@ -112,10 +119,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        negative = 1.0 if apart else np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         # Slopes of the losses in z: l(z) has sigmoid(z) - 1, l(-z) has sigmoid(z).
         gp, gu = -prior * sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        if negative < 0:
+        if apart:
+            gp, gu = prior * (sigmoid(zp) - 1) / len(p), (1 - prior) * gu
+        elif negative < 0:
             gp, gu = -gp, -gu
         else:
             gp = gp + prior * (sigmoid(zp) - 1) / len(p)
@@ -125,32 +134,55 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(w[:-1].astype(np.float32), float(w[-1]), mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """``docs`` and ``labels`` are the training rows.  Ids are chosen first and broadcast (``MOST_POSITIVE + MOST_UNLABELLED`` at most); texts don't move."""
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    marks = marks.select("doc_id", F.when(F.col("a") == F.col("b"), F.col("a")).alias("label"))
-    n = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
-    prior = min(0.99, max(0.01, n.get(1, 0) / total)) if (total := n.get(0, 0) + n.get(1, 0)) else 0.5
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled texts, from scores of both (best bin estimation)."""
+    at = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), at, "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at, "left") / len(unlabelled)
+    bound = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    best = np.argmin((u + bound) / p)
+    return float(min(0.99, max(0.01, u[best] / p[best])))
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """The prior, from a classifier of one half of the rows against the other half, and the model with it."""
+    p, u = (np.random.default_rng(3).permutation(len(x)) % 2 == 0 for x in (positive, unlabelled))
+    scored: list[list[np.ndarray]] = [[], []]
+    if min(p.sum(), (~p).sum(), u.sum(), (~u).sum()) > 0:
+        for a, b in ((p, u), (~p, ~u)):
+            # With no positives taken off the unlabelled risk, this tells the two samples apart.
+            apart = fit_nnpu(positive[a], unlabelled[b], 0.5, apart=True)
+            scored[0].append(apart.score(positive[~a]))
+            scored[1].append(apart.score(unlabelled[~b]))
+        prior = prior_of(*map(np.concatenate, scored))
+    else:
+        prior = 0.5
+    return fit_nnpu(positive, unlabelled, prior)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_positive: int = 10_000, most_unlabelled: int = 20_000) -> Model:
+    """``docs`` and ``labels`` are the training rows.  Ids are chosen first and broadcast (``most_positive + most_unlabelled`` at most); texts don't move."""
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("a"))
     d = docs_of(docs, id_col, text_col)
     first = lambda x, most: x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    positive = first(marks.where("label = 1").select("doc_id"), MOST_POSITIVE)
-    unlabelled = first(d.where("doc_id IS NOT NULL").select("doc_id").join(marks.where("label IS NOT NULL"), "doc_id", "left_anti").distinct(), MOST_UNLABELLED)
-    ids = positive.withColumn("label", F.lit(1)).unionByName(unlabelled.withColumn("label", F.lit(0)))
+    positive = first(marks.where("a = 1").select("doc_id"), most_positive).withColumn("p", F.lit(True))
+    unlabelled = first(d.where("doc_id IS NOT NULL").select("doc_id").distinct(), most_unlabelled).withColumn("u", F.lit(True))
+    ids = positive.join(unlabelled, "doc_id", "full").select("doc_id", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([b.column("label"), pa.array([x.tobytes() for x in features(b.column("text")).astype("<f4")], pa.binary())], names=["label", "x"])
+            yield pa.record_batch([b.column("p"), b.column("u"), pa.array([x.tobytes() for x in features(b.column("text")).astype("<f4")], pa.binary())], names=["p", "u", "x"])
 
-    table = arrow_map(d.join(F.broadcast(ids), "doc_id").select("label", "text"), run, "label int, x binary").toArrow()
-    label = table["label"].to_numpy()
+    table = arrow_map(d.join(F.broadcast(ids), "doc_id").select("p", "u", "text"), run, "p boolean, u boolean, x binary").toArrow()
     width = N_PLAIN + N_KINDS + N_KINDS**2
     x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, width)
+    p, u = (table[k].to_numpy() for k in "pu")
     # A fixed order: sums in floating point then don't depend on how tasks ended.
-    order = np.lexsort((*x[:, :4].T, label))
-    x, label = x[order], label[order]
-    if not (label == 1).any() or not (label == 0).any():
-        return Model(np.zeros(width, np.float32), float(np.log(prior / (1 - prior))), np.zeros(width), np.ones(width))
-    return fit_nnpu(x[label == 1], x[label == 0], prior)
+    order = np.lexsort((*x[:, :4].T, u, p))
+    x, p, u = x[order], p[order].astype(bool), u[order].astype(bool)
+    if not p.any() or not u.any():
+        return Model(np.zeros(width, np.float32), 0.0, np.zeros(width), np.ones(width))
+    return fit_pu(x[p], x[u])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
