@@ -6,11 +6,12 @@
    bucket.  Buckets over ``LEAF`` are split again on newly sampled tokens, ``DEPTH`` times at most.  Runs are repeated until
    a pair at the threshold is found with the target recall.
 3. Small buckets are brute-forced on the embedding.  In a large one all classes are compared with a pivot: those near it are its
-   candidates, and only what could still have a partner among classes that aren't near is split further.  What is large at
-   the last level shares so many sampled tokens that all of it is taken as candidates.  Connected candidates form a
-   *candidate cluster*.
-4. Within each candidate cluster all pairs are compared by their exact sets, in blocks of ``BLOCK`` classes; links are counted and
-   never listed.  Each block returns, for a class, its number of links and the least class that it is connected to.
+   candidates, and only classes very close to it leave the splitting.  Shares of unequal tokens obey the triangle inequality, so
+   what the brute force would pair with a class very close to the pivot is near the pivot itself, and nothing is lost by that.
+   What is large at the last level shares so many sampled tokens that all of it is taken as candidates.  Connected candidates
+   form a *candidate cluster*.
+4. Within each candidate cluster all pairs are compared by their exact sets, in blocks of about ``BLOCK`` classes and ``BLOCK_BYTES`` of
+   n-grams; links are counted and never listed.  Each block returns, for a class, its number of links and the least class that it is connected to.
 
 Result: one row per document: doc_id, class_id (the least doc_id among all documents connected by links), n_links (other documents at
 the threshold or above, copies included), text_class (equal for equal sets), n_copies (documents of the text class).
@@ -36,11 +37,14 @@ from sparktraj.llm.common import arrow_map, docs_of, id_type, read, slices, stag
 COORDS = 64
 LEAF = 1000
 DEPTH = 4
-BLOCK = 3000
+BLOCK, BLOCK_BYTES = 3000, 48_000_000
 #: Chance that one run brings a pair at the threshold together, for buckets split to the last level (a critical branching process).
 RUN_FINDS = 0.35
-#: On the embedding, candidates are this much below the threshold; classes this close to a pivot have no partner that isn't its candidate.
+#: On the embedding, candidates are this much below the threshold; classes this close to a pivot leave the splitting of its bucket, and the
+#: pivot's own candidates are further below the threshold by as much as those may differ from it.
 SLACK, CLOSE = 0.2, 0.88
+#: Bits of the filter of clustered classes, each of which sets one; a fixed size, 4 MB.
+FILTER_BITS = 1 << 25
 #: Rows up to which the table of clustered classes (a digest and four numbers) or of pivots (an embedding) is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -98,14 +102,14 @@ def _embedded(grams: np.ndarray) -> np.ndarray:
 
 
 def embedded(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, key (of the set of n-grams, null for none) and the embedding, staged."""
+    """doc_id, text_hash, key (of the set of n-grams, null for none), the set's size and the embedding, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = gram_sets(_texts(b), n)
-            yield pa.record_batch([b.column("doc_id"), pa.array([_digest(s) for s in sets], pa.string()), pa.array([_embedded(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "key", "sig"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array([_digest(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_embedded(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "text_hash", "key", "size", "sig"])
 
-    return stage(arrow_map(docs, run, f"doc_id {id_type(docs)}, key string, sig binary"), "embedded")
+    return stage(arrow_map(docs, run, f"doc_id {id_type(docs)}, text_hash long, key string, size long, sig binary"), "embedded")
 
 
 def runs_for(recall: float) -> int:
@@ -222,8 +226,9 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float) -> Dat
     at, found = classes, []
     for level in range(DEPTH):
         rows = stage(arrow_map(at, _paths(similarity, level, tuple(roots) if level == 0 else ()), "cls long, node long"), f"paths{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = stage(rows.join(sizes, "node").join(classes, "cls"), f"buckets{level}")
+        # Counted and written first: a bucket with very many rows is then split by the engine where it is joined.
+        sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
+        sized = stage(rows.join(_small(sizes), "node").join(classes, "cls"), f"buckets{level}")
         small = sized.where(F.col("n") <= LEAF).select("cls", "sig", "node")
         found.append(arrow_map(small.repartition("node").sortWithinPartitions("node", "cls"), _leaf_edges(similarity - SLACK), "a long, b long"))
         large = sized.where(F.col("n") > LEAF)
@@ -235,7 +240,7 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float) -> Dat
             break
         pivots = stage(large.groupBy("node").agg(F.min(F.struct("cls", "sig")).alias("p")).selectExpr("node", "p.cls AS pivot", "p.sig AS pivot_sig"), "pivots")
         shared = stage(arrow_map(large.join(_small(pivots), "node").select("cls", "sig", "node", "pivot", "pivot_sig"), _to_pivot, "cls long, sig binary, node long, pivot long, share double"), "shared")
-        found.append(shared.where((F.col("share") >= similarity - SLACK) & (F.col("cls") != F.col("pivot"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        found.append(shared.where((F.col("share") >= similarity - SLACK - (1 - CLOSE)) & (F.col("cls") != F.col("pivot"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         at = shared.where(F.col("share") < CLOSE).select("cls", "sig", "node")
     out = found[0]
     for x in found[1:]:
@@ -308,7 +313,12 @@ def _exact(similarity: float):
         if not len(rows) or not len(cols):
             return links, label
         size = np.fromiter(map(len, sets), np.float64, len(sets))
-        near = shared(sets, rows, cols) * (1 + similarity) >= similarity * (size[rows][:, None] + size[cols][None, :]) - 1e-6
+        common, near = shared(sets, rows, cols), np.zeros((len(rows), len(cols)), bool)
+        for at in range(0, len(rows), 500):
+            # Whole numbers, so that pairs at just the threshold don't hang on rounding.
+            least = np.ceil(similarity * (size[rows[at : at + 500]][:, None] + size[cols][None, :]) / (1 + similarity) - 1e-9)
+            near[at : at + 500] = common[at : at + 500] >= least
+        del common
         if own:
             np.fill_diagonal(near, False)
         links[rows] += near @ weight[cols]
@@ -339,14 +349,25 @@ def _exact(similarity: float):
     return run
 
 
-def _grams_of(n: int, seen_most: int = 200_000):
-    """key and grams of each text, of copies in a partition only one as long as its key is remembered."""
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A bitmap in which each text hash sets a bit.  Its words come to the driver, ``FILTER_BITS`` at most."""
+    bit = F.pmod("text_hash", F.lit(FILTER_BITS))
+    words = hashes.select(bit.alias("bit")).groupBy(F.expr("bit DIV 32 AS word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _grams_of(n: int, bitmap: np.ndarray, seen_most: int = 50_000):
+    """key and grams of the texts whose hash sets a bit that ``bitmap`` has, of copies in a partition only one as long as its key is remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for b in slices(batches):
+            bit = b.column("text_hash").to_numpy() % FILTER_BITS
+            b = b.filter(pa.array((bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
             rows = []
-            for s in gram_sets(_texts(b), n):
+            for s in gram_sets(_texts(b), n) if len(b) else []:
                 k = _digest(s)
                 if k is not None and k not in seen:
                     seen.add(k)
@@ -362,23 +383,25 @@ def _grams_of(n: int, seen_most: int = 200_000):
 
 def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """See the module's docstring."""
-    d = docs_of(docs, id_col, text_col)
+    d = docs_of(docs, id_col, text_col).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     told = embedded(d, n)
-    classes = stage(told.where("key IS NOT NULL").groupBy("key").agg(F.min("sig").alias("sig"), F.count("*").alias("n_docs"), F.min("doc_id").alias("least_id")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = stage(told.where("key IS NOT NULL").groupBy("key").agg(F.min("sig").alias("sig"), F.min("size").alias("size"), F.min("text_hash").alias("text_hash"), F.count("*").alias("n_docs"), F.min("doc_id").alias("least_id")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     clusters = components(candidate_edges(classes.select("cls", "sig"), similarity, recall))
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    clustered = stage(clusters.withColumnRenamed("node", "cls").join(sizes, "label").join(classes.select("cls", "key", "n_docs"), "cls").selectExpr("key", "cls", "label AS cluster", "n_docs", f"CAST(ceil(n / {BLOCK}) AS int) AS blocks"), "clustered")
-    held = arrow_map(d.select("text"), _grams_of(n), "key string, grams binary").join(_small(clustered), "key")
+    of = stage(clusters.withColumnRenamed("node", "cls").join(classes.select("cls", "key", "n_docs", "size", "text_hash"), "cls"), "clusters")
+    sizes = stage(of.groupBy("label").agg(F.expr(f"CAST(ceil(greatest(count(*) / {BLOCK}, sum(size) * 8 / {BLOCK_BYTES})) AS int)").alias("blocks")), "cluster-sizes")
+    clustered = stage(of.join(_small(sizes), "label").selectExpr("key", "cls", "label AS cluster", "n_docs", "blocks", "text_hash"), "clustered")
+    # The n-grams of one text of each class are enough.
+    held = arrow_map(d.select("text", "text_hash"), _grams_of(n, _bits(clustered)), "key string, grams binary").join(_small(clustered.drop("text_hash")), "key")
     blocks = held.withColumn("side", F.expr("CAST(pmod(xxhash64(cls), blocks) AS int)")).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     blocks = blocks.selectExpr("cls", "grams", "n_docs", "side", "least(side, other) AS lo", "greatest(side, other) AS hi", "xxhash64(cluster, least(side, other), greatest(side, other)) AS g")
     exact = stage(arrow_map(blocks.repartition("g").sortWithinPartitions("g"), _exact(similarity), "cls long, links long, label long"), "exact")
     links = exact.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(exact.where("cls <> label").select(F.col("cls").alias("a"), F.col("label").alias("b")).distinct())
-    per_class = classes.drop("sig").join(links, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("key", "n_docs", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "cls").alias("label"))
+    per_class = classes.drop("sig", "size", "text_hash").join(links, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("key", "n_docs", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "cls").alias("label"))
     per_class = stage(per_class, "linked")
     least = per_class.groupBy("label").agg(F.min("least_id").alias("class_id"))
     per_class = per_class.join(least, "label").selectExpr("key", "class_id", "links + n_docs - 1 AS n_links", "n_docs AS n_copies")
-    return told.drop("sig").join(per_class, "key", "left").selectExpr("doc_id", "CASE WHEN key IS NULL THEN doc_id ELSE class_id END AS class_id", "coalesce(n_links, 0L) AS n_links", "key AS text_class", "coalesce(n_copies, 1L) AS n_copies")
+    return told.select("doc_id", "key").join(per_class, "key", "left").selectExpr("doc_id", "CASE WHEN key IS NULL THEN doc_id ELSE class_id END AS class_id", "coalesce(n_links, 0L) AS n_links", "key AS text_class", "coalesce(n_copies, 1L) AS n_copies")
 
 
 def op7_chosen_path(spark, sf_dir):

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -379,6 +380,74 @@ def test_language_id(spark, hard, empty):
     assert {r.lang_pred for r in language_id.predict(hard, nothing).collect()} == {"und"} and language_id.predict(empty, profiles).count() == 0
 
 
+def test_language_id_against_plain_vectors(spark):
+    texts = [("das ist ein Haus", "de"), ("ein Baum und das Tal", "de"), ("the house is here", "en"), ("a tree, and the dale", "en"), ("日々 の", "ja"), ("々〻 日々", "ja")]
+    asked = ["das Tal", "the dale", "々", "12 .", "House", "日々"]
+    letters = language_id._letters().astype(int)
+
+    def vector(text):
+        symbols, out = [0], np.zeros(language_id.DIMS, int)
+        for c in text + "\n\n":
+            k = int(language_id._symbols()[ord(c)])
+            if k or symbols[-1]:
+                symbols.append(k)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            if b or (a and c):
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    def trigrams(text):
+        return sum(len(w) for w in __import__("re").sub(r"[^\w]|\d", " ", text).split()) + max(0, len(__import__("re").sub(r"[^\w]|\d", " ", text).split()) - 1)
+
+    names = ["de", "en", "ja"]
+    bundle = {n: sum(vector(t) for t, x in texts if x == n) / sum(trigrams(t) for t, x in texts if x == n) for n in names}
+    mean = sum(bundle.values()) / 3
+    profiles = language_id.fit(spark.createDataFrame(texts, "text string, lang string"))
+    assert profiles.languages == tuple(names)
+    for n, got in zip(names, profiles.prototypes):
+        want = bundle[n] - mean
+        assert np.abs(got - want / np.linalg.norm(want)).max() < 1e-5
+    for r in language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), profiles).collect():
+        v = vector(asked[r.doc_id])
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = profiles.prototypes @ v / np.linalg.norm(v)
+        assert r.lang_pred == names[int(cosine.argmax())] and abs(r.score - (1 + cosine.max()) / 2) < 1e-5
+
+
+def test_equal_cosines_and_pieces(spark, monkeypatch):
+    same = spark.createDataFrame([("one text", "b"), ("one text", "a"), ("other words", "c")], "text string, lang string")
+    assert language_id.predict(spark.createDataFrame([(1, "one text")], "doc_id long, text string"), language_id.fit(same)).first().lang_pred == "a"
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (0, 1, 30, 400)] + ["日々, x . \n\n été " * 40]
+    whole = language_id.counted(texts), quality_classifier.features(pa.array(texts))
+    for piece in (7, 64, 1001):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        monkeypatch.setattr(quality_classifier, "PIECE", piece)
+        assert all((x == y).all() for x, y in zip(language_id.counted(texts), whole[0]))
+        assert (quality_classifier.features(pa.array(texts)) == whole[1]).all()
+
+
+def test_prior_and_risk_against_plain_sums():
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.8):
+        p = rng.normal(1.5, 1, 4000)
+        u = np.concatenate([rng.normal(1.5, 1, int(6000 * share)), rng.normal(-1.5, 1, 6000 - int(6000 * share))])
+        assert abs(quality_classifier.prior_of(p, u) - share) < 0.06
+    positive, unlabelled, prior, decay = rng.normal(0.7, 1, (300, 4)), np.concatenate([rng.normal(0.7, 1, (200, 4)), rng.normal(-0.7, 1, (200, 4))]), 0.5, 1e-3
+    model = quality_classifier.fit_nnpu(positive, unlabelled, prior, steps=3000, decay=decay)
+    loss = lambda z: float(np.log1p(np.exp(-z)).mean())
+
+    def risk(w, bias):
+        fp, fu = ((np.clip((x - model.mean) / model.scale, -8, 8)) @ w + bias for x in (positive, unlabelled))
+        return prior * loss(fp) + max(0.0, loss(-fu) - prior * loss(-fp)) + decay / 2 * float(w @ w)
+
+    best = risk(model.weights.astype(float), model.bias)
+    assert all(risk(model.weights + rng.normal(0, s, 4), model.bias + rng.normal(0, s)) > best - 2e-4 for s in (0.02, 0.1, 0.5, 2) for _ in range(40))
+    assert best < risk(np.zeros(4), 0.0) - 0.05
+
+
 def test_quality_classifier(spark, hard, empty):
     rng = random.Random(8)
     rows, marks = [], []
@@ -399,6 +468,46 @@ def test_quality_classifier(spark, hard, empty):
     assert {r.score for r in quality_classifier.predict(hard, flat).collect()} == {0.5} and quality_classifier.predict(empty, model).count() == 0
 
 
+def test_jaccard_recall_at_default_sizes(spark):
+    """Thousands of pairs around the threshold, with the sizes that production uses: a bucket of all classes is split by pivots."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(260):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 160))]
+        for _ in range(rng.randint(2, 7)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    # A family that fills buckets over a leaf's size: two halves with a common start, near within and hardly near across.
+    start = [rng.choice(vocabulary) for _ in range(300)]
+    for k in range(1300):
+        copy = start + [rng.choice(vocabulary) for _ in range(5)]
+        for at in rng.sample(range(300), k % 6):
+            copy[at] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    sets = [sets_of(t) for t in texts]
+    holders = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            holders[g].append(i)
+    common = np.zeros((len(texts), len(texts)), np.int32)
+    for of in holders.values():
+        if len(of) > 1:
+            common[np.ix_(of, of)] += 1
+    size = np.array([len(x) for x in sets])
+    near = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-9
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    got = {r.doc_id: r for r in chosen_path.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = np.array([got[k].n_links for k in range(len(texts))])
+    assert near.sum() > 500_000 and (found <= want).all()
+    family = np.arange(len(texts)) >= len(texts) - 1300
+    for part in (family, ~family):
+        assert found[part].sum() >= 0.99 * want[part].sum()
+
+
 def test_pipeline_stages(spark, hard, empty):
     import corpus_pipeline
 
