@@ -176,7 +176,7 @@ class Bpe:
 @functools.cache
 def _bpe(path: str) -> tuple[Bpe, ChunkEncoder]:
     bpe = Bpe(path)
-    return bpe, ChunkEncoder(SPACES, bpe.encode)
+    return bpe, ChunkEncoder(SPACES, bpe.encode, most=24_000_000)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,14 @@
 """Encoding of whole texts by way of their distinct chunks.
 
-A text is cut where no token can cross, the chunks of many texts are made distinct by Arrow, and only chunks that a
-worker hasn't met lately are encoded.  Texts that cannot be cut safely are encoded whole.  What the cut may be depends on
-the tokenizer's pre-tokenization, so each of the two kinds of vocabulary has its own ``Cutter``.
+A text is cut where no token can cross, the chunks of many texts are made distinct by Arrow, and each distinct one is encoded.
+Texts that cannot be cut safely are encoded whole.  What the cut may be depends on the tokenizer's pre-tokenization, so each of
+the two kinds of vocabulary has its own ``Cutter``.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -47,30 +48,39 @@ SPACES = Cutter(_spaces, r"\x00|" + _ANY_WS + r"[ \n](" + _ANY_WS + r"|\z)")
 class ChunkEncoder:
     """``encode``: list of chunks or whole texts -> little-endian 32-bit ids of each.
 
-    Chunks met lately are kept, ``limit`` at most in each of two generations: when the younger is full, the older goes.
+    Chunks met lately are kept in two generations: when the younger holds ``most`` bytes, the older goes.  Long chunks aren't kept.
+    It pays where ``encode`` takes several times as long as looking a chunk up and keeping it; with 0 nothing is kept.
     """
 
-    def __init__(self, cutter: Cutter, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
-        self.cutter, self.encode, self.limit = cutter, encode, limit
+    #: Bytes that an entry takes beside its text and ids, and the longest chunk that is kept.
+    _ENTRY, _LONGEST = 250, 200
+
+    def __init__(self, cutter: Cutter, encode: Callable[[list[str]], list[bytes]], most: int = 0):
+        self.cutter, self.encode, self.most = cutter, encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _look_up(self, chunks: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = list(map(young.get, chunks))
-        new = []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            if (x := old.get(chunks[i])) is None:
-                new.append(i)
-            else:
-                found[i] = young[chunks[i]] = x
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            words = [chunks[i] for i in part]
-            if len(young) + len(part) > self.limit:
-                self.old, self.young = young, (young := {})
-            for i, word, ids in zip(part, words, self.encode(words)):
-                found[i] = young[word] = ids
+        if not self.most:
+            return self.encode(chunks)
+        found = list(map(self.young.get, chunks))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
+            new = []
+            for i in part:
+                if (x := self.old.get(chunks[i])) is None:
+                    new.append(i)
+                else:
+                    found[i] = x
+            for i, ids in zip(new, self.encode([chunks[i] for i in new])):
+                found[i] = ids
+            if self.held > self.most:
+                self.old, self.young, self.held = self.young, {}, 0
+            kept = {chunks[i]: found[i] for i in part if len(chunks[i]) <= self._LONGEST}
+            self.young.update(kept)
+            self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + self._ENTRY * len(kept)
         return found
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -89,7 +99,7 @@ class ChunkEncoder:
                 continue
             lists = self.cutter.cut(texts.filter(keep))
             flat = lists.flatten().dictionary_encode()
-            ids = self._look_up(flat.dictionary.to_pylist())
+            ids = self._look_up(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             start = np.cumsum(size) - size
             table, codes = np.frombuffer(b"".join(ids), "<u4"), flat.indices.to_numpy()
@@ -103,11 +113,11 @@ class ChunkEncoder:
         return out
 
 
-def by_library(path: str, alone: Callable[[str], str | None]) -> Callable[[list[str]], list[bytes]]:
+def by_library(path: str, lowered: bool) -> Callable[[list[str]], list[bytes]]:
     """Encoding with the tokenizers library: each string as a text of its own, without special tokens being added.
 
-    ``alone`` gives, for a string that normalization leaves as it is and that is one word, the symbols that the model sees; such
-    words go straight to the model.
+    Strings that normalization leaves as they are and that are one word go straight to the library's model: in a byte-level
+    vocabulary letters, maybe after one space; in one of ``lowered`` words lower-case letters in composed form.
     """
     import os
 
@@ -117,19 +127,32 @@ def by_library(path: str, alone: Callable[[str], str | None]) -> Callable[[list[
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
     whole.no_padding()
-    model = Tokenizer(whole.model)
-
-    def each(tok: Tokenizer, words: list[str]) -> list[bytes]:
-        e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(e.ids, "<u4").tobytes()
-        cut = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1)) * 4).tolist()
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    model = whole.model
+    model._resize_cache(0)  # distinct words find nothing in it
+    letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+    one_word = r"^\p{L}+\z" if lowered else r"^ ?\p{L}+\z"
+
+    def symbols(word: str) -> str:
+        if word.isascii():
+            return word.replace(" ", letters[32])
+        return word.encode().decode("latin-1").translate(letters)
+
+    def by_whole(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            e = whole.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            cut = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
+            out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        return out
 
     def encode(words: list[str]) -> list[bytes]:
-        symbols = list(map(alone, words))
-        out = iter(each(model, [x for x in symbols if x is not None]))
-        rest = iter(each(whole, [w for w, x in zip(words, symbols) if x is None]))
-        return [next(rest if x is None else out) for x in symbols]
+        alone = pc.match_substring_regex(pa.array(words, pa.large_string()), one_word).to_numpy(zero_copy_only=False).tolist()
+        if lowered:
+            alone = [x and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)) for x, w in zip(alone, words)]
+        rest = iter(by_whole([w for w, x in zip(words, alone) if not x]))
+        return [array("I", [t.id for t in model.tokenize(symbols(w))]).tobytes() if x else next(rest) for w, x in zip(words, alone)]
 
     return encode
 
@@ -139,27 +162,3 @@ def byte_letters() -> dict[int, str]:
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-_LETTERS = byte_letters()
-
-
-def byte_word(chunk: str) -> str | None:
-    """For a byte-level vocabulary: letters, maybe after one space, are one word."""
-    word = chunk[1:] if chunk[:1] == " " else chunk
-    if not word.isalpha():
-        return None
-    if chunk.isascii():
-        return chunk.replace(" ", _LETTERS[32])
-    return "".join(map(_LETTERS.__getitem__, chunk.encode()))
-
-
-def lower_word(chunk: str) -> str | None:
-    """For a vocabulary of lowered words: lower-case letters in composed form are one word."""
-    if not chunk.isalpha():
-        return None
-    if chunk.isascii():
-        return chunk if chunk.islower() else None
-    if chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
-        return "".join(map(_LETTERS.__getitem__, chunk.encode()))
-    return None

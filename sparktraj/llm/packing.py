@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktraj.llm.chunks import SPACES, ChunkEncoder, by_library, byte_word
+from sparktraj.llm.chunks import SPACES, ChunkEncoder, by_library
 from sparktraj.llm.common import CHUNKED_BYTES, arrow_map, docs_of, id_type, read, slices, stage
 
 #: Pieces packed together in one task.
@@ -30,7 +30,7 @@ GROUP = 4000
 
 @functools.cache
 def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(SPACES, by_library(path, byte_word))
+    return ChunkEncoder(SPACES, by_library(path, lowered=False))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktraj.llm.chunks import WORDS, ChunkEncoder, by_library, lower_word
+from sparktraj.llm.chunks import WORDS, ChunkEncoder, by_library
 from sparktraj.llm.common import CHUNKED_BYTES, arrow_map, docs_of, id_type, new_path, read, shared_fs, slices
 
 MANIFEST = "part int, ids string, offsets string, docs string, width int, n_docs long, n_ids long"
@@ -35,7 +35,7 @@ MANIFEST = "part int, ids string, offsets string, docs string, width int, n_docs
 
 @functools.cache
 def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(WORDS, by_library(path, lower_word))
+    return ChunkEncoder(WORDS, by_library(path, lowered=True))
 
 
 def vocabulary_size(path: str) -> int:
