@@ -259,8 +259,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v")
+        # Written first: a node with very many neighbours is then split by the engine where it is joined.
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "least")
+        large = both.join(_small(least), "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v")
         down = large.repartition("u").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         e = stage(down.join(least, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(least.selectExpr("u", "m AS v")).repartition("u").distinct(), "stars")
