@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of ``cells``: three edge vectors, the origin, periodicity and whether the cell is two-dimensional.
@@ -31,13 +31,36 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.  Only a local master may do without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{_own_dir()}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Written to the folder of ``spark.checkpoint.dir`` and read again: lineage is cut and lost executors lose nothing."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_dir()}"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    """Written to the shared folder and read again: lineage is cut and lost executors lose nothing."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def number(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds places from 0 within each frame in an order whose keys tell rows apart.
+
+    Rows are dealt out by ranges of (frame, order), so a frame spreads over many tasks; each task's rows begin at the sum of
+    what tasks before it have of the frame, from a table with a row per task and frame.
+    """
+    dealt = df.repartitionByRange("frame", *(col(c) for c in order)).sortWithinPartitions("frame", *(col(c) for c in order))
+    dealt = stage(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
+    counts = dealt.groupBy("frame", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("frame").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("frame", "_part", (before - F.col("_first")).alias("_base"))
+    out = dealt.join(base, ["frame", "_part"]).withColumn(name, F.col("_row") + F.col("_base"))
+    return out.select(*(col(c) for c in dict.fromkeys([*df.columns, name])))
 
 
 def on_workers(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
-from sparktraj.dataset import POSITION, Dataset, col, on_workers, stage
+from sparktraj.dataset import POSITION, col, Dataset, number, on_workers, stage
 from sparktraj.operators.neighbors import closest, pairs
 from sparktraj.operators.select import selected
 
@@ -119,8 +119,7 @@ def cluster(ds: Dataset, cutoff: float = 3.2, only_selected: bool = False, by_si
     roots = components(pairs(inside, cutoff).where("i < j").select("frame", "i", "j"))
     of = stage(members.join(roots, ["frame", "idx"], "left").select("frame", "idx", F.coalesce("root", "idx").alias("root")), "roots")
     sizes = of.groupBy("frame", "root").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("frame").orderBy(*([F.desc("size")] if by_size else []), "root")
-    numbered = sizes.withColumn("Cluster", F.row_number().over(order))
+    numbered = number(sizes.withColumn("_smaller", -F.col("size")), [*(["_smaller"] if by_size else []), "root"], "_place").withColumn("Cluster", (F.col("_place") + 1).cast("int"))
     d = ds.particles.drop("Cluster").join(of.join(numbered, ["frame", "root"]).select("frame", "idx", "Cluster"), ["frame", "idx"], "left").fillna(0, ["Cluster"])
     facts = ds.cells.select("frame").join(sizes.groupBy("frame").agg(F.count("*").alias("n"), F.max("size").alias("most")), "frame", "left")
     rows = facts.select("frame", F.explode(F.map_from_arrays(F.array(F.lit("ClusterAnalysis.cluster_count"), F.lit("ClusterAnalysis.largest_size")), F.array(F.coalesce("n", F.lit(0)), F.coalesce("most", F.lit(0))))).alias("key", "num"))
@@ -189,8 +188,9 @@ def mean_square_displacement(ds: Dataset, reference_frame: int = 0) -> DataFrame
 def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) -> Dataset:
     """Deformation gradient from the neighbours in the reference, Green strain, shear, volumetric strain and D2min.
 
-    The sums of r0 r0' and r r0' are ordinary aggregates; what is left per particle is algebra on 3x3 matrices.  With fewer than three
-    neighbours, or a matrix that can't be inverted, all are 0 and the particle is selected.
+    The sums of r0 r0' and r r0' are ordinary aggregates; what is left per particle is algebra on 3x3 matrices.  In two dimensions strain
+    is in the plane, the third direction stays as it is.  With fewer than three neighbours, two in two dimensions, or sums whose
+    determinants are under 1e-4, all are 0 and the particle is selected.
     """
     now = reference_pairs(ds, reference_frame, missing="drop").select("frame", "idx", "r_idx", "r_frame", *(col(c).alias(k) for c, k in zip(POSITION, "xyz")))
     ref = pairs(ds.frames([reference_frame]), cutoff).select("i", "j", *(F.col(f"d{k}").alias(f"q{k}") for k in "xyz"))
@@ -198,13 +198,16 @@ def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) ->
     b = now.select("frame", F.col("r_idx").alias("j"), *(F.col(k).alias(f"{k}2") for k in "xyz"))
     d = a.join(ref, "i").join(b, ["frame", "j"]).join(ds.cells, "frame")
     r = g.nearest_image(tuple(F.col(f"{k}2") - F.col(f"{k}1") for k in "xyz"))
-    d = d.select("frame", "idx", *(F.col(f"q{k}") for k in "xyz"), *(x.alias(f"r{k}") for k, x in zip("xyz", r)))
+    d = d.select("frame", "idx", "is2d", *(F.col(f"q{k}") for k in "xyz"), *(x.alias(f"r{k}") for k, x in zip("xyz", r)))
     q, r = [F.col(f"q{k}") for k in "xyz"], [F.col(f"r{k}") for k in "xyz"]
     sums = [F.sum(q[m] * q[n]).alias(f"v{m}{n}") for m in range(3) for n in range(3)] + [F.sum(r[m] * q[n]).alias(f"w{m}{n}") for m in range(3) for n in range(3)]
-    s = d.groupBy("frame", "idx").agg(F.count("*").alias("n"), F.sum(r[0] * r[0] + r[1] * r[1] + r[2] * r[2]).alias("rr"), *sums)
-    v = [[F.col(f"v{m}{n}") for n in range(3)] for m in range(3)]
-    det = v[0][0] * (v[1][1] * v[2][2] - v[1][2] * v[2][1]) - v[0][1] * (v[1][0] * v[2][2] - v[1][2] * v[2][0]) + v[0][2] * (v[1][0] * v[2][1] - v[1][1] * v[2][0])
-    s = s.withColumn("det", det).withColumn("ok", (F.col("n") >= 3) & (F.abs("det") > 1e-4))
+    s = d.groupBy("frame", "idx").agg(F.count("*").alias("n"), F.first("is2d").alias("flat"), F.sum(r[0] * r[0] + r[1] * r[1] + r[2] * r[2]).alias("rr"), *sums)
+    out_of_plane = [(m, n) for m in range(3) for n in range(3) if 2 in (m, n)]
+    s = s.withColumns({f"{x}{m}{n}": F.when(F.col("flat"), float(m == n)).otherwise(F.col(f"{x}{m}{n}")) for x in "vw" for m, n in out_of_plane})
+    v, w = ([[F.col(f"{x}{m}{n}") for n in range(3)] for m in range(3)] for x in "vw")
+    det = lambda a: a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
+    enough = F.col("n") >= F.when(F.col("flat"), 2).otherwise(3)
+    s = s.withColumn("det", det(v)).withColumn("ok", enough & (F.abs("det") > 1e-4) & (F.abs(det(w)) >= 1e-4))
     minor = lambda m, n: v[(n + 1) % 3][(m + 1) % 3] * v[(n + 2) % 3][(m + 2) % 3] - v[(n + 1) % 3][(m + 2) % 3] * v[(n + 2) % 3][(m + 1) % 3]
     s = s.withColumns({f"i{m}{n}": F.try_divide(minor(m, n), F.col("det")) for m in range(3) for n in range(3)})
     s = s.withColumns({f"f{m}{n}": sum((F.col(f"w{m}{k}") * F.col(f"i{k}{n}") for k in range(1, 3)), F.col(f"w{m}0") * F.col(f"i0{n}")) for m in range(3) for n in range(3)})
@@ -213,7 +216,7 @@ def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) ->
     e = {k: F.col(k) for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
     shear = F.sqrt(e["xy"] * e["xy"] + e["xz"] * e["xz"] + e["yz"] * e["yz"] + ((e["xx"] - e["yy"]) * (e["xx"] - e["yy"]) + (e["xx"] - e["zz"]) * (e["xx"] - e["zz"]) + (e["yy"] - e["zz"]) * (e["yy"] - e["zz"])) / 6)
     # The sum of |r - F q|^2 is rr - tr(F W') since F V = W.
-    fit = sum((F.col(f"f{m}{n}") * F.col(f"w{m}{n}") for m in range(3) for n in range(3)), F.lit(0.0))
+    fit = sum((F.col(f"f{m}{n}") * F.col(f"w{m}{n}") for m in range(3) for n in range(3)), F.lit(0.0)) - F.col("flat").cast("double")
     new = {"Shear Strain": shear, "Volumetric Strain": (e["xx"] + e["yy"] + e["zz"]) / 3, "Nonaffine Squared Displacement": F.greatest(F.lit(0.0), F.col("rr") - fit)}
     new |= {f"Strain.{k.upper()}": x for k, x in e.items()} | {f"Deformation Gradient.{m + 1}{n + 1}": F.col(f"f{m}{n}") for n in range(3) for m in range(3)}
     s = s.select("frame", "idx", F.col("ok").alias("_ok"), *(F.when(F.col("ok"), x).otherwise(0.0).alias(c) for c, x in new.items()))
@@ -272,7 +275,6 @@ def create_bonds(ds: Dataset, cutoff: float = 3.2, lower: float = 0.0, pair_cuto
     keys = ["frame", "i", "j", "sx", "sy", "sz"]
     if ds.bonds is not None:
         new = ds.bonds.select(*keys).unionByName(new.join(ds.bonds.select(*keys), keys, "left_anti"))
-    order = Window.partitionBy("frame").orderBy("i", "j", "sx", "sy", "sz")
-    out = ds.having(bonds=new.withColumn("bidx", F.row_number().over(order).cast("long") - 1).select("frame", "bidx", *keys[1:]))
+    out = ds.having(bonds=number(new, keys[1:], "bidx").select("frame", "bidx", *keys[1:]))
     n = out.bonds.groupBy("frame").agg((F.count("*") / 2).alias("n"))
     return out.with_attributes(ds.cells.select("frame").join(n, "frame", "left").select("frame", F.lit("CreateBonds.num_bonds").alias("key"), F.coalesce("n", F.lit(0.0)).alias("num")))

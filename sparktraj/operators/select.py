@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
-from sparktraj.dataset import POSITION, Dataset, col, stage
+from sparktraj.dataset import POSITION, col, Dataset, number, stage
 from sparktraj.functions.expressions import compiled
 from sparktraj.operators.neighbors import knn, pairs
 
@@ -126,8 +126,7 @@ def slice_particles(ds: Dataset, normal: tuple[float, float, float] = (1.0, 0.0,
 
 def delete(ds: Dataset, gone: Column) -> Dataset:
     """Removes particles, the bonds that hung on them, and numbers the rest anew within each frame."""
-    order = Window.partitionBy("frame").orderBy("idx")
-    left = ds.particles.where(~F.coalesce(gone, F.lit(False))).withColumn("_new", F.row_number().over(order).cast("long") - 1)
+    left = number(ds.particles.where(~F.coalesce(gone, F.lit(False))), ["idx"], "_new")
     bonds = ds.bonds
     if bonds is not None:
         at = left.select("frame", "idx", "_new")

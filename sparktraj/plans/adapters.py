@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparktraj.dataset import Dataset, box, cells_of
+from sparktraj.dataset import box, cells_of, Dataset, number
 
 
 def cloud(spark: SparkSession, sf_dir: str, pbc: bool = True) -> Dataset:
@@ -47,5 +47,4 @@ def lattice(spark: SparkSession, sf_dir: str) -> Dataset:
 
 def numbered(ds: Dataset) -> Dataset:
     """idx as places from 0 within each frame."""
-    w = Window.partitionBy("frame").orderBy("idx")
-    return ds.having(particles=ds.particles.withColumn("idx", F.row_number().over(w).cast("long") - 1))
+    return ds.having(particles=number(ds.particles, ["idx"], "_place").withColumn("idx", F.col("_place")).drop("_place"))

@@ -250,28 +250,12 @@ def wigner_seitz(spark, sf_dir):
     return analyze.wigner_seitz(ds, sites).particles.select(F.col("idx").alias("id"), col("Occupancy").alias("occupancy"))
 
 
-@query()
-def common_neighbor_analysis(spark, sf_dir):
-    """SQL has no counterpart; tests hold it against known crystals."""
-    return structure.common_neighbor_analysis(cloud(spark, sf_dir)).particles.select(F.col("idx").alias("id"), col("Structure Type").alias("kind"))
-
-
 @query(f"WITH {_PAIRS} SELECT a.i, a.j, CAST(count(e.j) AS INT) AS n_common FROM p a LEFT JOIN p d ON d.i = a.i LEFT JOIN p e ON e.i = a.j AND e.j = d.j GROUP BY 1, 2")
 def common_neighbors_of_bonds(spark, sf_dir):
     ds = analyze.create_bonds(cloud(spark, sf_dir), RC)
     return structure.bond_signatures(ds).join(ds.bonds.select("frame", "bidx", "j"), ["frame", "bidx"]).select("i", "j", "n_common")
 
 
-@query()
-def bond_angle_analysis(spark, sf_dir):
-    return structure.bond_angle_analysis(cloud(spark, sf_dir)).particles.select(F.col("idx").alias("id"), col("Structure Type").alias("kind"))
-
-
-@query()
-def identify_diamond(spark, sf_dir):
-    return structure.identify_diamond(cloud(spark, sf_dir)).particles.select(F.col("idx").alias("id"), col("Structure Type").alias("kind"))
-
-
 def _sheared(spark, sf_dir) -> Dataset:
     """The cloud at frame 0 and, at frame 1, under a known shear, in an open cell that holds both."""
     ds = cloud(spark, sf_dir, pbc=False)
