@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
 from sparktraj.dataset import POSITION, col, Dataset, number, on_workers, stage
-from sparktraj.operators.neighbors import closest, pairs
+from sparktraj.operators.neighbors import closest, half_pairs, pairs
 from sparktraj.operators.select import selected
 
 
@@ -69,7 +69,8 @@ def scatter(ds: Dataset, x: str, y: str, type_: str | None = None) -> tuple[Data
 
 
 def coordination(ds: Dataset, cutoff: float = 3.2) -> Dataset:
-    n = pairs(ds, cutoff).groupBy("frame", F.col("i").alias("idx")).agg(F.count("*").cast("int").alias("Coordination"))
+    ends = half_pairs(ds, cutoff).select("frame", F.explode(F.array("i", "j")).alias("idx"))
+    n = ends.groupBy("frame", "idx").agg(F.count("*").cast("int").alias("Coordination"))
     d = ds.particles.drop("Coordination").join(n, ["frame", "idx"], "left").fillna(0, ["Coordination"])
     return ds.having(particles=d)
 
@@ -80,7 +81,7 @@ def radial_distribution(ds: Dataset, cutoff: float = 3.2, bins: int = 200) -> Da
         raise ValueError("a radial distribution has 4 bins at least")
     step = cutoff / bins
     at = F.least((F.sqrt("d2") / ((cutoff + 1e-12) / bins)).cast("int"), F.lit(bins - 1))
-    h = pairs(ds, cutoff).groupBy("frame", at.alias("bin")).agg(F.count("*").alias("h"))
+    h = half_pairs(ds, cutoff).groupBy("frame", at.alias("bin")).agg((2 * F.count("*")).alias("h"))
     size = ds.particles.groupBy("frame").agg(F.count("*").alias("n")).join(ds.cells, "frame").select("frame", "n", g.volume().alias("v"), "is2d")
     r1, r2 = F.col("bin") * step, (F.col("bin") + 1) * step
     ideal = F.when(F.col("is2d"), math.pi * (r2 * r2 - r1 * r1)).otherwise(4 / 3 * math.pi * (r2 * r2 * r2 - r1 * r1 * r1)) * F.col("n") / F.col("v") * F.col("n")
@@ -116,7 +117,7 @@ def cluster(ds: Dataset, cutoff: float = 3.2, only_selected: bool = False, by_si
     take = selected(ds) if only_selected else F.lit(True)
     members = ds.particles.where(take).select("frame", "idx")
     inside = ds.having(particles=ds.particles.where(take))
-    roots = components(pairs(inside, cutoff).where("i < j").select("frame", "i", "j"))
+    roots = components(half_pairs(inside, cutoff).where("i <> j").select("frame", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
     of = stage(members.join(roots, ["frame", "idx"], "left").select("frame", "idx", F.coalesce("root", "idx").alias("root")), "roots")
     sizes = of.groupBy("frame", "root").agg(F.count("*").alias("size"))
     numbered = number(sizes.withColumn("_smaller", -F.col("size")), [*(["_smaller"] if by_size else []), "root"], "_place").withColumn("Cluster", (F.col("_place") + 1).cast("int"))
@@ -257,6 +258,15 @@ def polar_decomposition(ds: Dataset) -> Dataset:
     return ds.having(particles=ds.particles.join(ds.particles.select("frame", "idx", *(col(c).alias(f"f{k}") for k, c in enumerate(given))).mapInArrow(run, schema), ["frame", "idx"]))
 
 
+def add_bonds(ds: Dataset, new: DataFrame) -> Dataset:
+    """Half-bonds (frame, i, j, sx, sy, sz) beside those that are there already, numbered anew."""
+    keys = ["frame", "i", "j", "sx", "sy", "sz"]
+    new = new.select(*keys)
+    if ds.bonds is not None:
+        new = ds.bonds.select(*keys).unionByName(new.join(ds.bonds.select(*keys), keys, "left_anti"))
+    return ds.having(bonds=number(new, keys[1:], "bidx").select("frame", "bidx", *keys[1:]))
+
+
 def create_bonds(ds: Dataset, cutoff: float = 3.2, lower: float = 0.0, pair_cutoffs: dict[tuple[int, int], float] | None = None, type_column: str = "Particle Type", molecule_column: str | None = None) -> Dataset:
     """Half-bonds for all pairs within a cutoff, one for all or one for each pair of types (in either order), added to the bonds that are there."""
     most = max(pair_cutoffs.values()) if pair_cutoffs else cutoff
@@ -271,10 +281,6 @@ def create_bonds(ds: Dataset, cutoff: float = 3.2, lower: float = 0.0, pair_cuto
         d = d.where(F.col("d2") <= limit * limit)
     if molecule_column:
         d = d.where(F.col(f"_i{len(extra) - 1}") == F.col(f"_j{len(extra) - 1}"))
-    new = d.select("frame", "i", "j", "sx", "sy", "sz")
-    keys = ["frame", "i", "j", "sx", "sy", "sz"]
-    if ds.bonds is not None:
-        new = ds.bonds.select(*keys).unionByName(new.join(ds.bonds.select(*keys), keys, "left_anti"))
-    out = ds.having(bonds=number(new, keys[1:], "bidx").select("frame", "bidx", *keys[1:]))
+    out = add_bonds(ds, d)
     n = out.bonds.groupBy("frame").agg((F.count("*") / 2).alias("n"))
     return out.with_attributes(ds.cells.select("frame").join(n, "frame", "left").select("frame", F.lit("CreateBonds.num_bonds").alias("key"), F.coalesce("n", F.lit(0.0)).alias("num")))

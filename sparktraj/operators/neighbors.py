@@ -2,7 +2,8 @@
 
 A cutoff join is an equi-join on (frame, bin): each particle looks into the bins around its own, with the cell shift that goes
 with each, and the exact distance is a filter behind the join.  Bins are at least as wide as the cutoff, so their number
-per particle is bounded and no frame, bin or neighbour list is gathered.
+per particle is bounded and no frame, bin or neighbour list is gathered.  Pairs of one table are found once, from half of the
+bins around; what needs both directions mirrors them behind the join.
 """
 
 from __future__ import annotations
@@ -33,31 +34,50 @@ def _binned(ds: Dataset, particles: DataFrame, cutoff: float) -> DataFrame:
     return d.withColumns(bins | reach)
 
 
-def within(ds: Dataset, cutoff: float, targets: DataFrame | None = None, sources: DataFrame | None = None, most_images: int | None = None) -> DataFrame:
+def within(ds: Dataset, cutoff: float, targets: DataFrame | None = None, sources: DataFrame | None = None, most_images: int | None = None, half: bool = False) -> DataFrame:
     """All (i, j, shift) with \\|x_j + shift - x_i\\| <= cutoff between two tables of particles in one cell: frame, i, j, dx, dy, dz, d2, sx, sy, sz.
 
     The shift holds for positions as they are, not wrapped.  ``most_images`` bounds the images looked at in each direction.
     A particle and itself are no pair here unless the shift differs from 0; two tables are told apart by the caller.
+    With ``half`` both tables must be the same one: of each pair and its mirror image one row comes, and none of a particle with itself unshifted.
     """
     left = _binned(ds, ds.particles if sources is None else sources, cutoff)
-    right = _binned(ds, ds.particles if targets is None else targets, cutoff).select("frame", F.col("idx").alias("j"), *(F.col(c).alias(f"j_{c}") for c in ("x", "y", "z", "fx", "fy", "fz")), *(F.col(f"bin_{k}").alias(f"t{k}") for k in "xyz"))
+    right = _binned(ds, ds.particles if targets is None else targets, cutoff)
+    ahead = F.lit(False)
     for k, periodic in zip("xyz", g.periodic()):
-        left = left.withColumn("_d", F.explode(F.sequence(-F.col(f"m{k}"), F.col(f"m{k}"))))
-        left = left.withColumn(f"u{k}", F.floor((F.col(f"bin_{k}") + F.col("_d")) / F.col(f"n{k}")).cast("int")).where(periodic | (F.col(f"u{k}") == 0)).withColumn(f"t{k}", (F.col(f"bin_{k}") + F.col("_d") - F.col(f"u{k}") * F.col(f"n{k}")).cast("int")).drop("_d")
+        left = left.withColumn(f"_d{k}", F.explode(F.sequence(-F.col(f"m{k}"), F.col(f"m{k}"))))
+        left = left.withColumn(f"u{k}", F.floor((F.col(f"bin_{k}") + F.col(f"_d{k}")) / F.col(f"n{k}")).cast("int")).where(periodic | (F.col(f"u{k}") == 0)).withColumn(f"t{k}", (F.col(f"bin_{k}") + F.col(f"_d{k}") - F.col(f"u{k}") * F.col(f"n{k}")).cast("int"))
         if most_images is not None:
             left = left.where(F.abs(f"u{k}") <= most_images)
-    d = left.withColumnRenamed("idx", "i").join(right, ["frame", "tx", "ty", "tz"])
-    shift = tuple(F.col(f"u{k}") - F.col(f"j_f{k}") + F.col(f"f{k}") for k in "xyz")
-    d = d.withColumns({f"sh{k}": x.cast("int") for k, x in zip("xyz", shift)})
-    apart = g.plus(g.minus(tuple(F.col(f"j_{k}") for k in "xyz"), tuple(F.col(k) for k in "xyz")), g.absolute_vector(tuple(F.col(f"sh{k}") for k in "xyz")))
-    d = d.select("frame", "i", "j", *(x.alias(f"d{k}") for k, x in zip("xyz", apart)), *(F.col(f"sh{k}").alias(f"s{k}") for k in "xyz"))
+        if half:
+            left = left.where(ahead | (F.col(f"_d{k}") >= 0))
+            ahead = ahead | (F.col(f"_d{k}") > 0)
+    # The cell stays behind: what goes through the shuffle are positions, whole shifts and the vectors that these amount to.
+    crossed, wraps = tuple(F.col(f"u{k}") + F.col(f"f{k}") for k in "xyz"), tuple(F.col(f"f{k}") for k in "xyz")
+    left = left.select("frame", F.col("idx").alias("i"), *(F.col(c) for c in "xyz"), *(F.col(f"t{k}") for k in "xyz"), ahead.alias("_ahead"), *(c.alias(f"h{k}") for k, c in zip("xyz", crossed)), *(v.alias(f"v{k}") for k, v in zip("xyz", g.absolute_vector(crossed))))
+    right = right.select("frame", F.col("idx").alias("j"), *(F.col(c).alias(f"j_{c}") for c in "xyz"), *(F.col(f"bin_{k}").alias(f"t{k}") for k in "xyz"), *(F.col(f"f{k}").alias(f"j_f{k}") for k in "xyz"), *(v.alias(f"w{k}") for k, v in zip("xyz", g.absolute_vector(wraps))))
+    d = left.join(right, ["frame", "tx", "ty", "tz"])
+    if half:
+        d = d.where(F.col("_ahead") | (F.col("i") < F.col("j")))
+    apart = ((F.col(f"j_{k}") - F.col(k) + (F.col(f"v{k}") - F.col(f"w{k}"))).alias(f"d{k}") for k in "xyz")
+    d = d.select("frame", "i", "j", *apart, *((F.col(f"h{k}") - F.col(f"j_f{k}")).cast("int").alias(f"s{k}") for k in "xyz"))
     return d.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("d2") <= cutoff * cutoff)
 
 
+def half_pairs(ds: Dataset, cutoff: float) -> DataFrame:
+    """Each unordered pair within the cutoff once, in either direction; a particle with its own image too."""
+    return within(ds, cutoff, half=True)
+
+
 def pairs(ds: Dataset, cutoff: float, targets: Column | None = None) -> DataFrame:
     """All ordered pairs within the cutoff; a particle is its own neighbour only through an image.  ``targets`` selects what may be j."""
-    right = ds.particles if targets is None else ds.particles.where(targets)
-    return within(ds, cutoff, right).where("i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0")
+    if targets is not None:
+        return within(ds, cutoff, ds.particles.where(targets)).where("i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0")
+    d = half_pairs(ds, cutoff)
+    vectors = [c for c in d.columns if c[0] in "ds" and c != "d2"]
+    there = F.struct("i", "j", *vectors, "d2")
+    back = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *((0 - F.col(c)).alias(c) for c in vectors), "d2")
+    return d.select("frame", F.explode(F.array(there, back)).alias("_p")).select("frame", "_p.*").select(*d.columns)
 
 
 def _start(ds: Dataset, targets: DataFrame, k: int) -> tuple[float, float]:
