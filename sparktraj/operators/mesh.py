@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
-from sparktraj.dataset import stage
+from sparktraj.dataset import number, stage
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -54,3 +54,53 @@ def slice_mesh(vertices: DataFrame, faces: DataFrame, normal: tuple[float, float
     for k in (1, 2, 3):
         d = d.join(inner.withColumnRenamed("v", f"v{k}"), ["frame", f"v{k}"], "left_semi")
     return d
+
+
+def cut_mesh(vertices: DataFrame, faces: DataFrame, normal: tuple[float, float, float], distance: float) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces on the inner side of a plane; what crosses it is cut and left open there.
+
+    Each crossed edge gets one vertex, numbered behind the frame's others, which both of its faces share.  Faces keep their turn; of one
+    that is cut into two the second is numbered behind the frame's others.  Vertices on the plane are inner ones, and faces that only touch it go.
+    """
+    size = math.sqrt(sum(x * x for x in normal))
+    above = F.col("x") * (normal[0] / size) + F.col("y") * (normal[1] / size) + F.col("z") * (normal[2] / size) - distance
+    points = vertices.select("frame", "v", "x", "y", "z", above.alias("s"))
+    d = faces.select("frame", "f", "v1", "v2", "v3")
+    for k in (1, 2, 3):
+        d = d.join(points.select("frame", F.col("v").alias(f"v{k}"), F.col("s").alias(f"s{k}")), ["frame", f"v{k}"])
+    d = d.withColumn("inner", sum((F.col(f"s{k}") <= 0).cast("int") for k in (1, 2, 3))).where("inner > 0")
+    # A face is turned until the corner that is alone on its side comes first.
+    lone = F.when(F.col("inner") == 3, 0).when((F.col("s1") <= 0) == (F.col("inner") == 1), 0).when((F.col("s2") <= 0) == (F.col("inner") == 1), 1).otherwise(2)
+    corners = [F.struct(F.col(f"v{k}").alias("v"), F.col(f"s{k}").alias("s")) for k in (1, 2, 3)]
+    turned = F.array(*corners, *corners)
+    d = d.withColumns({"_lone": lone, "_all": turned}).select("frame", "f", "inner", *(F.element_at("_all", F.col("_lone") + k).alias(c) for k, c in zip((1, 2, 3), "pqr")))
+
+    def at(c: str):
+        return F.struct(F.col(f"{c}.v").alias("lo"), F.col(f"{c}.v").alias("hi"))
+
+    def between(a: str, b: str):
+        least, most = F.least(f"{a}.v", f"{b}.v").alias("lo"), F.greatest(f"{a}.v", f"{b}.v").alias("hi")
+        return F.when(F.col(f"{a}.s") == 0, at(a)).when(F.col(f"{b}.s") == 0, at(b)).otherwise(F.struct(least, most))
+
+    def triangle(*corner):
+        return F.struct(*(c.alias(f"c{k}") for k, c in zip((1, 2, 3), corner)))
+
+    whole, tip = F.array(triangle(*map(at, "pqr"))), F.array(triangle(at("p"), between("p", "q"), between("p", "r")))
+    rest = F.array(triangle(between("p", "q"), at("q"), at("r")), triangle(between("p", "q"), at("r"), between("r", "p")))
+    d = d.select("frame", "f", F.posexplode(F.when(F.col("inner") == 3, whole).when(F.col("inner") == 1, tip).otherwise(rest)).alias("part", "t")).select("frame", "f", "part", "t.*")
+    d = stage(d.where("c1 <> c2 AND c2 <> c3 AND c3 <> c1"), "cut")
+    used = d.select("frame", F.explode(F.array("c1", "c2", "c3")).alias("c")).select("frame", "c.lo", "c.hi").distinct()
+    last = vertices.groupBy("frame").agg(F.max("v").alias("_v"))
+    added = number(used.where("lo <> hi"), ["lo", "hi"], "_n").join(last, "frame").select("frame", "lo", "hi", (F.col("_v") + F.col("_n") + 1).alias("v"))
+    names = used.where("lo = hi").select("frame", "lo", "hi", F.col("lo").cast("long").alias("v")).unionByName(added)
+    ends = added
+    for end, mark in (("lo", "a"), ("hi", "b")):
+        ends = ends.join(points.select("frame", F.col("v").alias(end), *(F.col(c).alias(f"{mark}{c}") for c in "xyzs")), ["frame", end])
+    part = F.col("as") / (F.col("as") - F.col("bs"))
+    new = ends.select("frame", "v", *((F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * part).alias(c) for c in "xyz"))
+    old = vertices.select("frame", F.col("v").cast("long").alias("v"), "x", "y", "z").join(names.where("lo = hi").select("frame", "v"), ["frame", "v"], "left_semi")
+    for k in (1, 2, 3):
+        d = d.withColumns({"lo": F.col(f"c{k}.lo"), "hi": F.col(f"c{k}.hi")}).join(names.withColumnRenamed("v", f"v{k}"), ["frame", "lo", "hi"]).drop("lo", "hi")
+    behind = faces.groupBy("frame").agg(F.max("f").alias("_f"))
+    d = d.join(behind, "frame").select("frame", F.when(F.col("part") == 0, F.col("f")).otherwise(F.col("f") + F.col("_f") + 1).alias("f"), "v1", "v2", "v3")
+    return old.unionByName(new), d

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparktraj.dataset import Dataset, on_workers
+from sparktraj.dataset import Dataset, col, on_workers, stage
+from sparktraj.operators.analyze import add_bonds
 from sparktraj.operators.neighbors import pairs
-from sparktraj.operators.structure import neighbor_rows
 
 #: Faces are counted by their number of edges, up to this one; those with more count here.
 MOST_EDGES = 12
@@ -72,14 +72,19 @@ def _area(p: np.ndarray) -> float:
 
 
 def _volume(faces: list[tuple[int, np.ndarray]]) -> float:
-    return sum(abs(float(np.einsum("ij,ij->i", np.cross(p[1:-1], p[2:]), np.broadcast_to(p[0], p[1:-1].shape)).sum())) for _, p in faces) / 6
+    """From a point inside: with radii the origin may lie outside its cell."""
+    inside = np.concatenate([p for _, p in faces]).mean(axis=0) if faces else 0.0
+    centred = [p - inside for _, p in faces]
+    return sum(abs(float(np.einsum("ij,ij->i", np.cross(p[1:-1], p[2:]), np.broadcast_to(p[0], p[1:-1].shape)).sum())) for p in centred) / 6
 
 
-def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: float = 1e-6) -> Dataset:
+def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: float = 1e-6, radii: str | None = None, bonds: bool = False) -> Dataset:
     """``Atomic Volume``, ``Coordination`` and ``Voronoi Index.1`` to ``.12`` (faces by number of edges; those of more are in none), ``Max Face Order`` (edges of the
     largest face), and the frame's ``Voronoi.max_face_order``.
 
     ``cutoff`` must reach all neighbours that touch a cell.  A cell that neighbours don't close is an error, as is a particle without neighbours.
+    ``radii`` names a property (null: 0) whose power diagram is taken.  A cell that larger ones swallow has volume 0 and no faces.  ``bonds`` adds a
+    half-bond to the particle behind each face.
     """
     names = ["frame", "idx", "Atomic Volume", "Coordination", *(f"Voronoi Index.{k}" for k in range(1, MOST_EDGES + 1)), "Max Face Order"]
 
@@ -87,27 +92,39 @@ def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: flo
         for b in batches:
             near = b.column("near")
             ends, xyz = near.offsets.to_numpy(), np.stack([near.values.field(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)
-            rows = []
-            for a, e in zip(ends[:-1], ends[1:]):
-                faces, closed = cell(xyz[a:e], 4 * cutoff)
+            own, others = b.column("r").to_numpy(), near.values.field("r").to_numpy()
+            rows, behind = [], []
+            for n, (a, e) in enumerate(zip(ends[:-1], ends[1:])):
+                faces, closed = cell(xyz[a:e], 4 * cutoff) if radii is None else cell(xyz[a:e], 4 * cutoff, own[n], others[a:e])
                 if not closed:
                     raise ValueError("the cutoff is too short for a Voronoi cell")
                 index = [0] * MOST_EDGES
                 count = most = 0
-                for _, p in faces:
+                behind.append([])
+                for of, p in faces:
                     if _area(p) <= least_area:
                         continue
                     count += 1
+                    behind[-1].append(a + of)
                     edges = int((np.linalg.norm(p - np.roll(p, 1, axis=0), axis=1) > least_edge).sum())
                     most = max(most, edges)
                     if 0 < edges <= MOST_EDGES:
                         index[edges - 1] += 1
                 rows.append((_volume(faces), count, *index, most))
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.float64(), *[pa.int32()] * (MOST_EDGES + 2)])]
-            yield pa.record_batch([b.column("frame"), b.column("idx"), *cols], names=names)
+            touched = pa.ListArray.from_arrays(np.cumsum([0, *map(len, behind)]).astype(np.int32), near.values.take(pa.array([x for xs in behind for x in xs], pa.int64())))
+            yield pa.record_batch([b.column("frame"), b.column("idx"), *cols, touched], names=[*names, "touched"])
 
     on_workers(ds.spark)
     schema = "frame int, idx long, `Atomic Volume` double, Coordination int, " + ", ".join(f"`{n}` int" for n in names[4:])
-    found = neighbor_rows(pairs(ds, cutoff)).mapInArrow(run, schema)
-    out = ds.having(particles=ds.particles.drop(*names[2:]).join(found, ["frame", "idx"], "left"))
+    near = "d2 double, j long, dx double, dy double, dz double, sx int, sy int, sz int, r double"
+    size = ds.particles.select("frame", F.col("idx").alias("j"), (F.lit(0.0) if radii is None else F.coalesce(col(radii).cast("double"), F.lit(0.0))).alias("r"))
+    around = pairs(ds, cutoff).withColumn("r", F.lit(0.0)) if radii is None else pairs(ds, cutoff).join(size, ["frame", "j"])
+    rows = around.groupBy("frame", F.col("i").alias("idx")).agg(F.sort_array(F.collect_list(F.struct(*(n.split()[0] for n in near.split(", "))))).alias("near"))
+    rows = rows.join(size.withColumnRenamed("j", "idx"), ["frame", "idx"]).select("frame", "idx", "r", "near")
+    found = rows.mapInArrow(run, f"{schema}, touched array<struct<{near.replace(' ', ': ').replace(',: ', ', ')}>>")
+    if bonds:
+        found = stage(found, "voronoi")
+        ds = add_bonds(ds, found.select("frame", F.col("idx").alias("i"), F.explode("touched").alias("t")).select("frame", "i", "t.j", "t.sx", "t.sy", "t.sz"))
+    out = ds.having(particles=ds.particles.drop(*names[2:]).join(found.drop("touched"), ["frame", "idx"], "left"))
     return out.with_attributes(out.particles.groupBy("frame").agg(F.max("Max Face Order").alias("num")).select("frame", F.lit("Voronoi.max_face_order").alias("key"), "num"))

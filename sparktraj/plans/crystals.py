@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sparktraj.dataset import POSITION, Dataset, box, cells_of, col
-from sparktraj.operators import analyze, modify, select, structure
+from sparktraj.operators import analyze, mesh, modify, select, structure
+from sparktraj.operators.voronoi import voronoi
 from sparktraj.plans.adapters import cloud
 from sparktraj.plans.queries import _CLOUD, _NEAR, _PAIRS, RC, _r, query
 
@@ -187,3 +188,29 @@ def atomic_strain_2d(spark, sf_dir):
     both = Dataset(both, cells_of(spark, [box(k, (1, 1, 1), (-0.5, -0.5, -0.5), (False,) * 3, is2d=True) for k in (0, 1)]))
     d = analyze.atomic_strain(both, 0.1, 0).particles.where("frame = 1")
     return d.select(F.col("idx").alias("id"), _r("Volumetric Strain", "volumetric", 5), col("Selection").alias("invalid"))
+
+
+@query(f"WITH {_SITES} SELECT f AS frame, count(*) AS n, round(min(lx * ly * lz), 6) AS volume FROM c GROUP BY 1")
+def voronoi_volumes(spark, sf_dir):
+    """The cells of a crystal fill its box."""
+    return voronoi(crystals(spark, sf_dir), 4.0).particles.groupBy("frame").agg(F.count("*").alias("n"), _r(F.sum(col("Atomic Volume")), "volume"))
+
+
+def triangles(spark: SparkSession, sf_dir: str):
+    """A triangle for each part, all of them in one frame: vertices and faces."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("f"))
+    v = t.select("f", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).withColumn("v", F.col("f") * 3 + F.col("k"))
+    xyz = (((F.col("v") * F.lit(p)) % 101 / 101.0).alias(c) for c, p in zip("xyz", (37, 53, 71)))
+    return v.select(F.lit(0).alias("frame"), "v", *xyz), t.select(F.lit(0).alias("frame"), "f", *((F.col("f") * 3 + k).alias(f"v{k + 1}") for k in range(3)))
+
+
+_POINT = ", ".join(f"((p_partkey * 3 + {k}) * {p}) % 101 / 101.0 AS {c}{k}" for k in range(3) for c, p in zip("xyz", (37, 53, 71)))
+_OVER = ", ".join(f"(x{k} + y{k} + z{k}) / sqrt(3.0) - 0.9 AS s{k}" for k in range(3))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS f, {_POINT} FROM part), u AS (SELECT *, {_OVER}, sqrt(pow((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + pow((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + pow((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)) / 2 AS a FROM t),
+w AS (SELECT f, a, list_sort([s0, s1, s2]) AS s FROM u)
+SELECT round(sum(CASE WHEN s[3] <= 0 THEN a WHEN s[2] <= 0 THEN a * (1 - s[3] * s[3] / ((s[3] - s[1]) * (s[3] - s[2]))) ELSE a * s[1] * s[1] / ((s[1] - s[2]) * (s[1] - s[3])) END), 6) AS area, count(*) + count(*) FILTER (s[2] <= 0 AND s[3] > 0) AS faces FROM w WHERE s[1] <= 0""")
+def cut_mesh(spark, sf_dir):
+    vertices, faces = mesh.cut_mesh(*triangles(spark, sf_dir), (1.0, 1.0, 1.0), 0.9)
+    return mesh.area_and_volume(vertices, faces).select(_r("area")).crossJoin(faces.agg(F.count("*").alias("faces")))

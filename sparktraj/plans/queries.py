@@ -76,10 +76,10 @@ def select_range_delete(spark, sf_dir):
     return out.particles.groupBy("frame").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_CLOUD} SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS idx FROM c WHERE id % 5 <> 0 OR x > 0")
+@query(f"WITH {_CLOUD} SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS idx FROM c WHERE y <= 0 OR x > 0")
 def manual_selection_delete(spark, sf_dir):
     ds = cloud(spark, sf_dir)
-    ids = ds.particles.where("`Particle Identifier` % 5 = 0").select("Particle Identifier")
+    ids = ds.particles.where(col("Position.Y") > 0).select("Particle Identifier")
     ds = select.manual_selection(ds, ids)
     ds = select.manual_selection(ds, ds.particles.where(col("Position.X") > 0).select("Particle Identifier"), "subtract")
     return select.delete_selected(ds).particles.select(col("Particle Identifier").alias("id"), "idx")
@@ -173,10 +173,10 @@ def bond_lengths(spark, sf_dir):
     return modify.bond_lengths(analyze.create_bonds(cloud(spark, sf_dir), RC)).bonds.select("i", "j", _r("Length", "length"))
 
 
-@query(f"WITH {_PAIRS}, s0 AS (SELECT id FROM c WHERE id % 50 = 0), s1 AS (SELECT id FROM s0 UNION SELECT j FROM p JOIN s0 ON p.i = s0.id), s2 AS (SELECT id FROM s1 UNION SELECT j FROM p JOIN s1 ON p.i = s1.id) SELECT id FROM s2")
+@query(f"WITH {_PAIRS}, s0 AS (SELECT id FROM c WHERE q > 0.25), s1 AS (SELECT id FROM s0 UNION SELECT j FROM p JOIN s0 ON p.i = s0.id), s2 AS (SELECT id FROM s1 UNION SELECT j FROM p JOIN s1 ON p.i = s1.id) SELECT id FROM s2")
 def expand_selection(spark, sf_dir):
     ds = cloud(spark, sf_dir)
-    ds = select.marked(ds, F.col("idx") % 50 == 0)
+    ds = select.select_expression(ds, "Charge > 0.25")
     return select.expand_selection(ds, "cutoff", RC, iterations=2).particles.where("Selection = 1").select(F.col("idx").alias("id"))
 
 
@@ -243,10 +243,10 @@ def centrosymmetry(spark, sf_dir):
     return structure.centrosymmetry(cloud(spark, sf_dir)).particles.select(F.col("idx").alias("id"), _r("Centrosymmetry", "centrosymmetry"))
 
 
-@query(f"WITH {_CLOUD}, w AS (SELECT * FROM c WHERE id % 4 = 0), d AS (SELECT a.id, b.id AS site, pow(a.x - b.x - round(a.x - b.x), 2) + pow(a.y - b.y - round(a.y - b.y), 2) + pow(a.z - b.z - round(a.z - b.z), 2) AS d2 FROM c a, w b), m AS (SELECT id, arg_min(site, d2) AS site FROM d GROUP BY 1), n AS (SELECT site, count(*) AS n FROM m GROUP BY 1) SELECT w.id, CAST(coalesce(n, 0) AS INT) AS occupancy FROM w LEFT JOIN n ON n.site = w.id")
+@query(f"WITH {_CLOUD}, w AS (SELECT id, x + 0.02 AS x, y - 0.03 AS y, z + 0.01 AS z FROM c), d AS (SELECT a.id, b.id AS site, pow(a.x - b.x - round(a.x - b.x), 2) + pow(a.y - b.y - round(a.y - b.y), 2) + pow(a.z - b.z - round(a.z - b.z), 2) AS d2 FROM c a, w b), m AS (SELECT id, arg_min(site, d2) AS site FROM d GROUP BY 1), n AS (SELECT site, count(*) AS n FROM m GROUP BY 1) SELECT w.id, CAST(coalesce(n, 0) AS INT) AS occupancy FROM w LEFT JOIN n ON n.site = w.id")
 def wigner_seitz(spark, sf_dir):
     ds = cloud(spark, sf_dir)
-    sites = ds.particles.where("idx % 4 = 0").select("frame", "idx", *map(col, POSITION))
+    sites = ds.particles.select("frame", "idx", *((col(c) + by).alias(c) for c, by in zip(POSITION, (0.02, -0.03, 0.01))))
     return analyze.wigner_seitz(ds, sites).particles.select(F.col("idx").alias("id"), col("Occupancy").alias("occupancy"))
 
 

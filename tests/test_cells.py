@@ -34,6 +34,19 @@ def test_voronoi_face_of_fourteen_edges(spark):
     assert out.particles.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
 
 
+def test_voronoi_bonds_and_radii(spark):
+    rng = np.random.default_rng(2)
+    ds = frame(spark, [(0, k, *map(float, p)) for k, p in enumerate(rng.random((40, 3)) * 10)])
+    ds = ds.having(particles=ds.particles.withColumn("Radius", F.when(F.col("idx") % 2 == 0, 1.5).otherwise(F.lit(None).cast("double"))))
+    plain = voronoi(ds, 9.5, bonds=True)
+    ends = {(r.i, r.j, r.sx, r.sy, r.sz) for r in plain.bonds.collect()}
+    assert {(j, i, -x, -y, -z) for i, j, x, y, z in ends} == ends and len(ends) == plain.particles.agg(F.sum("Coordination")).first()[0]
+    by_radii = voronoi(ds, 9.5, radii="Radius").particles
+    assert by_radii.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
+    even = lambda d: d.where("idx % 2 = 0").agg(F.sum(col("Atomic Volume"))).first()[0]
+    assert even(by_radii) > even(plain.particles)
+
+
 def test_power_diagram_moves_planes():
     faces, closed = cell(np.array([[2.0, 0, 0], [-2.0, 0, 0], [0, 2.0, 0], [0, -2.0, 0], [0, 0, 2.0], [0, 0, -2.0]]), 10.0, 1.0, np.array([0.0, 1.0, 1.0, 1.0, 1.0, 1.0]))
     assert closed and max(p[:, 0].max() for _, p in faces) == pytest.approx(1.25)
