@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sparktraj.dataset import POSITION, Dataset, box, cells_of, col
-from sparktraj.operators import analyze, mesh, modify, select, structure
+from sparktraj.operators import analyze, mesh, modify, select, structure, templates
 from sparktraj.operators.voronoi import voronoi
 from sparktraj.plans.adapters import cloud
 from sparktraj.plans.queries import _CLOUD, _NEAR, _PAIRS, RC, _r, query
@@ -214,3 +214,43 @@ SELECT round(sum(CASE WHEN s[3] <= 0 THEN a WHEN s[2] <= 0 THEN a * (1 - s[3] *
 def cut_mesh(spark, sf_dir):
     vertices, faces = mesh.cut_mesh(*triangles(spark, sf_dir), (1.0, 1.0, 1.0), 0.9)
     return mesh.area_and_volume(vertices, faces).select(_r("area")).crossJoin(faces.agg(F.count("*").alias("faces")))
+
+
+def _fitted_sql(cutoff: float) -> str:
+    """The deviation of each particle of the first three frames from its own crystal's shell, which lies along the axes (in every other layer of the hcp crystal half a turn about z): each neighbour goes to the point next to it.
+
+    The sum of the singular values of the mixed moments, the least with the determinant's sign, is the largest root of a quartic (Newton's steps from above).
+    """
+    points = ", ".join(f"({f}, {turned}, {k}, {', '.join(f'CAST({x!r} AS DOUBLE)' for x in (turned * float(p[0]), turned * float(p[1]), float(p[2])))})" for f, kind in enumerate(("FCC", "HCP", "BCC")) for turned in ((1, -1) if kind == "HCP" else (1,)) for k, p in enumerate(templates.shell(kind)))
+    moments = ", ".join(f"sum(w{a} * d{b}) AS m{a}{b}" for a in "xyz" for b in "xyz")
+    minor = lambda r, c: "m{0}{2} * m{1}{3} - m{0}{3} * m{1}{2}".format(*r, *c)
+    two = ["xy", "yz", "xz"]
+    minors = " + ".join(f"pow({minor(r, c)}, 2)" for r in two for c in two)
+    det = f"mxx * ({minor('yz', 'yz')}) - mxy * ({minor('yz', 'xz')}) + mxz * ({minor('yz', 'xy')})"
+    return f"""WITH {_NEAREST}, w0(f, turned, p, wx, wy, wz) AS (VALUES {points}), e AS (SELECT f, count(DISTINCT p) AS n, sum(wx * wx + wy * wy + wz * wz) FILTER (turned = 1) AS ww, min(sqrt(wx * wx + wy * wy + wz * wz)) AS first FROM w0 GROUP BY 1),
+k0 AS (SELECT k.f, k.i, k.dx, k.dy, k.dz, k.d2, e.n FROM k JOIN e ON e.f = k.f WHERE rank <= e.n), z AS (SELECT f, i, avg(sqrt(d2)) AS size, count(*) AS have FROM k0 GROUP BY 1, 2),
+a0 AS (SELECT k0.f, k0.i, k0.dx, k0.dy, k0.dz, k0.n, w0.turned, w0.p, wx, wy, wz, row_number() OVER (PARTITION BY k0.f, k0.i, w0.turned, k0.dx, k0.dy, k0.dz ORDER BY (wx * k0.dx + wy * k0.dy + wz * k0.dz) / size - (wx * wx + wy * wy + wz * wz) / 2 DESC) AS choice FROM k0 JOIN w0 ON w0.f = k0.f JOIN z ON z.f = k0.f AND z.i = k0.i),
+g AS (SELECT f, i, turned, n, {moments}, sum(dx * dx + dy * dy + dz * dz) - (pow(sum(dx), 2) + pow(sum(dy), 2) + pow(sum(dz), 2)) / (n + 1) AS own FROM a0 WHERE choice = 1 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT p) = n AND count(*) = n),
+h AS (SELECT *, {' + '.join(f'm{a}{b} * m{a}{b}' for a in 'xyz' for b in 'xyz')} AS t, {det} AS d, {minors} AS c FROM g),
+s AS (SELECT f, i, n, own, list_reduce(list_prepend(sqrt(3 * t), list_transform(range(60), lambda x: 0.0::DOUBLE)), lambda l, x: l - (pow(l, 4) - 2 * t * l * l - 8 * d * l + t * t - 4 * c) / (4 * pow(l, 3) - 4 * t * l - 8 * d)) AS l FROM h),
+o AS (SELECT s.f, s.i, sqrt(greatest(0, ww - l * l / own) / (s.n + 1)) AS rmsd, first * own / l AS distance FROM s JOIN e ON e.f = s.f QUALIFY row_number() OVER (PARTITION BY s.f, s.i ORDER BY rmsd) = 1),
+r AS (SELECT c.f AS frame, c.id, CASE WHEN rmsd <= {cutoff} THEN c.f + 1 ELSE 0 END AS kind, CASE WHEN rmsd <= {cutoff} THEN round(rmsd, 6) ELSE 0 END AS rmsd, CASE WHEN rmsd <= {cutoff} THEN round(distance, 6) ELSE 0 END AS distance FROM c LEFT JOIN o ON o.f = c.f AND o.i = c.id WHERE c.f < 3)"""
+
+
+#: Under this deviation a shell of these crystals is none but its own.
+_FITS = 0.08
+
+
+@query(f"{_fitted_sql(_FITS)} SELECT id, CAST(kind AS INT) AS kind, rmsd, distance FROM r")
+def template_matching(spark, sf_dir):
+    """The crystals along the axes."""
+    ds = crystals(spark, sf_dir)
+    p = templates.template_matching(ds.having(particles=ds.particles.where("frame < 3"), cells=ds.cells.where("frame < 3")), rmsd_cutoff=_FITS).particles
+    fits = lambda name: F.when(col("Structure Type") > 0, F.round(col(name), 6)).otherwise(0.0)
+    return p.select(F.col("idx").alias("id"), col("Structure Type").alias("kind"), fits("RMSD").alias("rmsd"), fits("Interatomic Distance").alias("distance"))
+
+
+@query()
+def template_rmsd_histogram(spark, sf_dir):
+    """Over all crystals and kinds, without a cutoff."""
+    return templates.rmsd_histogram(templates.matched(crystals(spark, sf_dir), tuple(templates.KINDS[1:])))
