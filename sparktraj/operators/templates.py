@@ -92,7 +92,7 @@ def template(kind: str) -> Template:
 def fit(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation R and scale s of least deviation of s (v - mean) from R w, and the root mean square of it, the centres at 0 being points too."""
     n = v.shape[1] + 1
-    u, s, vt = np.linalg.svd(np.einsum("mni,mnj->mij", w, v))
+    u, s, vt = np.linalg.svd(np.swapaxes(w, 1, 2) @ v)
     flip = np.linalg.det(u @ vt)
     u = np.concatenate([u[:, :, :2], u[:, :, 2:] * flip[:, None, None]], axis=2)
     along = s[:, 0] + s[:, 1] + flip * s[:, 2]
@@ -116,7 +116,7 @@ def match(v: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for i, j in t.pairs:
         r = axes @ _frames(t.points[i], t.points[j]).T
         for _ in range(FITS):
-            to = (np.einsum("mik,mkl,jl->mij", v, r, t.points, optimize=True) - half).argmax(axis=2)
+            to = (v @ (r @ t.points.T) - half).argmax(axis=2)
             r, s, off = fit(t.points[to], v)
         better = (np.sort(to, axis=1) == np.arange(n)).all(axis=1) & (off < best)
         best[better], at[better], turn[better], scale[better] = off[better], to[better], r[better], s[better]
@@ -137,10 +137,11 @@ def quaternions(r: np.ndarray) -> np.ndarray:
     return q * np.where(q[:, 3:] < 0, -1, 1)
 
 
-def least_turned(r: np.ndarray, kind: str) -> np.ndarray:
-    """Of all rotations that the template's symmetry makes equal, the one of the least angle, as a quaternion."""
-    equal = np.einsum("mij,gjk->mgik", r, template(kind).rotations)
-    return quaternions(equal[np.arange(len(r)), np.einsum("mgii->mg", equal).argmax(axis=1)])
+def least_turned(r: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of all rotations that the template's symmetry makes equal, the one of the least angle, as a quaternion, and the symmetry that leads to it."""
+    of = template(kind).rotations
+    g = of[np.einsum("mij,gji->mg", r, of).argmax(axis=1)]
+    return quaternions(r @ g), g
 
 
 def alloys(types: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
@@ -178,8 +179,9 @@ def _matched(near: pa.ListArray, types: np.ndarray | None, kinds: tuple[str, ...
                 continue
             best[r] = off[won]
             out["kind"][r], out["rmsd"][r], out["distance"][r] = KINDS.index(kind), off[won], np.linalg.norm(p, axis=1).min() / scale
-            out["q"][r] = least_turned(turn, kind)
-            grown = np.einsum("mni,mnj->mij", x * scale[:, None, None], p[at]) @ np.linalg.inv(p.T @ p)
+            out["q"][r], g = least_turned(turn, kind)
+            # The points turn the other way, so that the gradient is that of the same orientation.
+            grown = np.swapaxes(x * scale[:, None, None], 1, 2) @ (p[at] @ g) @ np.linalg.inv(p.T @ p)
             out["f"][r] = np.swapaxes(grown, 1, 2).reshape(-1, 9)
             if types is not None:
                 out["alloy"][r] = alloys(types[r][:, : len(p) + 1], at, kind)
