@@ -11,11 +11,23 @@ from sparktraj import geometry as g
 from sparktraj.dataset import number, stage
 
 
+#: Offsets of a face's second and third corner, in meshes that go over periodic borders.
+_OFFSETS = [f"o{k}{c}" for k in (2, 3) for c in "xyz"]
+
+
+def _offset(faces: DataFrame, k: int) -> list[F.Column]:
+    return [F.col(f"o{k}{c}") if k > 1 and _OFFSETS[0] in faces.columns else F.lit(0.0) for c in "xyz"]
+
+
 def edges(faces: DataFrame) -> DataFrame:
-    """Each edge of the mesh in both directions, once: frame, v, w."""
-    pairs = [("v1", "v2"), ("v2", "v3"), ("v3", "v1")]
-    both = F.array(*(F.struct(F.col(a).alias("v"), F.col(b).alias("w")) for x, y in pairs for a, b in ((x, y), (y, x))))
-    return faces.select("frame", F.explode(both).alias("e")).select("frame", "e.v", "e.w").distinct()
+    """Each edge of the mesh in both directions, once: frame, v, w, and the offset of w (gx, gy, gz), which is 0 where no periodic border is crossed."""
+    both = []
+    for a, b in ((1, 2), (2, 3), (3, 1)):
+        for p, q in ((a, b), (b, a)):
+            # Rounded, so that the offset is the same from both faces of an edge.
+            apart = [F.round(y - x, 9) + 0.0 for x, y in zip(_offset(faces, p), _offset(faces, q))]
+            both.append(F.struct(F.col(f"v{p}").alias("v"), F.col(f"v{q}").alias("w"), *(x.alias(f"g{c}") for x, c in zip(apart, "xyz"))))
+    return faces.select("frame", F.explode(F.array(*both)).alias("e")).select("frame", "e.*").distinct()
 
 
 def smooth(vertices: DataFrame, faces: DataFrame, passes: int = 8, pass_band: float = 0.1, strength: float = 0.5) -> DataFrame:
@@ -24,7 +36,7 @@ def smooth(vertices: DataFrame, faces: DataFrame, passes: int = 8, pass_band: fl
     e = stage(edges(faces), "edges")
     for k in range(passes):
         for factor in (strength, back):
-            near = e.join(vertices.withColumnRenamed("v", "w"), ["frame", "w"]).groupBy("frame", "v").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+            near = e.join(vertices.withColumnRenamed("v", "w"), ["frame", "w"]).groupBy("frame", "v").agg(*(F.avg(F.col(c) + F.col(f"g{c}")).alias(f"m{c}") for c in "xyz"))
             vertices = vertices.join(near, ["frame", "v"], "left").select("frame", "v", *((F.col(c) + factor * F.coalesce(F.col(f"m{c}") - F.col(c), F.lit(0.0))).alias(c) for c in "xyz"))
         if k % 4 == 3:
             vertices = stage(vertices, "vertices")
@@ -35,11 +47,11 @@ def _corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     d = faces
     for k in (1, 2, 3):
         d = d.join(vertices.select("frame", F.col("v").alias(f"v{k}"), *(F.col(c).alias(f"{c}{k}") for c in "xyz")), ["frame", f"v{k}"])
-    return d
+    return d.withColumns({f"{c}{k}": F.col(f"{c}{k}") + x for k in (2, 3) for c, x in zip("xyz", _offset(faces, k))})
 
 
 def area_and_volume(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """frame, area and the volume inside a closed mesh whose faces turn the same way."""
+    """frame, area and the volume inside a closed mesh whose faces turn the same way (of meshes that go over periodic borders only the area means something)."""
     p = [tuple(F.col(f"{c}{k}") for c in "xyz") for k in (1, 2, 3)]
     normal = g.cross(g.minus(p[1], p[0]), g.minus(p[2], p[0]))
     d = _corners(vertices, faces)

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sparktraj.dataset import POSITION, Dataset, box, cells_of, col
-from sparktraj.operators import analyze, mesh, modify, select, structure, templates
+from sparktraj.operators import analyze, grains, mesh, modify, select, structure, surface, templates
 from sparktraj.operators.voronoi import voronoi
 from sparktraj.plans.adapters import cloud
 from sparktraj.plans.queries import _CLOUD, _NEAR, _PAIRS, RC, _r, query
@@ -193,7 +193,7 @@ def atomic_strain_2d(spark, sf_dir):
 @query(f"WITH {_SITES} SELECT f AS frame, count(*) AS n, round(min(lx * ly * lz), 6) AS volume FROM c GROUP BY 1")
 def voronoi_volumes(spark, sf_dir):
     """The cells of a crystal fill its box."""
-    return voronoi(crystals(spark, sf_dir), 4.0).particles.groupBy("frame").agg(F.count("*").alias("n"), _r(F.sum(col("Atomic Volume")), "volume"))
+    return voronoi(crystals(spark, sf_dir), 1.6).particles.groupBy("frame").agg(F.count("*").alias("n"), _r(F.sum(col("Atomic Volume")), "volume"))
 
 
 def triangles(spark: SparkSession, sf_dir: str):
@@ -254,3 +254,118 @@ def template_matching(spark, sf_dir):
 def template_rmsd_histogram(spark, sf_dir):
     """Over all crystals and kinds, without a cutoff."""
     return templates.rmsd_histogram(templates.matched(crystals(spark, sf_dir), tuple(templates.KINDS[1:])))
+
+
+def twin_sites(t) -> Dataset:
+    """Parts as an fcc crystal of two twins in frame 0: close-packed layers of triangles, stacked one way up to the middle and the other way back, so
+    that the box closes.  Layers beyond an even number of full ones are far apart from each other in frame 1.
+    """
+    n = t.count()
+    p = max(3, math.floor(round((n / 40) ** 0.5, 9)))
+    q = max(2, math.floor(round(p / math.sqrt(3), 9)))
+    each = 2 * p * q
+    layers = n // each // 2 * 2
+    m = F.col("p_partkey")
+    layer, site = F.floor(m / each), m % each
+    # Steps from A to B to C up to the middle, and back.
+    step = F.when(layer <= layers // 2, layer).otherwise(layers - layer)
+    row = F.floor(site / p)
+    x = site % p + (row % 2) * 0.5 + step * 0.5
+    y = row * math.sqrt(0.75) + step * math.sqrt(0.75) / 3
+    z = layer * math.sqrt(2 / 3)
+    solid = m < each * layers
+    place = (F.when(solid, v).otherwise(F.lit(10.0) * w + 5) for v, w in ((x, m - each * layers), (y, F.lit(0)), (z, F.lit(0))))
+    d = t.select((~solid).cast("int").alias("frame"), F.col("p_partkey").cast("long").alias("idx"), *(v.cast("double").alias(c) for c, v in zip(POSITION, place)))
+    rest = max(1, n - each * layers)
+    return Dataset(d, cells_of(t.sparkSession, [box(0, (p, 2 * q * math.sqrt(0.75), max(2, layers) * math.sqrt(2 / 3))), box(1, (10.0 * rest, 10.0, 10.0))]))
+
+
+def _twins(spark, sf_dir):
+    ds = templates.template_matching(twin_sites(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")), ("FCC", "HCP"))
+    found = grains.links(ds)
+    return ds, found, *grains.lattice_clusters(ds, found=found)
+
+
+#: Particles of a layer, and full layers, of which there is an even number.
+_TWINS = "n0 AS (SELECT count(*) AS n FROM part), p0 AS (SELECT n, greatest(3, CAST(floor(round(sqrt(n / 40.0), 9)) AS BIGINT)) AS p FROM n0), e0 AS (SELECT n, 2 * p * greatest(2, CAST(floor(round(p / sqrt(3.0), 9)) AS BIGINT)) AS each FROM p0), t AS (SELECT n, each, n // each // 2 * 2 AS layers FROM e0)"
+
+
+@query(f"WITH {_TWINS} SELECT cluster, CAST(CASE WHEN cluster <= 2 THEN 1 ELSE 2 END AS INT) AS kind, CAST(each * CASE WHEN cluster <= 2 THEN layers // 2 - 1 ELSE 1 END AS BIGINT) AS size, 0 AS n_disagree FROM t, (SELECT CAST(unnest(range(1, 5)) AS INT) AS cluster)")
+def lattice_clusters(spark, sf_dir):
+    """Two twins and the two layers between them."""
+    return _twins(spark, sf_dir)[3].select("cluster", "kind", "size", "n_disagree")
+
+
+@query(f"WITH {_TWINS} SELECT a, b, a = 1 AND b = 2 OR a = 3 AND b = 4 AS via, CASE WHEN b = 2 THEN 60.0::DOUBLE END AS angle FROM t, (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)) AS v(a, b)")
+def cluster_transitions(spark, sf_dir):
+    """The twins are turned by 60 degrees, which the layers between them, that touch both, tell."""
+    _, found, out, table = _twins(spark, sf_dir)
+    return grains.transitions(out, table, found).select("a", "b", "via", F.when(F.col("b") == 2, F.round("angle", 4)).alias("angle"))
+
+
+@query(f"WITH {_TWINS} SELECT p_partkey AS id, CAST(CASE WHEN p_partkey >= each * layers THEN 0 WHEN p_partkey // each = 0 OR p_partkey // each = layers // 2 THEN 0 WHEN p_partkey // each < layers // 2 THEN 1 ELSE 2 END AS INT) AS grain FROM part, t")
+def grain_segmentation(spark, sf_dir):
+    """Twins are grains.  Layers between them join nothing here, as adoption is off and they are under the least size."""
+    ds = templates.template_matching(twin_sites(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")), ("FCC",), rmsd_cutoff=0.05)
+    return grains.grains(ds, adopt=False).particles.select(F.col("idx").alias("id"), F.col("Grain").alias("grain"))
+
+
+@query(f"WITH {_TWINS} SELECT p_partkey AS id, CAST(round(CASE WHEN solid THEN {{0}} ELSE 0 END, 8) AS DOUBLE) AS xx, CAST(round(CASE WHEN solid THEN {{1}} ELSE 0 END, 8) AS DOUBLE) AS xy, CAST(round(CASE WHEN solid THEN {{2}} ELSE 0 END, 8) AS DOUBLE) AS volumetric, CAST(CASE WHEN solid THEN 0 ELSE 1 END AS INT) AS invalid FROM (SELECT p_partkey, p_partkey < each * layers AND p_partkey // each NOT IN (0, layers // 2) AS solid FROM part, t)".format(*(repr(x) for x in ((1 - 1 / 1.02**2 - (0.01 / 1.02) ** 2) / 2, 0.01 / 1.02 / 2, (1 - 1 / 1.02**2 - (0.01 / 1.02) ** 2) / 6))))
+def elastic_strain(spark, sf_dir):
+    """Both twins under a stretch and a shear that are one in space."""
+    ds = twin_sites(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
+    # y' = y + 0.01 x, x' = 1.02 x: the inverse is x = x' / 1.02, y = y' - 0.01 / 1.02 x'.
+    ds = modify.affine_transform(ds, ((1.02, 0.0, 0.0, 0.0), (0.01, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0)), cell=True)
+    ds = templates.template_matching(ds, ("FCC", "HCP"))
+    out = grains.elastic_strain(grains.lattice_clusters(ds)[0], "FCC", math.sqrt(2)).particles
+    return out.select(F.col("idx").alias("id"), _r("Elastic Strain.XX", "xx", 8), _r("Elastic Strain.XY", "xy", 8), _r("Volumetric Elastic Strain", "volumetric", 8), F.col("Selection").alias("invalid"))
+
+
+def terraces(spark: SparkSession, sf_dir: str) -> tuple[Dataset, int]:
+    """Parts as a simple cubic crystal that fills its box row by row and leaves the top empty: periodic, so with a surface below and a step above."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("idx"))
+    a = max(2, math.ceil(round(t.count() ** (1 / 3), 9)))
+    at = (F.col("idx") % a, F.expr(f"idx DIV {a} % {a}"), F.expr(f"idx DIV {a * a}"))
+    return Dataset(t.select(F.lit(0).alias("frame"), "idx", *(x.cast("double").alias(c) for c, x in zip(POSITION, at))), cells_of(spark, [box(0, (a, a, a + 10))])), a
+
+
+@query("""WITH n AS (SELECT count(*) AS n, greatest(2, CAST(ceil(round(pow(count(*), 1.0 / 3), 9)) AS BIGINT)) AS a FROM part), l AS (SELECT a, n // (a * a) AS layers, n % (a * a) AS rest FROM n),
+s AS (SELECT a, layers, unnest(range(a * a)) AS m, rest FROM l), k AS (SELECT a, layers, (m < rest)::INT + (m // a * a + (m + 1) % a < rest)::INT + ((m + a) % (a * a) < rest)::INT + ((m // a + 1) % a * a + (m + 1) % a < rest)::INT AS k FROM s)
+SELECT round(sum(layers - 1 + [0, 1 / 3.0, 1 / 2.0, 5 / 6.0, 1][k + 1]::DOUBLE), 4) AS volume, round(sum(1 + [1, sqrt(2.0), sqrt(2.0), (1 + sqrt(3.0)) / 2, 1][k + 1]), 4) AS area, 0 AS odd_edges FROM k""")
+def surface_mesh(spark, sf_dir):
+    """The solid is cubes, and on the step what is left of them: pyramids, wedges and cubes without a corner.  No edge of the surface has an odd number of faces."""
+    ds, _ = terraces(spark, sf_dir)
+    _, faces, out = surface.surface_mesh(ds, 0.9, smoothing=0)
+    ends = faces.select(F.explode(F.array(*(F.struct(F.least(f"v{a}", f"v{b}").alias("v"), F.greatest(f"v{a}", f"v{b}").alias("w")) for a, b in ((1, 2), (2, 3), (3, 1))))).alias("e"))
+    odd = ends.groupBy("e").count().agg(F.count_if(F.col("count") % 2 == 1).alias("odd_edges"))
+    facts = out.attributes.groupBy().pivot("key", ["ConstructSurfaceMesh.solid_volume", "ConstructSurfaceMesh.surface_area"]).agg(F.first("num")).toDF("volume", "area")
+    return facts.select(_r("volume", digits=4), _r("area", digits=4)).crossJoin(odd)
+
+
+def _uneven(i, p: int):
+    return i + F.lit(0.3) * ((i * p) % 11) / 11
+
+
+def uneven_grid(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Parts on a grid of uneven spacings: whole layers in frame 0, and what is left as a single row in frame 1."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("idx"))
+    n = t.count()
+    a = max(1, math.floor(round(n ** (1 / 3), 9)))
+    layers = n // (a * a)
+    rest = F.col("idx") - a * a * layers
+    grid = (_uneven(F.col("idx") % a, 37), _uneven(F.expr(f"idx DIV {a} % {a}"), 53), _uneven(F.expr(f"idx DIV {a * a}"), 71))
+    at = (F.when(rest < 0, x).otherwise(y) for x, y in zip(grid, (_uneven(rest, 37), F.lit(0.5), F.lit(0.5))))
+    return Dataset(t.select((rest >= 0).cast("int").alias("frame"), "idx", *(x.cast("double").alias(c) for c, x in zip(POSITION, at))), cells_of(spark, [box(0, (a, a, layers)), box(1, (max(1, n - a * a * layers), 1, 1))]))
+
+
+def _width(i: str, n: str, p: int) -> str:
+    at = lambda x: f"(({x}) + 0.3::DOUBLE * ((({x}) * {p}) % 11) / 11)"
+    return f"((CASE WHEN {i} + 1 < {n} THEN {at(f'{i} + 1')} ELSE {n} END) - (CASE WHEN {i} > 0 THEN {at(f'{i} - 1')} ELSE {at(f'{n} - 1')} - {n} END)) / 2"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n, greatest(1, CAST(floor(round(pow(count(*), 1.0 / 3), 9)) AS BIGINT)) AS a FROM part), l AS (SELECT n, a, n // (a * a) AS layers FROM n), p AS (SELECT p_partkey AS id, n, a, layers, p_partkey - a * a * layers AS rest FROM part, l)
+SELECT id, round(CASE WHEN rest < 0 THEN {_width('(id % a)', 'a', 37)} * {_width('(id // a % a)', 'a', 53)} * {_width('(id // (a * a))', 'layers', 71)} ELSE {_width('rest', '(n - a * a * layers)', 37)} END, 6) AS volume, CAST(6 AS INT) AS coordination, CAST(6 AS INT) AS of_four FROM p""")
+def voronoi_cells(spark, sf_dir):
+    """Cells of a grid are boxes, half-way to the neighbours on all six sides."""
+    d = voronoi(uneven_grid(spark, sf_dir), 1.8).particles
+    return d.select(F.col("idx").alias("id"), _r("Atomic Volume", "volume"), F.col("Coordination").alias("coordination"), col("Voronoi Index.4").alias("of_four"))

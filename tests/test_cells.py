@@ -15,7 +15,8 @@ def test_voronoi_of_a_crystal(spark):
     out = voronoi(crystal(spark, FCC, 3, 4.0), 4.5)
     r = out.particles.agg(F.min(col("Atomic Volume")).alias("a"), F.max(col("Atomic Volume")).alias("b"), F.min("Coordination").alias("c"), F.min(col("Voronoi Index.4")).alias("i")).first()
     assert (r.a, r.b) == pytest.approx((16, 16)) and (r.c, r.i) == (12, 12)
-    assert out.attributes.first().num == 4
+    facts = {r.key: r.num for r in out.attributes.collect()}
+    assert facts["Voronoi.max_face_order"] == 4 and facts["Voronoi.volume_sum"] == pytest.approx(12**3) and facts["Voronoi.volume_missing"] == pytest.approx(0, abs=1e-6)
 
 
 def test_voronoi_fills_the_box(spark):
@@ -24,13 +25,36 @@ def test_voronoi_fills_the_box(spark):
     assert voronoi(ds, 9.0).particles.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
 
 
+@pytest.mark.parametrize("cutoff", [0.5, 3.2, 4.0])
+def test_voronoi_at_any_cutoff(spark, cutoff):
+    rng = np.random.default_rng(5)
+    ds = frame(spark, [(0, k, *map(float, p)) for k, p in enumerate(rng.random((300, 3)) * 10)])
+    facts = {r.key: r.num for r in voronoi(ds, cutoff).attributes.collect()}
+    assert facts["Voronoi.volume_sum"] == pytest.approx(1000) and facts["Voronoi.volume_missing"] == pytest.approx(0, abs=1e-6)
+
+
+def test_voronoi_between_walls(spark):
+    rng = np.random.default_rng(6)
+    points = [*rng.random((50, 3)) * (10, 10, 4), (3.0, 3.0, 0.0), (5.0, 5.0, 12.0)]
+    ds = frame(spark, [(0, k, *map(float, p)) for k, p in enumerate(points)], pbc=(True, False, False))
+    for radii in (None, "Radius"):
+        out = voronoi(ds.having(particles=ds.particles.withColumn("Radius", F.lit(1.0))), 3.0, radii=radii).particles
+        assert out.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
+        assert tuple(out.where("idx = 51").select(col("Atomic Volume"), "Coordination").first()) == (0.0, 0)
+    # A single particle is its own neighbour on all sides, and a flat cell has its area.
+    assert voronoi(frame(spark, [(0, 0, 1.0, 2.0, 3.0)]), 3.0).particles.first()["Atomic Volume"] == pytest.approx(1000)
+    flat = frame(spark, [(0, k, *map(float, p), 0.0) for k, p in enumerate(rng.random((30, 2)) * 10)])
+    flat = flat.having(cells=flat.cells.withColumns({"is2d": F.lit(True), "pz": F.lit(False)}))
+    assert voronoi(flat, 3.0).particles.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(100)
+
+
 def test_voronoi_face_of_fourteen_edges(spark):
     # A ring of fourteen about the first particle, and the face to the one above it.
     ring = lambda n, r, z: [(5 + r * np.cos(2 * np.pi * k / n), 5 + r * np.sin(2 * np.pi * k / n), z) for k in range(n)]
     points = [(5.0, 5.0, 4.0), (5.0, 5.0, 6.0), *ring(14, 1.0, 4.0), *ring(7, 1.3, 6.0), *((x, y, z) for x in (1.0, 5.0, 9.0) for y in (1.0, 5.0, 9.0) for z in (1.0, 9.0))]
     out = voronoi(frame(spark, [(0, k, *map(float, p)) for k, p in enumerate(points)]), 9.0)
     r = out.particles.where("idx = 0").first()
-    assert r["Max Face Order"] == out.attributes.first().num == 14 and r["Coordination"] - sum(r[f"Voronoi Index.{k}"] for k in range(1, 13)) in (1, 2)
+    assert r["Max Face Order"] == out.attributes.where("key = 'Voronoi.max_face_order'").first().num == 14 and r["Coordination"] - sum(r[f"Voronoi Index.{k}"] for k in range(1, 13)) in (1, 2)
     assert out.particles.agg(F.sum(col("Atomic Volume"))).first()[0] == pytest.approx(1000)
 
 
