@@ -45,12 +45,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 _STAGED: list[str] = []
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Deletes the tables and files written to the shared folder so far, when no result that reads them is needed any more."""
+def staged() -> int:
+    """How many tables and files have been written to the shared folder so far."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables and files written to the shared folder from the ``since``-th on, but the last ``keep``, when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    end = len(_STAGED) - keep
+    for name in _STAGED[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _STAGED[since:end]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

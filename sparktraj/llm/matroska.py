@@ -97,7 +97,7 @@ def _laced(data: bytes, at: int, end: int, kind: int) -> tuple[int, list[int]]:
 def demux(data: bytes) -> Parsed:
     out = Parsed()
     open_: list[tuple[int, int | None]] = []  # (id, end) of the elements around
-    at, segment, time, block, duration = 0, 0, 0, 0, {}
+    at, segment, time, block, first, duration = 0, 0, 0, 0, 0, {}
     track: dict = {}
     cue: dict = {}
     try:
@@ -148,13 +148,14 @@ def demux(data: bytes) -> Parsed:
                 (shift,), flags = struct.unpack_from(">h", data, p), data[p + 2]
                 lacing = flags >> 1 & 3
                 p, sizes = _laced(data, p + 3, end, lacing)
+                first = len(out.packets)
                 stamp, each = (time + shift) * out.scale, out.tracks.get(of, {}).get("frame_ns", 0)
                 for k, n in enumerate(sizes):
                     out.packets.append((len(out.clusters) - 1, block, k, of, stamp + k * each, kind == BLOCK or bool(flags & 128), LACINGS[lacing], p, n))
                     p += n
                 block += 1
             elif kind == REFERENCE_BLOCK:  # its block isn't a keyframe
-                out.packets = [(*x[:5], False, *x[6:]) if x[:2] == (len(out.clusters) - 1, block - 1) else x for x in out.packets] if out.packets else out.packets
+                out.packets[first:] = [(*x[:5], False, *x[6:]) for x in out.packets[first:]]
             elif kind == CUE_TIME:
                 cue = {"time": number}
             elif kind == CUE_TRACK:

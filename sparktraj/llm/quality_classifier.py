@@ -171,9 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([b.column("p"), b.column("u"), pa.array([x.tobytes() for x in features(b.column("text")).astype("<f4")], pa.binary())], names=["p", "u", "x"])
+            yield pa.record_batch([b.column("doc_id"), b.column("p"), b.column("u"), pa.array([x.tobytes() for x in features(b.column("text")).astype("<f4")], pa.binary())], names=["doc_id", "p", "u", "x"])
 
-    table = arrow_map(d.join(F.broadcast(ids), "doc_id").select("p", "u", "text"), run, "p boolean, u boolean, x binary").toArrow()
+    # One row an id, of repeated ones that of the least features: what comes to the driver is bounded by the number of ids.
+    table = arrow_map(d.join(F.broadcast(ids), "doc_id").select("doc_id", "p", "u", "text"), run, f"doc_id {id_type(docs, id_col)}, p boolean, u boolean, x binary")
+    table = table.groupBy("doc_id").agg(F.first("p").alias("p"), F.first("u").alias("u"), F.min("x").alias("x")).select("p", "u", "x").toArrow()
     width = N_PLAIN + N_KINDS + N_KINDS**2
     x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, width)
     p, u = (table[k].to_numpy() for k in "pu")

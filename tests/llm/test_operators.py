@@ -153,6 +153,13 @@ def test_matroska(hard, empty):
     assert matroska.media_columns(empty).count() == 0
 
 
+def test_matroska_reference_blocks():
+    m = matroska
+    groups = [m._element(m.BLOCK_GROUP, m._element(m.BLOCK, b"\x81\x00\x00\x00zz") + (m._element(m.REFERENCE_BLOCK, 1) * (k % 3))) for k in range(20_000)]
+    data = m._element(m.EBML, b"") + m._element(m.SEGMENT, m._element(m.CLUSTER, m._element(m.TIMESTAMP, 1) + b"".join(groups)))
+    assert [p[5] for p in m.demux(data).packets] == [k % 3 == 0 for k in range(20_000)]
+
+
 def test_matroska_lacing_and_damage():
     m = matroska
     block = lambda flags, body: m._element(m.SIMPLE_BLOCK, b"\x81\x00\x05" + bytes([flags]) + body)
@@ -448,6 +455,14 @@ def test_prior_and_risk_against_plain_sums():
     assert best < risk(np.zeros(4), 0.0) - 0.05
 
 
+def test_quality_classifier_takes_a_row_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit_pu", lambda p, u: seen.append((len(p), len(u))))
+    docs = spark.createDataFrame([(k % 5, f"text {k} of words") for k in range(400)], "doc_id long, text string")
+    quality_classifier.fit(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int"), most_unlabelled=3)
+    assert seen == [(2, 3)]
+
+
 def test_quality_classifier(spark, hard, empty):
     rng = random.Random(8)
     rows, marks = [], []
