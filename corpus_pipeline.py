@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparktraj.llm import language_id, pii
 from sparktraj.llm.chosen_path import jaccard_join
-from sparktraj.llm.common import read, stage
+from sparktraj.llm.common import drop_staged, read, stage, staged
 from sparktraj.llm.packing import pack, pieces
 from sparktraj.llm.quality_rules import quality_rules
 
@@ -75,7 +75,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, since = read(spark, sf_dir, "documents"), staged()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(spark, since, keep=1)  # all that this stage and the one before it wrote, but its result
     return STAGES[-1][1](spark, docs, sf_dir)
