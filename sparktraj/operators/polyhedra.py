@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 TOGETHER = 128
 #: How far sites are moved, in units of the distance to the nearest neighbour.
 NUDGE = 1e-8
+#: Sine of the angle up to which edges of a face go the same way.
+TURN = 1e-5
 
 
 def nudges(idx: np.ndarray) -> np.ndarray:
@@ -157,7 +159,15 @@ def faces(cells: np.ndarray, planes: np.ndarray, points: np.ndarray, vectors: np
     after = np.arange(1, len(r) + 1)
     after[start + n - 1] = start
     area = np.einsum("nk,nk->n", np.add.reduceat(np.cross(r, r[after]), start, axis=0), normal) / 2 if len(start) else np.zeros(0)
-    edges = np.bincount(of[np.linalg.norm(r[after] - r, axis=1) > least_edge], minlength=len(start))
+    # An edge that goes on where the last long one ended, the same way, is part of it: there, a face without width begins or ends.
+    step = r[after] - r
+    long = np.linalg.norm(step, axis=1) > least_edge
+    step, of = _unit(step[long]), of[long]
+    begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    before = np.arange(-1, len(of) - 1)
+    before[begins] = np.r_[begins[1:], len(of)] - 1
+    turns = np.linalg.norm(np.cross(step, step[before]), axis=1) > TURN
+    edges = np.bincount(of[turns], minlength=len(start))
     return cell[start], plane[start], area, size / 2, edges
 
 

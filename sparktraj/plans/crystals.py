@@ -364,8 +364,8 @@ def _width(i: str, n: str, p: int) -> str:
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n, greatest(1, CAST(floor(round(pow(count(*), 1.0 / 3), 9)) AS BIGINT)) AS a FROM part), l AS (SELECT n, a, n // (a * a) AS layers FROM n), p AS (SELECT p_partkey AS id, n, a, layers, p_partkey - a * a * layers AS rest FROM part, l)
-SELECT id, round(CASE WHEN rest < 0 THEN {_width('(id % a)', 'a', 37)} * {_width('(id // a % a)', 'a', 53)} * {_width('(id // (a * a))', 'layers', 71)} ELSE {_width('rest', '(n - a * a * layers)', 37)} END, 6) AS volume, CAST(6 AS INT) AS coordination, CAST(6 AS INT) AS of_four FROM p""")
+SELECT id, round(CASE WHEN rest < 0 THEN {_width('(id % a)', 'a', 37)} * {_width('(id // a % a)', 'a', 53)} * {_width('(id // (a * a))', 'layers', 71)} ELSE {_width('rest', '(n - a * a * layers)', 37)} END, 5) AS volume, CAST(6 AS INT) AS coordination, CAST(6 AS INT) AS of_four FROM p""")
 def voronoi_cells(spark, sf_dir):
     """Cells of a grid are boxes, half-way to the neighbours on all six sides."""
     d = voronoi(uneven_grid(spark, sf_dir), 1.8).particles
-    return d.select(F.col("idx").alias("id"), _r("Atomic Volume", "volume"), F.col("Coordination").alias("coordination"), col("Voronoi Index.4").alias("of_four"))
+    return d.select(F.col("idx").alias("id"), _r("Atomic Volume", "volume", 5), F.col("Coordination").alias("coordination"), col("Voronoi Index.4").alias("of_four"))
