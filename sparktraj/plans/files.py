@@ -16,10 +16,13 @@ _ROWS = f"WITH {_LATTICE} SELECT id, t, round(x, 4) AS x, round(y, 4) AS y, roun
 _BY_TYPE = f"WITH {_LATTICE} SELECT 'Type' || t AS kind, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z FROM l GROUP BY 1"
 
 
-def _back(texts: DataFrame, format_: str, **options) -> Dataset:
-    spark = texts.sparkSession
+def _back(lines: DataFrame, format_: str, spread: bool = False, **options) -> Dataset:
+    """With ``spread`` a frame is dealt over many tasks, in writing and in reading."""
+    spark = lines.sparkSession
     folder = shared_path(spark, "texts")
-    writers.write_texts(texts, folder)
+    writers.write_lines(lines, folder, spread)
+    if spread:
+        return readers.read_long_frames(spark, f"{folder}/*/*", format_)
     return readers.read_frames(spark, f"{folder}/*/*", format_, **options)
 
 
@@ -41,53 +44,54 @@ def _named(ds: Dataset) -> Dataset:
 
 @query(_ROWS)
 def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_back(writers.dump_texts(lattice(spark, sf_dir), _COLUMNS), "dump"))
+    return _rows(_back(writers.dump_lines(lattice(spark, sf_dir), _COLUMNS), "dump", spread=True))
 
 
 @query(f"WITH {_TRACKS} SELECT k.frame - (SELECT min(frame) FROM k) AS frame, CAST(frame AS DOUBLE) AS timestep, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y FROM k GROUP BY ALL")
 def dump_of_many_frames(spark, sf_dir):
     """A file a frame, read as a sequence in natural order."""
-    back = _back(writers.dump_texts(tracks(spark, sf_dir), ["Particle Identifier", *POSITION]), "dump")
+    back = _back(writers.dump_lines(tracks(spark, sf_dir), ["Particle Identifier", *POSITION]), "dump")
     step = back.attributes.where("key = 'Timestep'").select("frame", F.col("num").alias("timestep"))
     return back.particles.join(step, "frame").groupBy("frame", "timestep").agg(F.count("*").alias("n"), _r(F.sum(col("Position.X")), "x", 3), _r(F.sum(col("Position.Y")), "y", 3))
 
 
 @query(_ROWS)
 def xyz_round_trip(spark, sf_dir):
-    return _rows(_back(writers.xyz_texts(lattice(spark, sf_dir), _COLUMNS), "xyz"))
+    return _rows(_back(writers.xyz_lines(lattice(spark, sf_dir), _COLUMNS), "xyz", spread=True))
 
 
 @query(f"WITH {_LATTICE} SELECT count(*) AS n, 50.0::DOUBLE AS ax, 1200.0::DOUBLE AS b_y, 50.0::DOUBLE AS cz, 0.0::DOUBLE AS ox FROM l")
 def xyz_plain_cell(spark, sf_dir):
     """The cell of the plain layout's comment line."""
-    back = _back(writers.xyz_texts(lattice(spark, sf_dir), ["Particle Type", *POSITION], extended=False), "xyz")
+    back = _back(writers.xyz_lines(lattice(spark, sf_dir), ["Particle Type", *POSITION], extended=False), "xyz", spread=True)
     return back.particles.groupBy("frame").agg(F.count("*").alias("n")).join(back.cells, "frame").select("n", _r("ax"), _r("by", "b_y"), _r("cz"), _r("ox"))
 
 
 @query(_ROWS)
 def data_round_trip(spark, sf_dir):
-    return _rows(_back(writers.data_texts(lattice(spark, sf_dir)), "data"))
+    return _rows(_back(writers.data_lines(lattice(spark, sf_dir)), "data"))
 
 
 @query(_ROWS)
 def imd_round_trip(spark, sf_dir):
-    return _rows(_back(writers.imd_texts(lattice(spark, sf_dir), _COLUMNS), "imd"))
+    return _rows(_back(writers.imd_lines(lattice(spark, sf_dir), _COLUMNS), "imd", spread=True))
 
 
 @query(_BY_TYPE)
 def poscar_round_trip(spark, sf_dir):
-    return _by_type(_back(writers.poscar_texts(lattice(spark, sf_dir)), "poscar"))
+    return _by_type(_back(writers.poscar_lines(lattice(spark, sf_dir)), "poscar"))
 
 
 @query(_BY_TYPE)
 def aims_round_trip(spark, sf_dir):
-    return _by_type(_back(writers.aims_texts(_named(lattice(spark, sf_dir))), "aims"))
+    return _by_type(_back(writers.aims_lines(_named(lattice(spark, sf_dir))), "aims", spread=True))
 
 
 def _text(ds: Dataset, head: list[str], line, tail: str = "") -> DataFrame:
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"]), "\n")
-    n = F.count("*").cast("string")
-    return ds.particles.groupBy("frame").agg(F.concat_ws("\n", *(F.replace(F.lit(h), F.lit("%n"), n) for h in head), body, F.lit(tail)).alias("value"))
+    n = ds.particles.groupBy("frame").agg(F.count("*").cast("string").alias("n"))
+    row = lambda d, part, place, value: d.select("frame", F.lit(part).alias("part"), place.cast("long").alias("place"), value.alias("value"))
+    heads = row(n, 0, F.lit(0), F.concat_ws("\n", *(F.replace(F.lit(h), F.lit("%n"), F.col("n")) for h in head)))
+    return heads.unionByName(row(ds.particles, 1, F.col("idx"), line)).unionByName(row(n, 2, F.lit(0), F.lit(tail)))
 
 
 @query(_BY_TYPE.replace("round(sum(x), 3)", "round(sum(x) - 25 * count(*), 3)").replace("round(sum(y), 3)", "round(sum(y) - 600 * count(*), 3)").replace("round(sum(z), 3)", "round(sum(z) - 25 * count(*), 3)"))
@@ -110,7 +114,7 @@ def pdb_file(spark, sf_dir):
 def data_bonds_round_trip(spark, sf_dir):
     """Bonds of a data file."""
     ds = analyze.create_bonds(cloud(spark, sf_dir), RC)
-    back = _back(writers.data_texts(ds.having(particles=ds.particles.withColumn("Particle Type", col("Particle Type") + 1))), "data")
+    back = _back(writers.data_lines(ds.having(particles=ds.particles.withColumn("Particle Type", col("Particle Type") + 1))), "data")
     ident = back.particles.select("frame", "idx", col("Particle Identifier").cast("long").alias("id"))
     b = back.bonds.join(ident.toDF("frame", "i", "a"), ["frame", "i"]).join(ident.toDF("frame", "j", "b"), ["frame", "j"])
     return b.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
