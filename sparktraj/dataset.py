@@ -136,7 +136,8 @@ class Dataset:
 
 @dataclass(frozen=True)
 class Pipeline:
-    """An ordered list of operators (functions from Dataset to Dataset) that folds into one lazy plan per table."""
+    """An ordered list of operators (functions from Dataset to Dataset).  Most add to a lazy plan per table; those that write on their way (deletion with new numbers, created
+    bonds, nearest neighbours and what is built on them) run jobs when they are applied."""
 
     steps: tuple[Callable[[Dataset], Dataset], ...] = ()
 

@@ -150,13 +150,18 @@ def wigner_seitz(ds: Dataset, sites: DataFrame, by_type: str | None = None, refe
 
 
 def reference_pairs(ds: Dataset, reference_frame: int | None = None, offset: int = -1, by: str = "Particle Identifier", missing: str = "error") -> DataFrame:
-    """Each particle with its place in the reference frame (a fixed one, or this one plus an offset), matched by identifier or else by idx: the particle's columns, rx, ry, rz, r_idx, r_frame."""
+    """Each particle with its place in the reference frame (a fixed one, or this one plus an offset), matched by identifier or else by idx: the particle's columns, rx, ry, rz, r_idx, r_frame.
+
+    ``missing``: what a particle without a place there is: an error, dropped, or kept with nulls.
+    """
     key = by if ds.has(by) else "idx"
     ref = ds.particles.select(F.col("frame").alias("r_frame"), col(key).alias("_key"), F.col("idx").alias("r_idx"), *(col(c).alias(f"r{k}") for c, k in zip(POSITION, "xyz")))
     ref = ref.withColumn("_count", F.count("*").over(Window.partitionBy("r_frame", "_key")))
     want = F.lit(reference_frame) if reference_frame is not None else F.col("frame") + offset
-    d = ds.particles.withColumn("_want", want).join(ref, (F.col("_want") == F.col("r_frame")) & (col(key) == F.col("_key")), "left" if missing == "error" else "inner")
-    checks = F.when(F.col("_count") > 1, F.raise_error(F.lit("an identifier isn't unique"))).when(F.col("r_idx").isNull(), F.raise_error(F.lit("a particle isn't in the reference")))
+    d = ds.particles.withColumn("_want", want).join(ref, (F.col("_want") == F.col("r_frame")) & (col(key) == F.col("_key")), "inner" if missing == "drop" else "left")
+    checks = F.when(F.col("_count") > 1, F.raise_error(F.lit("an identifier isn't unique")))
+    if missing == "error":
+        checks = checks.when(F.col("r_idx").isNull(), F.raise_error(F.lit("a particle isn't in the reference")))
     d = d.withColumn("r_idx", F.coalesce(checks.cast("long"), F.col("r_idx")))
     return d.drop("_want", "_key", "_count")
 
@@ -165,25 +170,38 @@ def _one_period(v: Column, limit: Column) -> Column:
     return F.when(v > limit, -1).when(v < -limit, 1).otherwise(0)
 
 
-def displacements(ds: Dataset, reference_frame: int | None = 0, offset: int = -1, missing: str = "error") -> Dataset:
-    """Displacement.X/Y/Z and Displacement Magnitude, with at most one period taken off along each periodic direction, one direction after another."""
+def displacements(ds: Dataset, reference_frame: int | None = 0, offset: int = -1, missing: str = "error", eliminate_deformation: bool = False) -> Dataset:
+    """Displacement.X/Y/Z and Displacement Magnitude, with at most one period taken off along each periodic direction, one direction after another.
+
+    With ``eliminate_deformation`` both places are taken in units of their own frame's cell, and the difference, at most one whole unit of it taken off where it passes a half, in those of the reference's cell.
+    """
     d = reference_pairs(ds, reference_frame, offset, missing=missing).join(ds.cells, "frame")
-    v = tuple(col(c) - F.col(f"r{k}") for c, k in zip(POSITION, "xyz"))
-    d = d.withColumns({f"_v{k}": x for k, x in zip("xyz", v)})
-    for edge, periodic in zip(g.edges(), g.periodic()):
-        v = tuple(F.col(f"_v{k}") for k in "xyz")
-        half, along = g.dot(edge, edge) / 2, g.dot(v, edge)
-        # Shorter by one period or not: |v - e| < |v| is v.e > e.e / 2.
-        k = F.when(periodic, _one_period(along, half)).otherwise(0)
-        d = d.withColumns({f"_v{x}": F.col(f"_v{x}") + k * e for x, e in zip("xyz", edge)})
+    if eliminate_deformation:
+        d = d.withColumns({f"_s{k}": x for k, x in zip("xyz", g.reduced(tuple(map(col, POSITION))))}).drop(*(c for c in ds.cells.columns if c != "frame"))
+        d = d.join(ds.cells.withColumnRenamed("frame", "_f"), F.col("r_frame") == F.col("_f"), "left").drop("_f")
+        d = d.withColumns({f"_v{k}": F.col(f"_s{k}") - x for k, x in zip("xyz", g.reduced(tuple(F.col(f"r{k}") for k in "xyz")))})
+        # In a flat cell z stays as it is.
+        part = tuple(F.col(f"_v{k}") + F.when(p, _one_period(F.col(f"_v{k}"), F.lit(0.5))).otherwise(0) for k, p in zip("xyz", g.periodic()))
+        flat = (*g.absolute_vector((part[0], part[1], F.lit(0.0)))[:2], part[2])
+        d = d.withColumns({f"_v{k}": F.when(F.col("is2d"), f).otherwise(x) for k, f, x in zip("xyz", flat, g.absolute_vector(part))})
+    else:
+        v = tuple(col(c) - F.col(f"r{k}") for c, k in zip(POSITION, "xyz"))
+        d = d.withColumns({f"_v{k}": x for k, x in zip("xyz", v)})
+        for edge, periodic in zip(g.edges(), g.periodic()):
+            v = tuple(F.col(f"_v{k}") for k in "xyz")
+            half, along = g.dot(edge, edge) / 2, g.dot(v, edge)
+            # Shorter by one period or not: |v - e| < |v| is v.e > e.e / 2.
+            k = F.when(periodic, _one_period(along, half)).otherwise(0)
+            d = d.withColumns({f"_v{x}": F.col(f"_v{x}") + k * e for x, e in zip("xyz", edge)})
     out = {f"Displacement.{k.upper()}": F.col(f"_v{k}") for k in "xyz"}
     d = d.withColumns(out | {"Displacement Magnitude": g.norm(tuple(F.col(f"_v{k}") for k in "xyz"))})
     return ds.having(particles=d.select(*map(col, dict.fromkeys([*ds.particles.columns, *out, "Displacement Magnitude"]))))
 
 
 def mean_square_displacement(ds: Dataset, reference_frame: int = 0) -> DataFrame:
-    d = displacements(ds, reference_frame, missing="drop").particles
-    return d.groupBy("frame").agg(F.avg(col("Displacement Magnitude") * col("Displacement Magnitude")).alias("msd"), F.count("*").alias("n"))
+    """frame, msd and n, over the particles that are in the reference; null and 0 in frames without one of these."""
+    d = displacements(ds, reference_frame, missing="null").particles
+    return d.groupBy("frame").agg(F.avg(col("Displacement Magnitude") * col("Displacement Magnitude")).alias("msd"), F.count(col("Displacement Magnitude")).alias("n"))
 
 
 def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) -> Dataset:

@@ -50,12 +50,14 @@ def bond_lengths(ds: Dataset) -> Dataset:
     return ds.having(bonds=d.withColumn("Length", F.coalesce(g.norm(apart), F.lit(0.0))).select(*ds.bonds.columns, "Length"))
 
 
-def freeze_property(ds: Dataset, source: str, target: str, frame: int = 0, by: str = "Particle Identifier") -> Dataset:
-    """The values of one frame at all frames, by identifier, or by place where there is none.  A particle without a value, or an identifier that isn't unique, is an error."""
+def freeze_property(ds: Dataset, source: str, target: str, frame: int = 0, by: str = "Particle Identifier", missing: str = "error") -> Dataset:
+    """The values of one frame at all frames, by identifier, or by place where there is none.  An identifier that isn't unique is an error, and so is a particle without a value, unless ``missing`` is "null"."""
     key = by if ds.has(by) else "idx"
     snap = ds.particles.where(F.col("frame") == frame).groupBy(col(key).alias("_key")).agg(F.first(col(source)).alias("_value"), F.count("*").alias("_count"))
     d = ds.particles.join(snap, col(key) == F.col("_key"), "left")
-    fault = F.when(F.col("_count").isNull(), F.raise_error(F.lit("a particle isn't in the frozen frame"))).when(F.col("_count") > 1, F.raise_error(F.lit("an identifier isn't unique")))
+    fault = F.when(F.col("_count") > 1, F.raise_error(F.lit("an identifier isn't unique")))
+    if missing == "error":
+        fault = fault.when(F.col("_count").isNull(), F.raise_error(F.lit("a particle isn't in the frozen frame")))
     kept = [col(c) for c in ds.particles.columns if c != target]
     return ds.having(particles=d.select(*kept, F.coalesce(fault.cast(ds.particles.select(col(source)).schema[0].dataType), F.col("_value")).alias(target)))
 

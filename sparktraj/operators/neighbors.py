@@ -14,35 +14,40 @@ from pyspark.sql import functions as F
 from sparktraj import geometry as g
 from sparktraj.dataset import POSITION, Dataset, col, stage
 
-#: Bins along one direction, at most.
-MOST_BINS = 128
 
-
-def _binned(ds: Dataset, particles: DataFrame, cutoff: float) -> DataFrame:
-    """frame, idx, position, cell, wraps f*, bins bin_*, number of bins n* and reach m* of each direction."""
+def _length(cutoff: float | str) -> Column:
+    """A cutoff as a column: a number, or the name of a column of the cells, so that frames have their own."""
+    if isinstance(cutoff, str):
+        return F.col(cutoff)
     if not cutoff > 0:
         raise ValueError("a cutoff must be over 0")
+    return F.lit(float(cutoff))
+
+
+def _binned(ds: Dataset, particles: DataFrame, cutoff: Column) -> DataFrame:
+    """frame, idx, position, cell, wraps f*, bins bin_*, number of bins n* and reach m* of each direction.  However large the box, bins are as small as the cutoff (up to 2**30 along a side)."""
     p = tuple(col(c).alias(k) for c, k in zip(POSITION, "xyz"))
     d = particles.select("frame", "idx", *p).join(ds.cells, "frame")
     d = d.withColumn("_ok", F.when(g.volume() > 0, True).otherwise(F.raise_error(F.lit("a simulation cell is degenerate")).cast("boolean"))).where("_ok").drop("_ok")
     s = g.reduced((F.col("x"), F.col("y"), F.col("z")))
     flat = (F.lit(False), F.lit(False), F.col("is2d"))
-    d = d.withColumns({f"s{k}": x for k, x in zip("xyz", s)}).withColumns({f"n{k}": F.when(two, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(MOST_BINS), F.floor(t / cutoff)))).cast("int") for k, t, two in zip("xyz", g.thickness(), flat)})
+    d = d.withColumns({f"s{k}": x for k, x in zip("xyz", s)}).withColumns({f"n{k}": F.when(two, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(2**30), F.floor(t / cutoff)))).cast("int") for k, t, two in zip("xyz", g.thickness(), flat)})
     d = d.withColumns({f"f{k}": x for k, x in zip("xyz", g.images(tuple(F.col(f"s{k}") for k in "xyz")))})
     bins = {f"bin_{k}": F.least(F.greatest(F.floor((F.col(f"s{k}") - F.col(f"f{k}")) * F.col(f"n{k}")), F.lit(0)), F.col(f"n{k}") - 1).cast("int") for k in "xyz"}
     reach = {f"m{k}": F.when(two, 0).otherwise(F.ceil(cutoff / (t / F.col(f"n{k}")))).cast("int") for k, t, two in zip("xyz", g.thickness(), flat)}
     return d.withColumns(bins | reach)
 
 
-def within(ds: Dataset, cutoff: float, targets: DataFrame | None = None, sources: DataFrame | None = None, most_images: int | None = None, half: bool = False) -> DataFrame:
+def within(ds: Dataset, cutoff: float | str, targets: DataFrame | None = None, sources: DataFrame | None = None, most_images: int | None = None, half: bool = False) -> DataFrame:
     """All (i, j, shift) with \\|x_j + shift - x_i\\| <= cutoff between two tables of particles in one cell: frame, i, j, dx, dy, dz, d2, sx, sy, sz.
 
-    The shift holds for positions as they are, not wrapped.  ``most_images`` bounds the images looked at in each direction.
+    ``cutoff`` may name a column of the cells.  The shift holds for positions as they are, not wrapped.  ``most_images`` bounds the images looked at in each direction.
     A particle and itself are no pair here unless the shift differs from 0; two tables are told apart by the caller.
     With ``half`` both tables must be the same one: of each pair and its mirror image one row comes, and none of a particle with itself unshifted.
     """
-    left = _binned(ds, ds.particles if sources is None else sources, cutoff)
-    right = _binned(ds, ds.particles if targets is None else targets, cutoff)
+    rc = _length(cutoff)
+    left = _binned(ds, ds.particles if sources is None else sources, rc)
+    right = _binned(ds, ds.particles if targets is None else targets, rc)
     ahead = F.lit(False)
     for k, periodic in zip("xyz", g.periodic()):
         left = left.withColumn(f"_d{k}", F.explode(F.sequence(-F.col(f"m{k}"), F.col(f"m{k}"))))
@@ -54,14 +59,15 @@ def within(ds: Dataset, cutoff: float, targets: DataFrame | None = None, sources
             ahead = ahead | (F.col(f"_d{k}") > 0)
     # The cell stays behind: what goes through the shuffle are positions, whole shifts and the vectors that these amount to.
     crossed, wraps = tuple(F.col(f"u{k}") + F.col(f"f{k}") for k in "xyz"), tuple(F.col(f"f{k}") for k in "xyz")
-    left = left.select("frame", F.col("idx").alias("i"), *(F.col(c) for c in "xyz"), *(F.col(f"t{k}") for k in "xyz"), ahead.alias("_ahead"), *(c.alias(f"h{k}") for k, c in zip("xyz", crossed)), *(v.alias(f"v{k}") for k, v in zip("xyz", g.absolute_vector(crossed))))
+    left = left.select("frame", F.col("idx").alias("i"), *([(rc * rc).alias("_rc2")] if isinstance(cutoff, str) else []), *(F.col(c) for c in "xyz"), *(F.col(f"t{k}") for k in "xyz"), ahead.alias("_ahead"), *(c.alias(f"h{k}") for k, c in zip("xyz", crossed)), *(v.alias(f"v{k}") for k, v in zip("xyz", g.absolute_vector(crossed))))
     right = right.select("frame", F.col("idx").alias("j"), *(F.col(c).alias(f"j_{c}") for c in "xyz"), *(F.col(f"bin_{k}").alias(f"t{k}") for k in "xyz"), *(F.col(f"f{k}").alias(f"j_f{k}") for k in "xyz"), *(v.alias(f"w{k}") for k, v in zip("xyz", g.absolute_vector(wraps))))
     d = left.join(right, ["frame", "tx", "ty", "tz"])
     if half:
         d = d.where(F.col("_ahead") | (F.col("i") < F.col("j")))
     apart = ((F.col(f"j_{k}") - F.col(k) + (F.col(f"v{k}") - F.col(f"w{k}"))).alias(f"d{k}") for k in "xyz")
-    d = d.select("frame", "i", "j", *apart, *((F.col(f"h{k}") - F.col(f"j_f{k}")).cast("int").alias(f"s{k}") for k in "xyz"))
-    return d.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("d2") <= cutoff * cutoff)
+    most = F.col("_rc2") if isinstance(cutoff, str) else F.lit(cutoff * cutoff)
+    d = d.select("frame", "i", "j", *([most] if isinstance(cutoff, str) else []), *apart, *((F.col(f"h{k}") - F.col(f"j_f{k}")).cast("int").alias(f"s{k}") for k in "xyz"))
+    return d.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("d2") <= most).drop("_rc2")
 
 
 def half_pairs(ds: Dataset, cutoff: float) -> DataFrame:
@@ -80,13 +86,26 @@ def pairs(ds: Dataset, cutoff: float, targets: Column | None = None) -> DataFram
     return d.select("frame", F.explode(F.array(there, back)).alias("_p")).select("frame", "_p.*").select(*d.columns)
 
 
-def _start(ds: Dataset, targets: DataFrame, k: int) -> tuple[float, float]:
-    """A radius that holds about twice k targets, and one that reaches everything: both from one small table of frames."""
-    n = targets.groupBy("frame").agg(F.count("*").alias("n"))
+def _start(ds: Dataset, targets: DataFrame, k: int) -> DataFrame:
+    """The cells with ``_start``, a radius that holds about twice k targets where most targets are, and ``_most``, one that reaches everything.
+
+    The density is what targets see about themselves, from the number of pairs in bins, not the mean over the box; a radius from it makes finer bins, until it
+    shrinks no more.  So a cluster in a large empty box starts as in a tight one.
+    """
     a, b, c = g.edges()
-    r = n.join(ds.cells, "frame").select((g.volume() / F.col("n")).alias("each"), (g.norm(a) + g.norm(b) + g.norm(c)).alias("all"), "is2d")
-    t = r.agg(F.percentile_approx(F.when(F.col("is2d"), F.sqrt(2 * k * F.col("each") / 3.1416)).otherwise(F.cbrt(2 * k * F.col("each") * 3 / 12.5664)), 0.5).alias("r"), F.max("all").alias("all")).first()
-    return (t.r or 1.0), 2 * (t.all or 1.0)
+    radius = lambda each: F.when(F.col("is2d"), F.sqrt(2 * k * each / 3.1416)).otherwise(F.cbrt(2 * k * each * 3 / 12.5664))
+    n = targets.groupBy("frame").agg(F.count("*").alias("_n"))
+    cells = ds.cells.join(n, "frame", "left").withColumns({"_start": F.coalesce(radius(g.volume() / F.col("_n")), F.lit(1.0)), "_most": 2 * (g.norm(a) + g.norm(b) + g.norm(c))})
+    cells = stage(cells.withColumn("_shrunk", F.lit(True)), "radii")
+    names = [c for c in cells.columns if c != "_shrunk"]
+    while not cells.where("_shrunk").isEmpty():
+        d = _binned(ds.having(cells=cells.where("_shrunk")), targets, F.col("_start"))
+        held = d.groupBy("frame", "bin_x", "bin_y", "bin_z").agg(F.count("*").alias("m"), F.first(g.volume() / (F.col("nx").cast("double") * F.col("ny") * F.col("nz"))).alias("v"))
+        seen = held.groupBy("frame").agg((F.sum(F.col("m") * (F.col("m") - 1)) / F.sum("m")).alias("others"), F.first("v").alias("v"))
+        new = cells.join(seen, "frame", "left").withColumn("_new", radius(F.col("v") / F.col("others")))
+        shrunk = F.col("_shrunk") & F.coalesce(F.col("_new") < 0.6 * F.col("_start"), F.lit(False))
+        cells = stage(new.select(*(F.when(shrunk, F.col("_new")).otherwise(F.col("_start")).alias("_start") if c == "_start" else F.col(c) for c in names), shrunk.alias("_shrunk")), "radii")
+    return cells.drop("_shrunk", "_n")
 
 
 def _ranked(d: DataFrame, k: int) -> DataFrame:
@@ -98,22 +117,24 @@ def _ranked(d: DataFrame, k: int) -> DataFrame:
 
 def nearest_among(ds: Dataset, targets: DataFrame, k: int, self_too: bool) -> DataFrame:
     """The k nearest targets of each particle over the 27 images.  Particles with fewer within the radius are tried again with twice the radius."""
-    radius, most = _start(ds, targets, k)
+    cells, factor = _start(ds, targets, k), 1.0
+    far = cells.agg(F.max(F.col("_most") / F.col("_start"))).first()[0] or 1.0
     sources, done = ds.particles.select("frame", "idx", *(col(c) for c in POSITION)), []
     while True:
-        found = within(ds, radius, targets, sources, most_images=1)
+        at = ds.having(cells=cells.withColumn("_radius", F.least(factor * F.col("_start"), F.col("_most"))))
+        found = within(at, "_radius", targets, sources, most_images=1)
         if not self_too:
             found = found.where("d2 > 0")
         found = stage(_ranked(found, k), "nearest")
         enough = found.where(F.col("rank") == k).select("frame", F.col("i").alias("idx"))
-        last = radius >= most
+        last = factor >= far
         done.append(found if last else found.join(enough.withColumnRenamed("idx", "i"), ["frame", "i"]))
         if last:
             break
         sources = sources.join(enough, ["frame", "idx"], "left_anti")
         if sources.isEmpty():
             break
-        radius *= 2
+        factor *= 2
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ def variables(ds: Dataset) -> dict[str, Column]:
 def evaluated(ds: Dataset, expressions: dict[str, str]) -> DataFrame:
     """The particles with expressions as further columns.  Attributes of the frame may be named too."""
     d, names = ds.in_cell(), variables(ds)
-    if any("N" in e for e in expressions.values()):
+    if any(re.search(r"\bN\b", e) for e in expressions.values()):
         d = d.join(ds.particles.groupBy("frame").agg(F.count("*").cast("double").alias("_n")), "frame")
     else:
         d = d.withColumn("_n", F.lit(None).cast("double"))
@@ -117,16 +118,21 @@ def slab(normal: tuple[float, float, float], distance: float, width: float, inve
     return inside if inverse else ~inside
 
 
-def slice_particles(ds: Dataset, normal: tuple[float, float, float] = (1.0, 0.0, 0.0), distance: float = 0.0, width: float = 0.0, inverse: bool = False, only_selected: bool = False, select: bool = False) -> Dataset:
+def slice_particles(ds: Dataset, normal: tuple[float, float, float] = (1.0, 0.0, 0.0), distance: float = 0.0, width: float = 0.0, inverse: bool = False, only_selected: bool = False, select: bool = False, renumber: bool = True) -> Dataset:
+    """Cuts away, or selects, what lies beyond a plane or outside of a slab; ``renumber`` as for ``delete``."""
     cut = slab(normal, distance, width, inverse)
     if only_selected:
         cut = cut & selected(ds)
-    return marked(ds, cut) if select else delete(ds, cut)
+    return marked(ds, cut) if select else delete(ds, cut, renumber)
 
 
-def delete(ds: Dataset, gone: Column) -> Dataset:
-    """Removes particles, the bonds that hung on them, and numbers the rest anew within each frame."""
-    left = number(ds.particles.where(~F.coalesce(gone, F.lit(False))), ["idx"], "_new")
+def delete(ds: Dataset, gone: Column, renumber: bool = True) -> Dataset:
+    """Removes particles and the bonds that hung on them, and numbers the rest anew within each frame, which deals all of them out by ranges and writes them once.
+
+    Without ``renumber`` the rest keep their idx, with gaps, and nothing runs before the result is asked for.
+    """
+    left = ds.particles.where(~F.coalesce(gone, F.lit(False)))
+    left = number(left, ["idx"], "_new") if renumber else left.withColumn("_new", F.col("idx"))
     bonds = ds.bonds
     if bonds is not None:
         at = left.select("frame", "idx", "_new")

@@ -125,7 +125,7 @@ def bond_signature_counts(spark, sf_dir):
     return d.groupBy("frame", *(col(f"CNA Indices.{k + 1}").cast("long").alias(n) for k, n in enumerate(names))).agg(F.count("*").alias("half_bonds"))
 
 
-@query(f"""WITH {_NEAREST}, r AS (SELECT f, i, avg(d2) AS r0 FROM k WHERE rank <= 6 GROUP BY 1, 2), n1 AS (SELECT f, i, count(*) FILTER (d2 <= 1.45 * r0 OR d2 < 1.55 * r0) AS n1 FROM k JOIN r USING (f, i) GROUP BY 1, 2),
+@query(f"""WITH {_NEAREST}, r AS (SELECT f, i, avg(d2) AS r0 FROM k WHERE rank <= 6 GROUP BY 1, 2), n1 AS (SELECT f, i, count(*) FILTER (d2 < 1.55 * r0) AS n1 FROM k JOIN r USING (f, i) GROUP BY 1, 2),
 g AS (SELECT x.f, x.i, (x.dx * y.dx + x.dy * y.dy + x.dz * y.dz) / sqrt(x.d2 * y.d2) AS g FROM k x JOIN k y ON x.f = y.f AND x.i = y.i AND x.rank < y.rank JOIN r ON r.f = x.f AND r.i = x.i WHERE x.d2 <= 1.45 * r0 AND y.d2 <= 1.45 * r0),
 h AS (SELECT f, i, count(*) FILTER (g < -0.945) AS c0, count(*) FILTER (g >= -0.945 AND g < -0.915) AS c1, count(*) FILTER (g >= -0.915 AND g < -0.755) AS c2, count(*) FILTER (g >= -0.755 AND g < -0.195) AS c3, count(*) FILTER (g >= -0.195 AND g < 0.195) AS c4, count(*) FILTER (g >= 0.195 AND g < 0.245) AS c5, count(*) FILTER (g >= 0.245 AND g < 0.795) AS c6, count(*) FILTER (g >= 0.795) AS c7 FROM g GROUP BY 1, 2),
 w AS (SELECT *, CASE WHEN c0 = 7 THEN 0 WHEN c5 + c6 = c4 THEN 1e30 ELSE 0.35 * c4 / (c5 + c6 - c4) END AS bcc, abs(1 - c6 / 24.0) AS cp, CASE WHEN c0 = 6 THEN 0 ELSE 0.61 * (abs(c0 + c1 - 6) + c2) / 6 END AS fcc, CASE WHEN c0 <= 3 THEN 0 ELSE (abs(c0 - 3) + abs(c0 + c1 + c2 + c3 - 9)) / 12.0 END AS hcp FROM h JOIN n1 USING (f, i))
@@ -234,7 +234,7 @@ g AS (SELECT f, i, turned, n, {moments}, sum(dx * dx + dy * dy + dz * dz) - (pow
 h AS (SELECT *, {' + '.join(f'm{a}{b} * m{a}{b}' for a in 'xyz' for b in 'xyz')} AS t, {det} AS d, {minors} AS c FROM g),
 s AS (SELECT f, i, n, own, list_reduce(list_prepend(sqrt(3 * t), list_transform(range(60), lambda x: 0.0::DOUBLE)), lambda l, x: l - (pow(l, 4) - 2 * t * l * l - 8 * d * l + t * t - 4 * c) / (4 * pow(l, 3) - 4 * t * l - 8 * d)) AS l FROM h),
 o AS (SELECT s.f, s.i, sqrt(greatest(0, ww - l * l / own) / (s.n + 1)) AS rmsd, first * own / l AS distance FROM s JOIN e ON e.f = s.f QUALIFY row_number() OVER (PARTITION BY s.f, s.i ORDER BY rmsd) = 1),
-r AS (SELECT c.f AS frame, c.id, CASE WHEN rmsd <= {cutoff} THEN c.f + 1 ELSE 0 END AS kind, CASE WHEN rmsd <= {cutoff} THEN round(rmsd, 6) ELSE 0 END AS rmsd, CASE WHEN rmsd <= {cutoff} THEN round(distance, 6) ELSE 0 END AS distance FROM c LEFT JOIN o ON o.f = c.f AND o.i = c.id WHERE c.f < 3)"""
+r AS (SELECT c.f AS frame, c.id, CASE WHEN rmsd <= {cutoff} THEN c.f + 1 ELSE 0 END AS kind, CASE WHEN rmsd <= {cutoff} THEN round(rmsd, 6) ELSE 0 END AS rmsd, CASE WHEN rmsd <= {cutoff} THEN round(distance, 6) ELSE 0 END AS distance FROM c LEFT JOIN o ON o.f = c.f AND o.i = c.id)"""
 
 
 #: Under this deviation a shell of these crystals is none but its own.
@@ -243,9 +243,8 @@ _FITS = 0.08
 
 @query(f"{_fitted_sql(_FITS)} SELECT id, CAST(kind AS INT) AS kind, rmsd, distance FROM r")
 def template_matching(spark, sf_dir):
-    """The crystals along the axes."""
-    ds = crystals(spark, sf_dir)
-    p = templates.template_matching(ds.having(particles=ds.particles.where("frame < 3"), cells=ds.cells.where("frame < 3")), rmsd_cutoff=_FITS).particles
+    """The crystals along the axes; the diamond's shells are none of these."""
+    p = templates.template_matching(crystals(spark, sf_dir), rmsd_cutoff=_FITS).particles
     fits = lambda name: F.when(col("Structure Type") > 0, F.round(col(name), 6)).otherwise(0.0)
     return p.select(F.col("idx").alias("id"), col("Structure Type").alias("kind"), fits("RMSD").alias("rmsd"), fits("Interatomic Distance").alias("distance"))
 

@@ -138,7 +138,7 @@ def load_trajectory(spark, sf_dir):
     return out.particles.select("frame", F.col("idx").alias("id"), col("Particle Type").alias("t"), _r("Position.X", "x"))
 
 
-@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), d AS (SELECT a.frame, a.x - b.x AS dx, a.y - b.y AS dy FROM k a JOIN k b ON a.id = b.id AND b.frame = (SELECT f FROM f)) SELECT frame, count(*) AS n, round(avg(pow(CASE WHEN dx > 50 THEN dx - 100 WHEN dx < -50 THEN dx + 100 ELSE dx END, 2) + pow(CASE WHEN dy > 50 THEN dy - 100 WHEN dy < -50 THEN dy + 100 ELSE dy END, 2)), 4) AS msd FROM d GROUP BY 1")
+@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), d AS (SELECT a.frame, a.x - b.x AS dx, a.y - b.y AS dy FROM k a LEFT JOIN k b ON a.id = b.id AND b.frame = (SELECT f FROM f)) SELECT frame, count(dx) AS n, round(avg(pow(CASE WHEN dx > 50 THEN dx - 100 WHEN dx < -50 THEN dx + 100 ELSE dx END, 2) + pow(CASE WHEN dy > 50 THEN dy - 100 WHEN dy < -50 THEN dy + 100 ELSE dy END, 2)), 4) AS msd FROM d GROUP BY 1")
 def mean_square_displacement(spark, sf_dir):
     ds = tracks(spark, sf_dir)
     first = ds.cells.agg(F.min("frame")).first()[0]

@@ -66,7 +66,7 @@ def select_type_invert(spark, sf_dir):
 
 @query(f"WITH {_ITEMS}, s AS (SELECT frame, x, y, z, (x + y) / sqrt(2.0) - 30 AS d FROM p) SELECT frame, count(*) AS n, round(sum(x), 4) AS sum_x FROM s WHERE abs(d) <= 5 GROUP BY 1")
 def slice_slab(spark, sf_dir):
-    out = select.slice_particles(items(spark, sf_dir), (1.0, 1.0, 0.0), 30.0, 10.0)
+    out = select.slice_particles(items(spark, sf_dir), (1.0, 1.0, 0.0), 30.0, 10.0, renumber=False)
     return out.particles.groupBy("frame").agg(F.count("*").alias("n"), _r(F.sum(col("Position.X")), "sum_x", 4))
 
 
@@ -197,35 +197,45 @@ def combine_sets(spark, sf_dir):
     return out.particles.select(col("Particle Identifier").alias("id"), col("Particle Type").alias("t"), _r("Charge", "q"), _r("Position.X", "x"))
 
 
+_WIDER = "CASE WHEN {0} > 50.25 THEN {0} - 100.5::DOUBLE WHEN {0} < -50.25 THEN {0} + 100.5::DOUBLE ELSE {0} END"
 _STEP = "CASE WHEN {0} > 50 THEN {0} - 100 WHEN {0} < -50 THEN {0} + 100 ELSE {0} END"
 
 
-@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), d AS (SELECT a.frame, a.id, a.x - b.x AS dx, a.y - b.y AS dy FROM k a JOIN k b ON a.id = b.id AND b.frame = (SELECT f FROM f)) SELECT frame, id, {_STEP.format('dx')} AS dx, {_STEP.format('dy')} AS dy FROM d")
+@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), d AS (SELECT a.frame, a.id, a.x - b.x AS dx, a.y - b.y AS dy FROM k a LEFT JOIN k b ON a.id = b.id AND b.frame = (SELECT f FROM f)) SELECT frame, id, {_STEP.format('dx')} AS dx, {_STEP.format('dy')} AS dy FROM d")
 def displacements(spark, sf_dir):
     ds = tracks(spark, sf_dir)
     first = ds.cells.agg(F.min("frame")).first()[0]
-    out = analyze.displacements(ds, first, missing="drop").particles
+    out = analyze.displacements(ds, first, missing="null").particles
     return out.select("frame", col("Particle Identifier").alias("id"), col("Displacement.X").alias("dx"), col("Displacement.Y").alias("dy"))
 
 
-@query(f"WITH {_TRACKS}, d AS (SELECT a.frame, a.id, a.x - b.x AS dx, a.y - b.y AS dy FROM k a JOIN k b ON a.id = b.id AND b.frame = a.frame - 1) SELECT frame, count(*) AS n, round(avg(pow({_STEP.format('dx')}, 2) + pow({_STEP.format('dy')}, 2)), 4) AS msd FROM d GROUP BY 1")
+@query(f"WITH {_TRACKS}, d AS (SELECT a.frame, a.id, a.x - b.x AS dx, a.y - b.y AS dy FROM k a LEFT JOIN k b ON a.id = b.id AND b.frame = a.frame - 1) SELECT frame, count(*) AS n, round(avg(pow({_STEP.format('dx')}, 2) + pow({_STEP.format('dy')}, 2)), 4) AS msd FROM d GROUP BY 1")
 def step_displacements(spark, sf_dir):
-    d = analyze.displacements(tracks(spark, sf_dir), None, -1, missing="drop").particles
+    d = analyze.displacements(tracks(spark, sf_dir), None, -1, missing="null").particles
     return d.groupBy("frame").agg(F.count("*").alias("n"), _r(F.avg(col("Displacement Magnitude") * col("Displacement Magnitude")), "msd", 4))
 
 
+@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), d AS (SELECT a.frame, a.id, a.x - b.x AS dx, a.y - b.y AS dy, (100 + f) / 100.0::DOUBLE AS grown FROM f, k a LEFT JOIN k b ON a.id = b.id AND b.frame = (SELECT f FROM f)) SELECT frame, id, round({_WIDER.format('dx')} * grown, 6) AS dx, round({_WIDER.format('dy')} * grown, 6) AS dy FROM d")
+def displacements_without_deformation(spark, sf_dir):
+    """The box (a little wider here, so that no way is just half of it) grows from day to day, and users with it: what is left are their own ways, in the first day's box."""
+    ds = tracks(spark, sf_dir)
+    first = ds.cells.agg(F.min("frame")).first()[0]
+    grown = (F.col("frame") + 100) / 100.0
+    ds = ds.having(particles=ds.particles.withColumns({c: col(c) * grown for c in POSITION}), cells=ds.cells.withColumns({c: F.col(c) * 1.005 * grown for c in ("ax", "by", "cz")}))
+    out = analyze.displacements(ds, first, missing="null", eliminate_deformation=True).particles
+    return out.select("frame", col("Particle Identifier").alias("id"), _r("Displacement.X", "dx"), _r("Displacement.Y", "dy"))
+
+
 @query(f"WITH {_TRACKS}, d AS (SELECT frame, id, x, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM k WINDOW w AS (PARTITION BY id ORDER BY frame)), s AS (SELECT frame, id, coalesce(dx - 100 * floor(dx / 100 + 0.5), x) AS dx, coalesce(dy - 100 * floor(dy / 100 + 0.5), y) AS dy FROM d) SELECT frame, id, round(sum(dx) OVER v, 4) AS x, round(sum(dy) OVER v, 4) AS y FROM s WINDOW v AS (PARTITION BY id ORDER BY frame ROWS UNBOUNDED PRECEDING)")
 def unwrapped_trajectory(spark, sf_dir):
     return modify.trajectory_lines(tracks(spark, sf_dir)).select("frame", "id", _r("x", digits=4), _r("y", digits=4))
 
 
-@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), v AS (SELECT id, x FROM k WHERE frame = (SELECT f FROM f)) SELECT k.frame, k.id, v.x AS frozen FROM k JOIN v USING (id)")
+@query(f"WITH {_TRACKS}, f AS (SELECT min(frame) AS f FROM k), v AS (SELECT id, x FROM k WHERE frame = (SELECT f FROM f)) SELECT k.frame, k.id, v.x AS frozen FROM k LEFT JOIN v USING (id)")
 def freeze_property(spark, sf_dir):
     ds = tracks(spark, sf_dir)
     first = ds.cells.agg(F.min("frame")).first()[0]
-    known = ds.particles.where(F.col("frame") == first).select("Particle Identifier")
-    ds = ds.having(particles=ds.particles.join(known, "Particle Identifier", "left_semi"))
-    return modify.freeze_property(ds, "Position.X", "Frozen", first).particles.select("frame", col("Particle Identifier").alias("id"), col("Frozen").alias("frozen"))
+    return modify.freeze_property(ds, "Position.X", "Frozen", first, missing="null").particles.select("frame", col("Particle Identifier").alias("id"), col("Frozen").alias("frozen"))
 
 
 _NEAR = _CLOUD + """, w AS (SELECT *, x - floor(x + 0.5) AS wx, y - floor(y + 0.5) AS wy, z - floor(z + 0.5) AS wz FROM c),

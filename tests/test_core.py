@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,19 @@ def test_coordination_of_a_crystal(spark):
     assert {r[0] for r in analyze.coordination(fcc, 3.0).particles.select("Coordination").distinct().collect()} == {12}
     g = analyze.radial_distribution(fcc, 3.0, 10).where("g > 0").collect()
     assert [r.bin for r in g] == [9]
+
+def test_displacements_without_deformation(spark):
+    # A skewed cell that is stretched and turned: particles that go with it don't move, one crosses a border.
+    cells = [(0, 10.0, 0.0, 0.0, 2.0, 8.0, 0.0, 1.0, 0.5, 6.0, 1.0, 1.0, 1.0, True, True, False, False), (1, 0.0, 12.0, 0.0, -9.0, 1.0, 0.0, 0.0, 0.5, 7.0, 0.0, 0.0, 0.0, True, True, False, False)]
+    m = [np.array(c[1:10]).reshape(3, 3) for c in cells]
+    o = [np.array(c[10:13]) for c in cells]
+    s0 = np.array([[0.1, 0.2, 0.3], [0.9, 0.5, 0.5], [0.4, 0.4, 0.1]])
+    s1 = s0 + np.array([[0.0, 0.0, 0.0], [-0.8, 0.1, 0.0], [0.0, 0.0, 0.7]])
+    rows = [(f, k, *map(float, x)) for f, s in enumerate((s0, s1)) for k, x in enumerate(s @ m[f] + o[f])]
+    d = spark.createDataFrame(rows, "frame int, idx long, " + ", ".join(f"`{c}` double" for c in POSITION))
+    out = analyze.displacements(Dataset(d, cells_of(spark, cells)), 0, eliminate_deformation=True).particles.where("frame = 1").orderBy("idx")
+    got = np.array([[r[f"Displacement.{k}"] for k in "XYZ"] for r in out.collect()])
+    assert np.allclose(got, np.array([[0, 0, 0], [0.2, 0.1, 0.0], [0.0, 0.0, 0.7]]) @ m[0])
+    lone = Dataset(d.where("frame = 1 OR idx < 2"), cells_of(spark, cells))
+    kept = analyze.displacements(lone, 0, missing="null").particles.where("frame = 1 AND idx = 2").first()
+    assert kept["Displacement.X"] is None and kept["Displacement Magnitude"] is None
