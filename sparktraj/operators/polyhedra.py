@@ -171,11 +171,19 @@ def faces(cells: np.ndarray, planes: np.ndarray, points: np.ndarray, vectors: np
     return cell[start], plane[start], area, size / 2, edges
 
 
-def neighbour_vectors(near: pa.ListArray, idx: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors to neighbours with both ends nudged, and where each particle's begin.  ``near`` holds j, dx, dy, dz."""
+def neighbour_vectors(near: pa.ListArray, idx: np.ndarray, scale: float, by_image: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors to neighbours with both ends nudged, and where each particle's begin.  ``near`` holds j, dx, dy, dz, sx, sy, sz; what has no j, a wall, stays where it is.
+
+    ``by_image``: images of a particle are nudged each its own way, for boxes so small that they meet in a cell; cells of different particles then don't fit each other to the last digit.
+    """
     ends = near.offsets.to_numpy().astype(int)
     inner = near.values.slice(ends[0], ends[-1] - ends[0])
     v = np.stack([inner.field(c).to_numpy(zero_copy_only=False) for c in ("dx", "dy", "dz")], axis=1)
     ends = ends - ends[0]
-    v = v + scale * (nudges(pc.fill_null(inner.field("j"), -1).to_numpy(zero_copy_only=False)) - nudges(np.repeat(idx, np.diff(ends))))
+    j = inner.field("j")
+    sites = pc.fill_null(j, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if by_image:
+        sites = sites + sum(inner.field(c).to_numpy(zero_copy_only=False).astype(np.int64) * p for c, p in zip(("sx", "sy", "sz"), (1 << 40, 1 << 46, 1 << 52)))
+    moved = nudges(sites) - nudges(np.repeat(idx, np.diff(ends)))
+    v = v + scale * np.where(j.is_valid().to_numpy(zero_copy_only=False)[:, None], moved, 0.0)
     return v, ends

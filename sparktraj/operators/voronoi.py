@@ -67,7 +67,8 @@ def cell(vectors: np.ndarray, reach: float, radius: float, others: np.ndarray) -
     corners = np.array([(x, y, z) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], float) * reach
     faces = [(-1, corners[list(f)]) for f in ((0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3))]
     for k, v in enumerate(vectors):
-        faces = _clip(faces, v, (v @ v + radius**2 - others[k] ** 2) / 2, k, 1e-9 * reach)
+        size = float(np.linalg.norm(v))  # a wall that a particle lies on is next to nothing away
+        faces = _clip(faces, v / size, (size**2 + radius**2 - others[k] ** 2) / 2 / size, k, 1e-9 * reach)
     return faces, all(of >= 0 for of, _ in faces)
 
 
@@ -98,7 +99,7 @@ def _walls(ds: Dataset) -> F.Column:
 def _plain(near: pa.ListArray, idx: np.ndarray, cutoff: float, scale: float, least_area: float, least_edge: float):
     """Of each particle: volume, faces by number of edges, largest number of edges, whether the cell is sure; and the rows of ``near`` behind faces with their particle."""
     n = len(idx)
-    vectors, ends = polyhedra.neighbour_vectors(near, idx, scale)
+    vectors, ends = polyhedra.neighbour_vectors(near, idx, scale, by_image=True)
     volume, index, most, sure = np.zeros(n), np.zeros((n, MOST_EDGES + 1), int), np.zeros(n, int), np.zeros(n, bool)
     far, behind, at = np.zeros(n), [], 0
     for cells, planes, points, open_ in polyhedra.corners(vectors, ends):
@@ -182,6 +183,8 @@ def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: flo
     own = own.withColumn("walls", F.when(F.col("inside"), F.col("walls")).otherwise(F.slice("walls", 1, 0)))
     # What lies outside of the walls cuts no cells either.
     others = ds.having(particles=ds.particles.join(own.where("inside").select("frame", "idx"), ["frame", "idx"], "left_semi").select("frame", "idx", *map(col, POSITION)))
+    a, b, c = g.edges()
+    widest = ds.cells.agg(F.max(g.norm(a) + g.norm(b) + g.norm(c))).first()[0] or 0.0
     again, reach, parts = None, cutoff, []
     while True:
         around = pairs(others, reach) if again is None else within(others, reach, sources=again).where("i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0")
@@ -194,6 +197,8 @@ def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: flo
         again = others.particles.join(found.where("NOT sure").select("frame", "idx"), ["frame", "idx"], "left_semi")
         if again.isEmpty():
             break
+        if reach > 4 * (widest + cutoff):
+            raise ValueError("a Voronoi cell doesn't close")
         again, reach = stage(again, "unsure"), 1.5 * reach
     found = functools.reduce(lambda a, b: a.unionByName(b), parts)
     if bonds:
