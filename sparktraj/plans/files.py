@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sparktraj.dataset import POSITION, Dataset, col, shared_path
 from sparktraj.operators import analyze, modify
-from sparktraj.plans.adapters import cloud, lattice, tracks
-from sparktraj.plans.queries import _CLOUD, _LATTICE, _PAIRS, _TRACKS, RC, _r, query
-from sparktraj.sources import readers, writers
+from sparktraj.plans.adapters import cloud, items, lattice, numbered, tracks
+from sparktraj.plans.queries import _CLOUD, _ITEMS, _LATTICE, _PAIRS, _TRACKS, RC, _r, query
+from sparktraj.sources import binary_writers, indexed, readers, writers
 
 _COLUMNS = ["Particle Identifier", "Particle Type", *POSITION]
 _ROWS = f"WITH {_LATTICE} SELECT id, t, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM l"
@@ -143,3 +143,36 @@ def mean_square_displacement(spark, sf_dir):
     ds = tracks(spark, sf_dir)
     first = ds.cells.agg(F.min("frame")).first()[0]
     return analyze.mean_square_displacement(ds, first).select("frame", "n", _r("msd", digits=4))
+
+
+@query(f"WITH {_TRACKS} SELECT CAST(dense_rank() OVER (ORDER BY frame) - 1 AS INT) AS frame, CAST(frame AS DOUBLE) AS timestep, id, round(x, 4) AS x, round(y, 4) AS y FROM k")
+def dump_frame_index(spark, sf_dir):
+    """Files of many frames each, by an index of their frames."""
+    lines = writers.dump_lines(tracks(spark, sf_dir), ["Particle Identifier", *POSITION])
+    folder = shared_path(spark, "texts")
+    # Ranges of frames keep each frame in one file, and files in the order of frames.
+    lines.repartitionByRange(4, "frame").sortWithinPartitions("frame", "part", "place").select("value").write.text(folder)
+    back = indexed.read_indexed(spark, indexed.frame_index(spark, f"{folder}/*.txt", "dump"), "dump")
+    step = back.attributes.where("key = 'Timestep'").select("frame", F.col("num").alias("timestep"))
+    return back.particles.join(step, "frame").select("frame", "timestep", col("Particle Identifier").cast("long").alias("id"), _r("Position.X", "x", 4), _r("Position.Y", "y", 4))
+
+
+def _written(pieces: DataFrame, format_: str, ending: str, **options) -> Dataset:
+    spark, folder = pieces.sparkSession, shared_path(pieces.sparkSession, "files")
+    binary_writers.write_pieces(pieces, folder, ending)
+    return indexed.read_indexed(spark, indexed.frame_index(spark, f"{folder}/*{ending}", format_, **options), format_)
+
+
+@query(f"WITH {_ITEMS} SELECT frame - 1 AS frame, CAST(frame AS DOUBLE) AS timestep, t, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(q), 3) AS q FROM p GROUP BY ALL")
+def binary_dump_round_trip(spark, sf_dir):
+    """Frames of order lines in chunks, read by stretches."""
+    names = ["Particle Type", *POSITION, "Charge"]
+    back = _written(binary_writers.binary_dump_pieces(numbered(items(spark, sf_dir)), names), "binary_dump", ".bin", columns=names)
+    step = back.attributes.select("frame", F.col("num").alias("timestep"))
+    d = back.particles.join(step, "frame").groupBy("frame", "timestep", col("Particle Type").alias("t"))
+    return d.agg(F.count("*").alias("n"), *(_r(F.sum(col(c)), k, 3) for c, k in (("Position.X", "x"), ("Position.Y", "y"), ("Charge", "q"))))
+
+
+@query(_ROWS)
+def netcdf_round_trip(spark, sf_dir):
+    return _rows(_written(binary_writers.netcdf_pieces(numbered(lattice(spark, sf_dir)), _COLUMNS), "netcdf", ".nc"))

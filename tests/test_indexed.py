@@ -200,3 +200,43 @@ def test_files_of_nothing(spark, tmp_path):
     for kind in ("xyz", "dump"):
         index = indexed.frame_index(spark, str(tmp_path / f"a.{kind}"), kind)
         assert index.count() == 0 and indexed.read_indexed(spark, index, kind).particles.count() == 0
+
+
+def tilted(spark, n=25):
+    from sparktraj.dataset import Dataset, cells_of
+
+    rng = np.random.default_rng(4)
+    rows = [(f, k, 100 + k, 1 + k % 3, *map(float, rng.random(3) * 9)) for f in range(2) for k in range(n - 5 * f)]
+    p = spark.createDataFrame(rows, "frame int, idx long, `Particle Identifier` long, `Particle Type` int, " + ", ".join(f"`{c}` double" for c in POSITION)).repartition(5, "idx")
+    cells = cells_of(spark, [(f, 10.0, 0.0, 0.0, 2.0, 9.0, 0.0, -1.0, 0.5, 8.0, 1.0, 2.0, 3.0, True, True, True, False) for f in range(3)])
+    return Dataset(p, cells).with_attributes(spark.createDataFrame([(0, "Timestep", 50.0), (1, "Timestep", 70.0)], "frame int, key string, num double"))
+
+
+@pytest.mark.parametrize("kind", ["binary_dump", "netcdf"])
+def test_written_and_read_back(spark, tmp_path, kind):
+    from sparktraj.sources import binary_writers as w
+
+    ds, names = tilted(spark), ["Particle Identifier", "Particle Type", *POSITION]
+    pieces = w.binary_dump_pieces(ds, names, chunk=7) if kind == "binary_dump" else w.netcdf_pieces(ds, names, ("Timestep",))
+    files = w.write_pieces(pieces, f"file://{tmp_path}/out", ".bin")
+    assert {r.frame: (tmp_path / "out" / f"{r.frame}.bin").stat().st_size == r["size"] for r in files.collect()} == {0: True, 1: True, 2: True}
+    options = {"columns": names} if kind == "binary_dump" else {}
+    back = indexed.read_indexed(spark, indexed.frame_index(spark, f"{tmp_path}/out/*.bin", kind, **options), kind, at_once=4)
+    assert rows_of(back, *names) == rows_of(ds, *names)
+    got = {r.frame: r for r in back.cells.collect()}
+    for r in ds.cells.collect():
+        assert list(got[r.frame])[1:13] == pytest.approx(list(r)[1:13], abs=1e-9) and list(got[r.frame])[13:] == list(r)[13:]
+    steps = {r.frame: r.num for r in back.attributes.where("key = 'Timestep'").collect()}
+    assert steps[0] == 50 and steps[1] == 70 and (steps[2] == 2 if kind == "binary_dump" else np.isnan(steps[2]))
+
+
+def test_what_cannot_be_written(spark, tmp_path):
+    from sparktraj.sources import binary_writers as w
+
+    ds = tilted(spark)
+    gaps = ds.having(particles=ds.particles.where("idx <> 3"))
+    with pytest.raises(Exception, match="without gaps"):
+        w.write_pieces(w.binary_dump_pieces(gaps, list(POSITION)), f"file://{tmp_path}/a", ".bin")
+    none = ds.having(particles=ds.particles.withColumn("Particle Type", F.when(F.col("idx") > 0, col("Particle Type"))))
+    with pytest.raises(Exception, match="missing values"):
+        w.write_pieces(w.netcdf_pieces(none, ["Particle Type"]), f"file://{tmp_path}/b", ".nc")
