@@ -170,6 +170,17 @@ def _one_period(v: Column, limit: Column) -> Column:
     return F.when(v > limit, -1).when(v < -limit, 1).otherwise(0)
 
 
+def less_a_period(d: DataFrame) -> DataFrame:
+    """Vectors _vx, _vy, _vz with at most one period of the row's cell taken off along each periodic direction, one direction after another."""
+    for edge, periodic in zip(g.edges(), g.periodic()):
+        v = tuple(F.col(f"_v{k}") for k in "xyz")
+        half, along = g.dot(edge, edge) / 2, g.dot(v, edge)
+        # Shorter by one period or not: |v - e| < |v| is v.e > e.e / 2.
+        k = F.when(periodic, _one_period(along, half)).otherwise(0)
+        d = d.withColumns({f"_v{x}": F.col(f"_v{x}") + k * e for x, e in zip("xyz", edge)})
+    return d
+
+
 def displacements(ds: Dataset, reference_frame: int | None = 0, offset: int = -1, missing: str = "error", eliminate_deformation: bool = False) -> Dataset:
     """Displacement.X/Y/Z and Displacement Magnitude, with at most one period taken off along each periodic direction, one direction after another.
 
@@ -187,12 +198,7 @@ def displacements(ds: Dataset, reference_frame: int | None = 0, offset: int = -1
     else:
         v = tuple(col(c) - F.col(f"r{k}") for c, k in zip(POSITION, "xyz"))
         d = d.withColumns({f"_v{k}": x for k, x in zip("xyz", v)})
-        for edge, periodic in zip(g.edges(), g.periodic()):
-            v = tuple(F.col(f"_v{k}") for k in "xyz")
-            half, along = g.dot(edge, edge) / 2, g.dot(v, edge)
-            # Shorter by one period or not: |v - e| < |v| is v.e > e.e / 2.
-            k = F.when(periodic, _one_period(along, half)).otherwise(0)
-            d = d.withColumns({f"_v{x}": F.col(f"_v{x}") + k * e for x, e in zip("xyz", edge)})
+        d = less_a_period(d)
     out = {f"Displacement.{k.upper()}": F.col(f"_v{k}") for k in "xyz"}
     d = d.withColumns(out | {"Displacement Magnitude": g.norm(tuple(F.col(f"_v{k}") for k in "xyz"))})
     return ds.having(particles=d.select(*map(col, dict.fromkeys([*ds.particles.columns, *out, "Displacement Magnitude"]))))
