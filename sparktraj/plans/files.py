@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparktraj.dataset import POSITION, Dataset, col, shared_path
 from sparktraj.operators import analyze, modify
 from sparktraj.plans.adapters import cloud, items, lattice, numbered, tracks
-from sparktraj.plans.queries import _CLOUD, _ITEMS, _LATTICE, _PAIRS, _TRACKS, RC, _r, query
+from sparktraj.plans.queries import _CLOUD, _ITEMS, _LATTICE, _PAIRS, _STEP, _TRACKS, RC, _r, query
 from sparktraj.sources import binary_writers, indexed, readers, writers
+from sparktraj.streaming.frames import stream_displacements, stream_particles
 
 _COLUMNS = ["Particle Identifier", "Particle Type", *POSITION]
 _ROWS = f"WITH {_LATTICE} SELECT id, t, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM l"
@@ -176,3 +177,16 @@ def binary_dump_round_trip(spark, sf_dir):
 @query(_ROWS)
 def netcdf_round_trip(spark, sf_dir):
     return _rows(_written(binary_writers.netcdf_pieces(numbered(lattice(spark, sf_dir)), _COLUMNS), "netcdf", ".nc"))
+
+
+@query(f"WITH {_TRACKS}, d AS (SELECT a.frame, a.id, a.x - b.x AS dx, a.y - b.y AS dy FROM k a JOIN k b ON a.id = b.id AND b.frame = a.frame - 1) SELECT frame, id, {_STEP.format('dx')} AS dx, {_STEP.format('dy')} AS dy FROM d")
+def stream_step_displacements(spark, sf_dir):
+    """Frames that arrive by parts of their particles, as a stream; rows whose place before is missing would wait for frames to come."""
+    ds = tracks(spark, sf_dir)
+    source, out, log = (shared_path(spark, x) for x in ("arrivals", "moved", "log"))
+    ds.particles.select("frame", "Particle Identifier", *map(col, POSITION)).repartition(8, "Particle Identifier").write.parquet(source)
+    schema = "frame int, `Particle Identifier` bigint, " + ", ".join(f"`{c}` double" for c in POSITION)
+    moved = stream_displacements(stream_particles(spark, source, schema, 3), ds.cells, 10_000)
+    moved.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema(moved.schema).parquet(out).where(col("Displacement.X").isNotNull())
+    return back.select("frame", col("Particle Identifier").alias("id"), col("Displacement.X").alias("dx"), col("Displacement.Y").alias("dy"))
