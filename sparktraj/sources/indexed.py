@@ -2,7 +2,7 @@
 
 The index is a table: ``frame_index(...).where("frame = 5")`` is what ``read_indexed`` then opens, so frames are pruned before anything is read, and ``properties``
 prunes columns.  Binary formats (LAMMPS binary dumps, PARCAS, GSD, classic NetCDF in AMBER's conventions) keep a particle's values at fixed distances, so a frame is read by
-as many tasks as its particles make stretches of ``AT_ONCE``; only headers are read to index them.  Text frames (dumps, XYZ) are read by one task each.  Files aren't limited in size,
+as many tasks as its particles make stretches of ``AT_ONCE``; only headers are read to index them.  Text frames (dumps, XYZ, logs of FHI-aims) are read by one task each.  Files aren't limited in size,
 but must not be compressed.  They are opened by ``pyarrow.fs``, which knows local, HDFS and S3 paths.
 """
 
@@ -325,7 +325,9 @@ def index_xyz(f: BinaryIO, size: int) -> Iterator[dict]:
 
 
 INDEXERS: dict[str, Callable[..., Iterator[dict]]] = {"binary_dump": index_binary_dump, "parcas": index_parcas, "gsd": index_gsd, "netcdf": index_netcdf, "xyz": index_xyz}
-_MARK = b"ITEM: TIMESTEP"
+#: What a frame of a text begins with, at the beginning of a line, and perhaps behind some blanks.
+MARKS = {"dump": readers.DUMP_MARK.encode(), "aims_log": readers.AIMS_MARK.encode()}
+_BLANKS = 32
 
 
 def _spread(df: DataFrame, tasks: int) -> DataFrame:
@@ -333,8 +335,9 @@ def _spread(df: DataFrame, tasks: int) -> DataFrame:
     return df.repartition(max(1, tasks))
 
 
-def _dump_index(spark: SparkSession, files: DataFrame) -> DataFrame:
+def _marked(spark: SparkSession, files: DataFrame, mark: bytes) -> DataFrame:
     """Marks of frames are looked for in blocks of the files at once."""
+    pattern = re.compile(rb"(?<=\n)[ \t]{0,%d}%s" % (_BLANKS, re.escape(mark)))
     blocks = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(BLOCK).cast("long"))).alias("at"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,8 +347,8 @@ def _dump_index(spark: SparkSession, files: DataFrame) -> DataFrame:
                     # One byte before the block tells whether a mark begins a line; a mark may end in the next block.
                     lead = min(at, 1)
                     f.seek(at - lead)
-                    raw = b"\n" * (1 - lead) + f.read(lead + BLOCK + len(_MARK) - 1)
-                found = [at + m.start() for m in re.finditer(rb"(?<=\n)" + _MARK, raw)]
+                    raw = b"\n" * (1 - lead) + f.read(lead + BLOCK + len(mark) + _BLANKS - 1)
+                found = [at + m.start() for m in pattern.finditer(raw)]
                 found = [x - 1 for x in found if x - 1 < at + BLOCK]
                 yield pa.record_batch([pa.array([path] * len(found), pa.string()), pa.array(found, pa.int64())], names=["path", "begin"])
 
@@ -360,12 +363,12 @@ def _dump_index(spark: SparkSession, files: DataFrame) -> DataFrame:
 def frame_index(spark: SparkSession, path: str, format_: str, **options) -> DataFrame:
     """The index of one file or a glob: ``INDEX`` behind ``frame``, which counts frames over files in natural order.
 
-    ``format_``: dump, xyz, binary_dump (with ``columns``), parcas, gsd or netcdf.
+    ``format_``: dump, xyz, aims_log, binary_dump (with ``columns``), parcas, gsd or netcdf.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
     on_workers(spark)
-    if format_ == "dump":
-        rows = _dump_index(spark, files)
+    if format_ in MARKS:
+        rows = _marked(spark, files, MARKS[format_])
     else:
         kinds = pa.schema([("path", pa.string()), ("part", pa.int32()), *((c, pa.int64()) for c in ("n", "first", "count", "begin", "end")), ("fields", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("at", pa.int64()), ("step", pa.int64()), ("factor", pa.float64())]))), ("cell", pa.list_(pa.float64())), ("facts", pa.list_(pa.struct([("key", pa.string()), ("num", pa.float64()), ("str", pa.string())]))), ("types", pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string())]))), ("bonds", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])))])
 
@@ -428,7 +431,7 @@ def read_indexed(spark: SparkSession, index: DataFrame, format_: str, properties
     a variable of 4-byte reals is only filled.  Bonds of GSD files go to the nearest image.
     """
     on_workers(spark)
-    if format_ in ("dump", "xyz"):
+    if format_ in MARKS or format_ == "xyz":
         return _read_text(spark, index, format_)
     wanted = F.col("fields") if properties is None else F.filter("fields", lambda x: x["name"].isin(*properties))
     index = index.withColumn("fields", wanted)

@@ -240,3 +240,32 @@ def test_what_cannot_be_written(spark, tmp_path):
     none = ds.having(particles=ds.particles.withColumn("Particle Type", F.when(F.col("idx") > 0, col("Particle Type"))))
     with pytest.raises(Exception, match="missing values"):
         w.write_pieces(w.netcdf_pieces(none, ["Particle Type"]), f"file://{tmp_path}/b", ".nc")
+
+
+LOG = """  Invoking FHI-aims ...
+  | Number of atoms: 2
+  atom 9 9 9 X
+  Updated atomic structure:
+                         x [A]             y [A]             z [A]
+  lattice_vector         4.0               0.0               0.0
+  lattice_vector         0.0               5.0               0.0
+  lattice_vector         0.0               0.0               6.0
+
+            atom         1.0               2.0               {0}.0  Si
+       atom_frac         0.5               0.5               0.5  C
+  Fractional coordinates:
+            atom_frac    0.1 0.1 0.1 Si
+"""
+
+
+def test_log_of_a_run(spark, tmp_path, monkeypatch):
+    step = LOG[LOG.index("  Updated") :]
+    (tmp_path / "run.out").write_text(LOG.format(0) + "".join(step.format(k) for k in range(1, 5)))
+    want = [(f, k, *p, t) for f in range(5) for k, (p, t) in enumerate([((1, 2, f), 2), ((2, 2.5, 3), 1)])]
+    assert rows_of(readers.read_frames(spark, str(tmp_path / "run.out")), *POSITION, "Particle Type") == want
+    monkeypatch.setattr(indexed, "BLOCK", 61)
+    index = indexed.frame_index(spark, str(tmp_path / "run.out"), "aims_log")
+    ds = indexed.read_indexed(spark, index, "aims_log")
+    assert rows_of(ds, *POSITION, "Particle Type") == want and {(r.ax, r["by"], r.cz) for r in ds.cells.collect()} == {(4.0, 5.0, 6.0)}
+    with pytest.raises(ValueError):
+        list(readers.parse_aims_log("Updated atomic structure:\n\nnothing"))
