@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
-from sparktraj.dataset import Dataset, box, cells_of
-from sparktraj.operators import analyze, structure
+from pyspark.sql import functions as F
+
+from sparktraj.dataset import BONDS, Dataset, box, cells_of
+from sparktraj.operators import analyze, modify, select, structure
 
 
 def cloud(spark, n: int, seed: int = 3, size: float = 4.0, pbc: bool = True) -> Dataset:
@@ -25,3 +27,41 @@ def test_signatures_of_rows_are_those_of_joins(spark, monkeypatch, most):
     monkeypatch.setattr(structure, "MOST_BONDS", most)
     got = _rows(structure.bond_signatures(ds))
     assert len(got) == ds.bonds.count() and got == _rows(structure._joined(b, b))
+
+
+def test_a_few_cells_are_known_to_be_few(spark):
+    """Particles, or pairs, aren't dealt out by frame to meet their cell."""
+    plan = cells_of(spark, [box(k, (1, 1, 1)) for k in range(4)])._jdf.queryExecution().optimizedPlan()
+    assert int(str(plan.stats().sizeInBytes())) < 10_000
+
+
+@pytest.mark.parametrize(("cutoff", "pbc"), [(0.45, True), (0.45, False), (3.0, True)])
+def test_expanded_by_whole_bins(spark, cutoff, pbc):
+    ds = cloud(spark, 300, 5, pbc=pbc)
+    x = np.array([[r[f"Position.{c}"] for c in "XYZ"] for r in ds.particles.orderBy("idx").collect()])
+    d = x[:, None] - x[None]
+    d = d - 4.0 * np.round(d / 4.0) if pbc else d
+    near, chosen = (d**2).sum(axis=2) <= cutoff**2, np.arange(300) % 25 == 0
+    ds = ds.having(particles=ds.particles.withColumn("Selection", (F.col("idx") % 25 == 0).cast("int")))
+    for rounds in (1, 2):
+        chosen = chosen | near[chosen].any(axis=0)
+        got = select.expand_selection(ds, "cutoff", cutoff, iterations=rounds).particles.where("Selection = 1").select("idx").collect()
+        assert sorted(r.idx for r in got) == list(np.flatnonzero(chosen))
+
+
+def test_expanded_by_bonds_of_one_direction(spark):
+    ds = cloud(spark, 4).having(bonds=spark.createDataFrame([(0, 0, 0, 1, 0, 0, 0), (0, 1, 2, 1, 0, 0, 0), (0, 2, 2, 3, 0, 0, 0)], BONDS))
+    ds = ds.having(particles=ds.particles.withColumn("Selection", (F.col("idx") == 0).cast("int")))
+    got = lambda n: sorted(r.idx for r in select.expand_selection(ds, "bonded", iterations=n).particles.where("Selection = 1").collect())
+    assert [got(n) for n in (1, 2, 3)] == [[0, 1], [0, 1, 2], [0, 1, 2, 3]]
+
+
+def test_bonds_found_when_asked_for(spark):
+    ds = cloud(spark, 80)
+    ds = ds.having(particles=ds.particles.withColumn("Particle Type", (F.col("idx") % 3).cast("int")))
+    keys = ["i", "j", "sx", "sy", "sz"]
+    old = modify.bond_lengths(analyze.create_bonds(ds, 1.5)).bonds.select(*keys, F.round("Length", 9), (F.col("i") % 3).cast("int"), (F.col("j") % 3).cast("int"))
+    new = analyze.create_bonds(ds, 1.5, numbered=False, lengths=True, ends=("Particle Type",)).bonds
+    assert "bidx" not in new.columns
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.select(*keys, F.round("Length", 9), "`Particle Type.1`", "`Particle Type.2`").collect()))
+    assert sorted(map(tuple, analyze.create_bonds(ds, 1.5, numbered=False).bonds.select(*keys).collect())) == sorted(map(tuple, new.select(*keys).collect()))
