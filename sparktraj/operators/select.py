@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparktraj import geometry as g
 from sparktraj.dataset import POSITION, col, Dataset, number, stage
 from sparktraj.functions.expressions import compiled
-from sparktraj.operators.neighbors import knn, pairs
+from sparktraj.operators.neighbors import knn, within
 
 SELECTION = "Selection"
 
@@ -88,20 +88,58 @@ def manual_selection(ds: Dataset, ids: DataFrame, how: str = "replace", by: str
     return out.having(particles=out.particles.drop("_hit"))
 
 
-def expand_selection(ds: Dataset, mode: str = "cutoff", cutoff: float = 3.2, nearest: int = 1, iterations: int = 1) -> Dataset:
-    """Adds the neighbours of what is selected, each round from the one before.  mode: cutoff, nearest, bonded."""
+def _reached(ds: Dataset, cutoff: float, chosen: DataFrame, new: DataFrame) -> DataFrame:
+    """Particles that aren't chosen within the cutoff of new ones.
+
+    A bin whose diagonal is under the cutoff is reached as a whole if one of its particles is new, so where particles are dense nothing is compared; what lies in other bins is compared
+    with new particles of the bins around.
+    """
+    rest = ds.particles.join(chosen, ["frame", "idx"], "left_anti")
+    hot = ds.particles.join(new, ["frame", "idx"], "left_semi").select("frame", "idx", *map(col, POSITION))
+    rest = rest.select("frame", "idx", *map(col, POSITION))
+    # Bins of the wrapped places; the diagonal of a bin is that of the cell over the number of bins.
+    a, b, c = g.edges()
+    longest = F.greatest(*(g.norm(g.plus(g.plus(a, g.times(b, y)), g.times(c, z))) for y in (1.0, -1.0) for z in (1.0, -1.0)))
+    n = F.least(F.lit(2.0**20), F.ceil(longest / cutoff * (1 + 1e-9)))
+
+    def binned(d: DataFrame) -> DataFrame:
+        d = d.join(ds.cells, "frame")
+        s = g.reduced(tuple(map(col, POSITION)))
+        d = d.withColumns({f"_s{k}": x for k, x in zip("xyz", s)} | {"_n": n, "_small": longest / n <= cutoff * (1 - 1e-12)})
+        inside = tuple(F.when(p, F.col(f"_s{k}") - F.floor(f"_s{k}")).otherwise(F.col(f"_s{k}")) for k, p in zip("xyz", g.periodic()))
+        # In a flat cell z is no part of the cell.
+        flat = F.col("is2d")
+        bins = {f"_b{k}": F.when(flat & F.lit(k == "z"), col("Position.Z")).otherwise(F.floor(x * F.col("_n"))).cast("double") for k, x in zip("xyz", inside)}
+        return d.withColumns(bins).where("_small")
+
+    at = ["frame", "_bx", "_by", "_bz"]
+    full = binned(hot).select(*at).distinct()
+    whole = stage(binned(rest).join(full, at, "left_semi").select("frame", "idx"), "whole")
+    left = rest.join(whole, ["frame", "idx"], "left_anti")
+    return whole.unionByName(within(ds, cutoff, targets=left, sources=hot).select("frame", F.col("j").alias("idx")))
+
+
+def expand_selection(ds: Dataset, mode: str = "cutoff", cutoff: float = 3.2, nearest: int = 1, iterations: int = 1, mirrored: bool = False) -> Dataset:
+    """Adds the neighbours of what is selected, each round from the one before.  mode: cutoff, nearest, bonded.  ``mirrored``: all bonds are there in both directions, as created ones are, so one is enough."""
     if mode == "cutoff":
-        edges = pairs(ds, cutoff).select("frame", "i", "j")
+        edges = None
     elif mode == "nearest":
-        edges = knn(ds, nearest).select("frame", "i", "j")
+        edges = stage(knn(ds, nearest).select("frame", "i", "j"), "edges")
     else:
-        half = ds.bonds.select("frame", "i", "j")
-        edges = half.unionByName(half.select("frame", F.col("j").alias("i"), F.col("i").alias("j")))
-    edges = stage(edges.distinct(), "edges")
-    chosen = ds.particles.where(selected(ds)).select("frame", "idx")
+        edges = None
+    chosen = stage(ds.particles.where(selected(ds)).select("frame", "idx"), "chosen")
+    new = chosen
     for _ in range(iterations):
-        near = chosen.join(edges, (chosen["frame"] == edges["frame"]) & (chosen["idx"] == edges["i"])).select(edges["frame"], F.col("j").alias("idx"))
-        chosen = stage(chosen.unionByName(near).distinct(), "chosen")
+        # What was chosen before has its neighbours already, and what is chosen finds none anew: no more edges are looked at than those of new particles.
+        if mode == "cutoff":
+            near = _reached(ds, cutoff, chosen, new)
+        elif mode == "nearest":
+            near = edges.join(new.withColumnRenamed("idx", "i"), ["frame", "i"], "left_semi").select("frame", F.col("j").alias("idx"))
+        else:
+            ends = [ds.bonds.join(new.withColumnRenamed("idx", a), ["frame", a], "left_semi").select("frame", F.col(b).alias("idx")) for a, b in (("i", "j"), ("j", "i"))[: 1 if mirrored else 2]]
+            near = ends[0] if mirrored else ends[0].unionByName(ends[1])
+        new = stage(near.distinct().join(chosen, ["frame", "idx"], "left_anti"), "new")
+        chosen = chosen.unionByName(new)
     d = ds.particles.join(chosen.withColumn("_in", F.lit(1)), ["frame", "idx"], "left")
     out = ds.having(particles=d.withColumn(SELECTION, F.coalesce("_in", F.lit(0))).drop("_in").select(*map(col, dict.fromkeys([*ds.particles.columns, SELECTION]))))
     return out.count_attribute("ExpandSelection.num_selected", selected(out))

@@ -152,8 +152,8 @@ def expand_selection_nearest(spark, sf_dir):
 
 @query(f"WITH {_PAIRS}, s0 AS (SELECT id FROM c WHERE q > 0.25), s1 AS (SELECT id FROM s0 UNION SELECT j FROM p JOIN s0 ON p.i = s0.id) SELECT id FROM s1")
 def expand_selection_bonded(spark, sf_dir):
-    ds = select.select_expression(analyze.create_bonds(cloud(spark, sf_dir), RC), "Charge > 0.25")
-    return select.expand_selection(ds, "bonded").particles.where("Selection = 1").select(F.col("idx").alias("id"))
+    ds = select.select_expression(analyze.create_bonds(cloud(spark, sf_dir), RC, numbered=False), "Charge > 0.25")
+    return select.expand_selection(ds, "bonded", mirrored=True).particles.where("Selection = 1").select(F.col("idx").alias("id"))
 
 
 @query(f"WITH {_CLOUD} SELECT id, CAST(NULL AS INT) AS selection FROM c")
