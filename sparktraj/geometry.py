@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = tuple[Column, Column, Column]
@@ -68,6 +68,22 @@ def reduced_vector(v: Vector) -> Vector:
     return tuple(F.when(F.col("is2d"), p).otherwise(s) for p, s in zip(plane, solid))  # type: ignore[return-value]
 
 
+def prepared(cells: DataFrame) -> DataFrame:
+    """Cells with what ``reduced_here`` needs of them, so that it isn't worked out for every particle."""
+    a, b, c = edges()
+    normals = {f"_n{k}{x}": v for k, n in zip("abc", (cross(b, c), cross(c, a), cross(a, b))) for x, v in zip("xyz", n)}
+    return cells.withColumns(normals | {"_det": determinant(), "_flat": a[0] * b[1] - a[1] * b[0]})
+
+
+def reduced_here(p: Vector) -> Vector:
+    """As ``reduced``, to the last digit, beside cells that are ``prepared``."""
+    a, b, _ = edges()
+    v = minus(p, origin())
+    solid = tuple(dot(v, tuple(F.col(f"_n{k}{x}") for x in "xyz")) / F.col("_det") for k in "abc")  # type: ignore[arg-type]
+    plane = ((v[0] * b[1] - v[1] * b[0]) / F.col("_flat"), (v[1] * a[0] - v[0] * a[1]) / F.col("_flat"), v[2])
+    return tuple(F.when(F.col("is2d"), p).otherwise(s) for p, s in zip(plane, solid))  # type: ignore[return-value]
+
+
 def reduced(p: Vector) -> Vector:
     """The point in units of the cell's edges, from the origin."""
     return reduced_vector(minus(p, origin()))

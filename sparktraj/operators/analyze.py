@@ -23,8 +23,8 @@ def bin_and_reduce(ds: Dataset, property_: str, how: str = "mean", directions: t
     A bin is the reduced coordinate times the number of bins, cut towards 0; periodic directions wrap and others drop what is outside.
     NaN is left out and empty bins are 0.  ``derivative``: of the values along the first direction, central, one-sided at open ends.
     """
-    d = ds.in_cell(ds.particles.where(selected(ds)) if only_selected else ds.particles)
-    s, periodic = g.reduced(tuple(map(col, POSITION))), g.periodic()
+    d = (ds.particles.where(selected(ds)) if only_selected else ds.particles).join(g.prepared(ds.cells), "frame")
+    s, periodic = g.reduced_here(tuple(map(col, POSITION))), g.periodic()
     names = ["bin_x", "bin_y"][: len(directions)]
     for name, k, n in zip(names, directions, bins):
         at = (s[k] * n).cast("int")

@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from sparktraj import geometry as g
 from sparktraj.dataset import BONDS, Dataset, box, cells_of
 from sparktraj.operators import analyze, modify, select, structure
 
@@ -65,3 +66,13 @@ def test_bonds_found_when_asked_for(spark):
     assert "bidx" not in new.columns
     assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.select(*keys, F.round("Length", 9), "`Particle Type.1`", "`Particle Type.2`").collect()))
     assert sorted(map(tuple, analyze.create_bonds(ds, 1.5, numbered=False).bonds.select(*keys).collect())) == sorted(map(tuple, new.select(*keys).collect()))
+
+
+def test_prepared_cells_reduce_to_the_last_digit(spark):
+    ds = cloud(spark, 50)
+    tilted = (0, 4.0, 0.1, 0.0, 0.3, 3.7, 0.2, -0.4, 0.6, 3.9, 0.1, 0.2, 0.3, True, True, True, False)
+    flat = (0, 4.0, 0.1, 0.0, 0.3, 3.7, 0.0, 0.0, 0.0, 1.0, 0.1, 0.2, 0.3, True, True, False, True)
+    for row in (tilted, flat):
+        p = tuple(F.col(f"`Position.{c}`") for c in "XYZ")
+        d = ds.particles.join(g.prepared(cells_of(spark, [row])), "frame")
+        assert d.where(F.array(*g.reduced(p)) != F.array(*g.reduced_here(p))).count() == 0
