@@ -115,9 +115,18 @@ def match(v: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     turn, scale = np.tile(np.eye(3), (len(v), 1, 1)), np.zeros(len(v))
     for i, j in t.pairs:
         r = axes @ _frames(t.points[i], t.points[j]).T
-        for _ in range(FITS):
-            to = (v @ (r @ t.points.T) - half).argmax(axis=2)
-            r, s, off = fit(t.points[to], v)
+        to, s, off, left = np.full((len(v), n), -1), np.zeros(len(v)), np.full(len(v), np.inf), np.arange(len(v))
+        for k in range(FITS):
+            new = (v[left] @ (r[left] @ t.points.T) - half).argmax(axis=2)
+            # A fit depends on the mapping alone, so it is made where that has changed, and the last one where it is a mapping.
+            moved = (new != to[left]).any(axis=1)
+            left, new = left[moved], new[moved]
+            to[left] = new
+            if k == FITS - 1:
+                left = left[(np.sort(new, axis=1) == np.arange(n)).all(axis=1)]
+            if not len(left):
+                break
+            r[left], s[left], off[left] = fit(t.points[to[left]], v[left])
         better = (np.sort(to, axis=1) == np.arange(n)).all(axis=1) & (off < best)
         best[better], at[better], turn[better], scale[better] = off[better], to[better], r[better], s[better]
     return best, at, turn, scale / size

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
 from sparktraj.dataset import BONDS, Dataset, box, cells_of
-from sparktraj.operators import analyze, modify, select, structure
+from sparktraj.operators import analyze, modify, select, structure, templates
 
 
 def cloud(spark, n: int, seed: int = 3, size: float = 4.0, pbc: bool = True) -> Dataset:
@@ -76,3 +76,12 @@ def test_prepared_cells_reduce_to_the_last_digit(spark):
         p = tuple(F.col(f"`Position.{c}`") for c in "XYZ")
         d = ds.particles.join(g.prepared(cells_of(spark, [row])), "frame")
         assert d.where(F.array(*g.reduced(p)) != F.array(*g.reduced_here(p))).count() == 0
+
+
+def test_a_fit_is_made_once_for_a_mapping(monkeypatch):
+    rows, made, fit = 20, [], templates.fit
+    monkeypatch.setattr(templates, "fit", lambda w, v: (made.append(len(v)), fit(w, v))[1])
+    v = np.tile(templates.shell("FCC"), (rows, 1, 1)) + np.random.default_rng(2).normal(size=(rows, 12, 3)) * 0.02
+    off, at, _, _ = templates.match(v, "FCC")
+    assert (off < 0.05).all() and (np.sort(at, axis=1) == np.arange(12)).all()
+    assert sum(made) < rows * len(templates.template("FCC").pairs) * templates.FITS * 0.8
