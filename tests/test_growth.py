@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
 from sparktraj.dataset import BONDS, Dataset, box, cells_of
-from sparktraj.operators import analyze, modify, select, structure, templates
+from sparktraj.operators import analyze, modify, neighbors, select, structure, templates
 
 
 def cloud(spark, n: int, seed: int = 3, size: float = 4.0, pbc: bool = True) -> Dataset:
@@ -85,3 +85,17 @@ def test_a_fit_is_made_once_for_a_mapping(monkeypatch):
     off, at, _, _ = templates.match(v, "FCC")
     assert (off < 0.05).all() and (np.sort(at, axis=1) == np.arange(12)).all()
     assert sum(made) < rows * len(templates.template("FCC").pairs) * templates.FITS * 0.8
+
+
+@pytest.mark.parametrize(("size", "pbc"), [(4.0, True), (4.0, False), (1.3, True)])
+def test_common_neighbors_of_pairs_are_those_of_bonds(spark, monkeypatch, size, pbc):
+    """Without a list of common neighbours; parts of bins, images of the particle itself and places outside of the box too."""
+    monkeypatch.setattr(neighbors, "TOGETHER", 5)
+    ds = cloud(spark, 90 if size > 2 else 9, size=size, pbc=pbc)
+    ds = ds.having(particles=ds.particles.withColumn("Position.X", F.col("`Position.X`") + F.when(F.col("idx") % 7 == 0, size if pbc else 0.0).otherwise(0.0)))
+    bonded = analyze.create_bonds(ds, 1.5)
+    b = structure.bond_signatures(bonded).join(bonded.bonds.drop("i"), ["frame", "bidx"])
+    keys = ["frame", "i", "j", "sx", "sy", "sz", "n_common"]
+    rows = lambda d: sorted(map(tuple, d.select(*keys).collect()))
+    got = rows(structure.common_neighbors(ds, 1.5))
+    assert got and got == rows(b)
