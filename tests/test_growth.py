@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktraj import geometry as g
 from sparktraj.dataset import BONDS, Dataset, box, cells_of
 from sparktraj.operators import analyze, modify, neighbors, select, structure, templates
+from sparktraj.sources import readers
 
 
 def cloud(spark, n: int, seed: int = 3, size: float = 4.0, pbc: bool = True) -> Dataset:
@@ -99,3 +100,42 @@ def test_common_neighbors_of_pairs_are_those_of_bonds(spark, monkeypatch, size,
     rows = lambda d: sorted(map(tuple, d.select(*keys).collect()))
     got = rows(structure.common_neighbors(ds, 1.5))
     assert got and got == rows(b)
+
+
+_BODIES = {
+    "cfg": ["Number of particles = 60", "A = 1.0", *(f"H0({k},{k}) = 10" for k in (1, 2, 3)), ".NO_VELOCITY.", "entry_count = 4", "auxiliary[0] = charge", *(x for k in range(60) for x in (["2.5"] if k % 29 == 0 else []) + ([f"K{k // 20}"] if k % 20 == 0 else []) + [f"{k / 64} 0.5 0.25 {k}"]), ""],
+    "poscar": ["Title", "2", "5 0 0", "0 5 0", "0 0 5", "B A C", "13 40 7", "Direct", *(f"{k / 64} 0.5 0.25" for k in range(60)), "", *("0 0 0" for _ in range(60))],
+    "pdb": ["CRYST1   50.000   50.000   50.000  90.00  90.00  90.00 P 1           1", *(f"ATOM  {k:5d}  T{k % 3}  RES A{k % 7:4d}    {k / 2:8.3f}{1:8.3f}{2:8.3f}  1.00  0.00          T{k % 3}" for k in range(60)), "END", "ATOM      1  T9  RES A   1       1.000   1.000   2.000  1.00  0.00          T9", "", "END"],
+}
+
+
+@pytest.mark.parametrize("format_", list(_BODIES))
+@pytest.mark.parametrize("parts", [1, 7])
+def test_long_frames_are_read_in_parts(spark, tmp_path, format_, parts):
+    """Wherever a file is cut: kinds, weights, places and the end are told by what stands before."""
+    lines = _BODIES[format_]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "frame").write_text("\n".join(lines) + "\n")
+    folder = tmp_path / "parts" / "frame=0"
+    folder.mkdir(parents=True)
+    cuts = [0, *(12 + 9 * k for k in range(parts - 1)), len(lines)]
+    for k, (a, e) in enumerate(zip(cuts, cuts[1:])):
+        (folder / f"part-{k:05d}.txt").write_text("\n".join(lines[a:e]) + "\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, "700")
+    try:
+        got = readers.read_long_frames(spark, f"{tmp_path}/parts/*/*", format_)
+        rows = got.particles.orderBy("idx").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = readers.read_frames(spark, f"{tmp_path}/whole/*", format_)
+    assert len(rows) == 60 and rows == want.particles.select(*(f"`{c}`" for c in got.particles.columns)).orderBy("idx").collect()
+    assert got.cells.collect() == want.cells.collect() and sorted(got.types.collect()) == sorted(want.types.collect())
+
+
+def test_a_long_frame_that_breaks_off(spark, tmp_path):
+    (tmp_path / "frame").write_text("\n".join(_BODIES["cfg"][:40]) + "\n")
+    with pytest.raises(ValueError, match="of 60 particles"):
+        readers.read_long_frames(spark, f"{tmp_path}/frame", "cfg")
