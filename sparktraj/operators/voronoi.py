@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
@@ -22,6 +23,8 @@ from sparktraj.operators.neighbors import pairs, within
 
 #: Faces are counted by their number of edges, up to this one; those with more count here.
 MOST_EDGES = 12
+#: Particles whose neighbourhoods are worked on at a time; a batch from Spark has more.
+AT_ONCE = 1024
 
 
 def _clip(faces: list[tuple[int, np.ndarray]], normal: np.ndarray, limit: float, number: int, eps: float) -> list[tuple[int, np.ndarray]]:
@@ -152,14 +155,15 @@ def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: flo
     of_size = F.lit(0.0) if radii is None else F.coalesce(col(radii).cast("double"), F.lit(0.0))
     size = ds.particles.select("frame", F.col("idx").alias("j"), of_size.alias("r"))
     largest = size.agg(F.max("r")).first()[0] or 0.0 if radii is not None else 0.0
+    fields = ["j", "dx", "dy", "dz", "sx", "sy", "sz", *(["r"] if radii is not None else [])]
     n_faces = "touched array<struct<j: bigint, sx: int, sy: int, sz: int>>"
-    schema = "frame int, idx long, `Atomic Volume` double, Coordination int, " + ", ".join(f"`{n}` int" for n in names[4:]) + f", sure boolean, {n_faces}"
+    schema = "frame int, idx long, `Atomic Volume` double, Coordination int, " + ", ".join(f"`{n}` int" for n in names[4:]) + f", sure boolean, {n_faces}, x double, y double, z double, r double"
     scale = polyhedra.NUDGE * cutoff
     on_workers(ds.spark)
 
     def run_at(reach: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, len(whole), AT_ONCE)):
                 near, idx, inside = b.column("near"), b.column("idx").to_numpy(), b.column("inside").to_numpy(zero_copy_only=False)
                 if radii is None:
                     volume, index, most, sure, of, plane = _plain(near, idx, reach, scale, least_area, least_edge)
@@ -174,36 +178,44 @@ def voronoi(ds: Dataset, cutoff: float, least_area: float = 0.0, least_edge: flo
                 index[~inside], most[~inside] = 0, 0
                 touched = pa.StructArray.from_arrays([inner.field(c) for c in ("j", "sx", "sy", "sz")], ["j", "sx", "sy", "sz"]).take(pa.array(plane[order]))
                 cols = [np.where(inside, volume, 0.0), *(x.astype(np.int32) for x in (count, *index.T, most)), sure | ~inside]
-                yield pa.record_batch([b.column("frame"), b.column("idx"), *map(pa.array, cols), pa.ListArray.from_arrays(np.r_[0, np.cumsum(count)].astype(np.int32), touched)], names=[*names, "sure", "touched"])
+                yield pa.record_batch([b.column("frame"), b.column("idx"), *map(pa.array, cols), pa.ListArray.from_arrays(np.r_[0, np.cumsum(count)].astype(np.int32), touched), *map(b.column, "xyzr")], names=[*names, "sure", "touched", *"xyzr"])
 
         return run
 
-    own = size.withColumnRenamed("j", "idx").join(ds.particles.select("frame", "idx", *(col(c).alias(k) for c, k in zip(POSITION, "xyz"))), ["frame", "idx"]).join(ds.cells, "frame")
-    own = own.withColumn("walls", _walls(ds)).select("frame", "idx", "r", "walls", (~F.exists("walls", lambda w: w["dx"].isNull() | w["dy"].isNull() | w["dz"].isNull())).alias("inside"))
-    own = own.withColumn("walls", F.when(F.col("inside"), F.col("walls")).otherwise(F.slice("walls", 1, 0)))
+    def with_walls(d: DataFrame) -> DataFrame:
+        """frame, idx, x, y, z, r with the cell's walls, and whether the particle lies inside of them."""
+        d = d.join(ds.cells, "frame").withColumn("walls", F.transform(_walls(ds), lambda w: F.struct(*(w[c].alias(c) for c in fields))))
+        d = d.withColumn("inside", ~F.exists("walls", lambda w: w["dx"].isNull() | w["dy"].isNull() | w["dz"].isNull()))
+        return d.select("frame", "idx", *"xyzr", "inside", F.when(F.col("inside"), F.col("walls")).otherwise(F.slice("walls", 1, 0)).alias("walls"))
+
+    def places(d: DataFrame) -> DataFrame:
+        return d.select("frame", "idx", *(F.col(k).alias(c) for c, k in zip(POSITION, "xyz")))
+
+    own = with_walls(ds.particles.select("frame", "idx", *(col(c).cast("double").alias(k) for c, k in zip(POSITION, "xyz")), of_size.alias("r")))
     # What lies outside of the walls cuts no cells either.
-    others = ds.having(particles=ds.particles.join(own.where("inside").select("frame", "idx"), ["frame", "idx"], "left_semi").select("frame", "idx", *map(col, POSITION)))
+    others = ds.having(particles=places(own.where("inside")))
     a, b, c = g.edges()
     widest = ds.cells.agg(F.max(g.norm(a) + g.norm(b) + g.norm(c))).first()[0] or 0.0
     again, reach, parts = None, cutoff, []
     while True:
-        around = pairs(others, reach) if again is None else within(others, reach, sources=again).where("i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0")
-        around = around.withColumn("r", F.lit(0.0)) if radii is None else around.join(size, ["frame", "j"])
-        near = around.groupBy("frame", F.col("i").alias("idx")).agg(F.collect_list(F.struct("j", "dx", "dy", "dz", "sx", "sy", "sz", "r")).alias("near"))
-        rows = (own if again is None else own.join(again.select("frame", "idx"), ["frame", "idx"], "left_semi")).join(near, ["frame", "idx"], "left")
-        rows = rows.select("frame", "idx", "r", "inside", F.when(F.col("near").isNull(), F.col("walls")).otherwise(F.concat("near", "walls")).alias("near"))
+        around = pairs(others, reach) if again is None else within(others, reach, sources=places(again)).where("i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0")
+        around = around if radii is None else around.join(size, ["frame", "j"])
+        near = around.groupBy("frame", F.col("i").alias("idx")).agg(F.collect_list(F.struct(*fields)).alias("near"))
+        rows = (own if again is None else with_walls(again)).hint("merge").join(near, ["frame", "idx"], "left")
+        rows = rows.select("frame", "idx", *"xyzr", "inside", F.when(F.col("near").isNull(), F.col("walls")).otherwise(F.concat("near", "walls")).alias("near"))
         found = stage(rows.mapInArrow(run_at(reach), schema), "voronoi")
         parts.append(found.where("sure"))
-        again = others.particles.join(found.where("NOT sure").select("frame", "idx"), ["frame", "idx"], "left_semi")
+        # Places come back from the kernel, so that nothing is joined to find what is unsure.
+        again = found.where("NOT sure").select("frame", "idx", *"xyzr")
         if again.isEmpty():
             break
         if reach > 4 * (widest + cutoff):
             raise ValueError("a Voronoi cell doesn't close")
-        again, reach = stage(again, "unsure"), 1.5 * reach
+        reach = 1.5 * reach
     found = functools.reduce(lambda a, b: a.unionByName(b), parts)
     if bonds:
         ds = add_bonds(ds, found.select("frame", F.col("idx").alias("i"), F.explode("touched").alias("t")).select("frame", "i", "t.j", "t.sx", "t.sy", "t.sz"))
-    out = ds.having(particles=ds.particles.drop(*names[2:]).join(found.drop("touched", "sure"), ["frame", "idx"], "left"))
+    out = ds.having(particles=ds.particles.drop(*names[2:]).join(found.drop("touched", "sure", *"xyzr").hint("merge"), ["frame", "idx"], "left"))
     sums = found.groupBy("frame").agg(F.max("Max Face Order").cast("double").alias("most"), F.sum(col("Atomic Volume")).alias("sum"))
     sums = ds.cells.join(sums, "frame").withColumn("missing", g.volume() - F.col("sum"))
     facts = F.map_from_arrays(F.array(*map(F.lit, ("Voronoi.max_face_order", "Voronoi.volume_sum", "Voronoi.volume_missing"))), F.array("most", "sum", "missing"))
