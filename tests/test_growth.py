@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
 from sparktraj.dataset import BONDS, Dataset, box, cells_of
-from sparktraj.operators import analyze, modify, neighbors, select, structure, templates
+from sparktraj.operators import analyze, modify, neighbors, select, structure, templates, voronoi
+from sparktraj.plans.queries import _rounded
 from sparktraj.sources import readers
 
 
@@ -139,3 +140,27 @@ def test_a_long_frame_that_breaks_off(spark, tmp_path):
     (tmp_path / "frame").write_text("\n".join(_BODIES["cfg"][:40]) + "\n")
     with pytest.raises(ValueError, match="of 60 particles"):
         readers.read_long_frames(spark, f"{tmp_path}/frame", "cfg")
+
+
+def test_both_ways_of_a_pair_without_rows_of_structs(spark):
+    """Pairs are turned by choosing among columns, and rounded in doubles as SQL does."""
+    ds = cloud(spark, 80)
+    d = neighbors.pairs(ds, 1.0, carry={"p": "Position.X"})
+    assert "struct(" not in d.select("i", "j", "d2")._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.i, r.j, r.sx, r.sy, r.sz): r for r in d.collect()}
+    assert rows
+    for (i, j, *s), r in rows.items():
+        b = rows[j, i, *(-x for x in s)]
+        assert (b.dx, b.dy, b.dz, b.d2, b.p1, b.p2) == (-r.dx, -r.dy, -r.dz, r.d2, r.p2, r.p1)
+    values = [0.0, 5e-7, 4.9999e-7, 0.1234565, 0.01, -1.5e-6, 123.4567891]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(_rounded(F.col("v"), "r")).collect()
+    assert [r.r for r in got] == [float(np.copysign(np.floor(abs(v) * 1e6 + 0.5), v) / 1e6) for v in values]
+
+
+def test_cells_are_worked_on_a_few_at_a_time(spark, monkeypatch):
+    """And neither they nor what is unsure is sent to all tasks to be joined."""
+    monkeypatch.setattr(voronoi, "AT_ONCE", 3)
+    out = voronoi.voronoi(cloud(spark, 40), 1.5)
+    assert "BroadcastHashJoin" not in out.particles._jdf.queryExecution().executedPlan().toString()
+    rows = out.particles.select(F.col("`Atomic Volume`").alias("v")).collect()
+    assert len(rows) == 40 and sum(r.v for r in rows) == pytest.approx(64.0)
