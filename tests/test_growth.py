@@ -164,3 +164,21 @@ def test_cells_are_worked_on_a_few_at_a_time(spark, monkeypatch):
     assert "BroadcastHashJoin" not in out.particles._jdf.queryExecution().executedPlan().toString()
     rows = out.particles.select(F.col("`Atomic Volume`").alias("v")).collect()
     assert len(rows) == 40 and sum(r.v for r in rows) == pytest.approx(64.0)
+
+
+@pytest.mark.parametrize(("n", "cutoff"), [(12, 0.9), (14, 1.3), (14, 2.5)])
+def test_signatures_by_sets(n, cutoff):
+    """Against plain sets."""
+    v = np.random.default_rng(4).normal(size=(20, n, 3))
+    got = structure.signatures(v, np.full(20, cutoff))
+    for r, p in enumerate(v):
+        near = [{b for b in range(n) if b != a and ((p[a] - p[b]) ** 2).sum() <= cutoff**2} for a in range(n)]
+        for k in range(n):
+            links, left, most = {a: near[a] & near[k] for a in near[k]}, set(near[k]), 0
+            while left:
+                part = {left.pop()}
+                while (more := part.union(*(links[a] for a in part))) != part:
+                    part = more
+                left -= part
+                most = max(most, sum(len(links[a]) for a in part) // 2)
+            assert tuple(got[r, k]) == (len(near[k]), sum(map(len, links.values())) // 2, most)
