@@ -24,18 +24,24 @@ def _length(cutoff: float | str) -> Column:
     return F.lit(float(cutoff))
 
 
-def _binned(ds: Dataset, particles: DataFrame, cutoff: Column, carry: dict[str, str] | None = None) -> DataFrame:
-    """frame, idx, position, what ``carry`` names, cell, wraps f*, bins bin_*, number of bins n* and reach m* of each direction.  However large the box, bins are as small as the cutoff (up to 2**30 along a side)."""
+def _binned(ds: Dataset, particles: DataFrame, cutoff: Column, carry: dict[str, str] | None = None, wide: int = 1) -> DataFrame:
+    """frame, idx, position, what ``carry`` names, cell, wraps f*, bins bin_*, number of bins n*, reach m* and bins' width w* of each direction.  However large the box, bins are as small as ``wide`` cutoffs (up to 2**30 along a side).
+
+    What depends on the cell alone is worked out once for a cell, not for every particle.
+    """
     p = tuple(col(c).alias(k) for c, k in zip(POSITION, "xyz"))
-    d = particles.select("frame", "idx", *p, *(col(c).alias(f"_c_{k}") for k, c in (carry or {}).items())).join(ds.cells, "frame")
-    d = d.withColumn("_ok", F.when(g.volume() > 0, True).otherwise(F.raise_error(F.lit("a simulation cell is degenerate")).cast("boolean"))).where("_ok").drop("_ok")
-    s = g.reduced((F.col("x"), F.col("y"), F.col("z")))
     flat = (F.lit(False), F.lit(False), F.col("is2d"))
-    d = d.withColumns({f"s{k}": x for k, x in zip("xyz", s)}).withColumns({f"n{k}": F.when(two, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(2**30), F.floor(t / cutoff)))).cast("int") for k, t, two in zip("xyz", g.thickness(), flat)})
+    # A degenerate cell is an error only where it has particles.
+    cells = g.prepared(ds.cells).withColumn("_fine", F.coalesce(g.volume() > 0, F.lit(False)))
+    cells = cells.withColumns({f"_t{k}": F.when(F.col("_fine"), t) for k, t in zip("xyz", g.thickness())})
+    cells = cells.withColumns({f"n{k}": F.when(two, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(2**30), F.floor(F.col(f"_t{k}") / (wide * cutoff))))).cast("int") for k, two in zip("xyz", flat)})
+    cells = cells.withColumns({f"w{k}": F.col(f"_t{k}") / F.col(f"n{k}") for k in "xyz"})
+    cells = cells.withColumns({f"m{k}": F.when(two, 0).otherwise(F.ceil(cutoff / F.col(f"w{k}"))).cast("int") for k, two in zip("xyz", flat)})
+    d = particles.select("frame", "idx", *p, *(col(c).alias(f"_c_{k}") for k, c in (carry or {}).items())).join(cells, "frame")
+    d = d.withColumn("_ok", F.when(F.col("_fine"), True).otherwise(F.raise_error(F.lit("a simulation cell is degenerate")).cast("boolean"))).where("_ok").drop("_ok")
+    d = d.withColumns({f"s{k}": x for k, x in zip("xyz", g.reduced_here((F.col("x"), F.col("y"), F.col("z"))))})
     d = d.withColumns({f"f{k}": x for k, x in zip("xyz", g.images(tuple(F.col(f"s{k}") for k in "xyz")))})
-    bins = {f"bin_{k}": F.least(F.greatest(F.floor((F.col(f"s{k}") - F.col(f"f{k}")) * F.col(f"n{k}")), F.lit(0)), F.col(f"n{k}") - 1).cast("int") for k in "xyz"}
-    reach = {f"m{k}": F.when(two, 0).otherwise(F.ceil(cutoff / (t / F.col(f"n{k}")))).cast("int") for k, t, two in zip("xyz", g.thickness(), flat)}
-    return d.withColumns(bins | reach)
+    return d.withColumns({f"bin_{k}": F.least(F.greatest(F.floor((F.col(f"s{k}") - F.col(f"f{k}")) * F.col(f"n{k}")), F.lit(0)), F.col(f"n{k}") - 1).cast("int") for k in "xyz"})
 
 
 def within(ds: Dataset, cutoff: float | str, targets: DataFrame | None = None, sources: DataFrame | None = None, most_images: int | None = None, half: bool = False, carry: dict[str, str] | None = None) -> DataFrame:
@@ -97,6 +103,22 @@ def halos(ds: Dataset, cutoff: float) -> DataFrame:
     return d.select(*bins, "part", "idx", "hx", "hy", "hz", "kx", "ky", "kz", (F.col("_own") & (F.col("_part") == F.col("part"))).alias("own"))
 
 
+def regions(ds: Dataset, cutoff: float, wide: int) -> DataFrame:
+    """Bins of ``wide`` cutoffs with all that lies within the cutoff of them, columns as in ``halos`` without parts: a particle goes to the bins that it is near to only."""
+    d = _binned(ds, ds.particles, _length(cutoff), wide=wide)
+    for k, periodic in zip("xyz", g.periodic()):
+        along = (F.col(f"s{k}") - F.col(f"f{k}")) * F.col(f"n{k}") - F.col(f"bin_{k}")
+        d = d.withColumn(f"_a{k}", along).withColumn(f"_d{k}", F.explode(F.sequence(-F.col(f"m{k}"), F.col(f"m{k}"))))
+        away = F.when(F.col(f"_d{k}") > 0, F.col(f"_d{k}") - F.col(f"_a{k}")).when(F.col(f"_d{k}") < 0, F.col(f"_a{k}") - F.col(f"_d{k}") - 1).otherwise(0.0)
+        d = d.where(away * F.col(f"w{k}") <= cutoff * (1 + 1e-9))
+        d = d.withColumn(f"u{k}", F.floor((F.col(f"bin_{k}") + F.col(f"_d{k}")) / F.col(f"n{k}")).cast("int")).where(periodic | (F.col(f"u{k}") == 0))
+    own = (F.col("_dx") == 0) & (F.col("_dy") == 0) & (F.col("_dz") == 0)
+    whole = tuple(0 - F.col(f"u{k}") - F.col(f"f{k}") for k in "xyz")
+    seen = g.plus(tuple(F.col(k) for k in "xyz"), g.absolute_vector(whole))
+    bins = ((F.col(f"bin_{k}") + F.col(f"_d{k}") - F.col(f"u{k}") * F.col(f"n{k}")).cast("int").alias(f"bin_{k}") for k in "xyz")
+    return d.select("frame", *bins, "idx", *(v.alias(f"h{k}") for k, v in zip("xyz", seen)), *(v.cast("int").alias(f"k{k}") for k, v in zip("xyz", whole)), own.alias("own"))
+
+
 def half_pairs(ds: Dataset, cutoff: float, carry: dict[str, str] | None = None) -> DataFrame:
     """Each unordered pair within the cutoff once, in either direction; a particle with its own image too."""
     return within(ds, cutoff, half=True, carry=carry)

@@ -103,8 +103,9 @@ def _walk(v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
         other = np.concatenate([on[:, c] for *_, c in sides])
         # An edge between two new corners needs no walk, nor does one that was walked before.
         once, at, times = np.unique(key, return_index=True, return_counts=True)
-        at = at[(times == 1) & ~np.isin(once, done)]
-        done = np.union1d(done, once)
+        walked = done[np.minimum(np.searchsorted(done, once), len(done) - 1)] == once if len(done) else np.zeros(len(once), bool)
+        at = at[(times == 1) & ~walked]
+        done = np.sort(np.concatenate([done, once[~walked]]), kind="stable")
         q, a, b, c = p[which[at]], key[at] // m % m, key[at] % m, other[at]
         e = np.cross(v[q, a], v[q, b])
         e = _unit(e * np.where(np.einsum("nk,nk->n", e, v[q, c]) > 0, -1.0, 1.0)[:, None])
