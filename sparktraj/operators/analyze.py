@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktraj import geometry as g
 from sparktraj.dataset import POSITION, col, Dataset, number, on_workers, stage
+from sparktraj.operators.blocks import neighbor_sums
 from sparktraj.operators.neighbors import closest, half_pairs, pairs, within
 from sparktraj.operators.select import selected
 
@@ -210,22 +212,28 @@ def mean_square_displacement(ds: Dataset, reference_frame: int = 0) -> DataFrame
     return d.groupBy("frame").agg(F.avg(col("Displacement Magnitude") * col("Displacement Magnitude")).alias("msd"), F.count(col("Displacement Magnitude")).alias("n"))
 
 
-def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) -> Dataset:
+def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0, frames: Iterable[int] | None = None) -> Dataset:
     """Deformation gradient from the neighbours in the reference, Green strain, shear, volumetric strain and D2min.
 
-    The sums of r0 r0' and r r0' are ordinary aggregates; what is left per particle is algebra on 3x3 matrices.  In two dimensions strain
+    The sums of r0 r0' and r r0' are taken in blocks of particles (``blocks.neighbor_sums``); what is left per particle is algebra on 3x3 matrices.  In two dimensions strain
     is in the plane, the third direction stays as it is.  With fewer than three neighbours, two in two dimensions, or sums whose
-    determinants are under 1e-4, all are 0 and the particle is selected.
+    determinants are under 1e-4, all are 0 and the particle is selected.  ``frames``: of which strain is asked for, all without it; the result has these only.
     """
-    # Each frame's particles at their places in the reference, which tell pairs, with their own places beside them: sums follow right behind the join of pairs, which are neither joined to anything nor shuffled.
-    now = reference_pairs(ds, reference_frame, missing="drop").select("frame", "idx", *(col(c).alias(f"_{k}") for c, k in zip(POSITION, "xyz")), *(F.col(f"r{k}").alias(c) for c, k in zip(POSITION, "xyz")))
-    then = ds.cells.select("frame").crossJoin(ds.cells.where(F.col("frame") == reference_frame).drop("frame"))
-    d = pairs(Dataset(now, then), cutoff, carry={f"_{k}": f"_{k}" for k in "xyz"}).join(ds.cells, "frame")
-    r = g.nearest_image(tuple(F.col(f"_{k}2") - F.col(f"_{k}1") for k in "xyz"))
-    d = d.select("frame", F.col("i").alias("idx"), "is2d", *(F.col(f"d{k}").alias(f"q{k}") for k in "xyz"), *(x.alias(f"r{k}") for k, x in zip("xyz", r)))
-    q, r = [F.col(f"q{k}") for k in "xyz"], [F.col(f"r{k}") for k in "xyz"]
-    sums = [F.sum(q[m] * q[n]).alias(f"v{m}{n}") for m in range(3) for n in range(3)] + [F.sum(r[m] * q[n]).alias(f"w{m}{n}") for m in range(3) for n in range(3)]
-    s = d.groupBy("frame", "idx").agg(F.count("*").alias("n"), F.first("is2d").alias("flat"), F.sum(r[0] * r[0] + r[1] * r[1] + r[2] * r[2]).alias("rr"), *sums)
+    # Each frame's particles at their places in the reference, which tell pairs, with their own places, in units of their frame's cell, beside them.
+    asked = ds if frames is None else ds.frames(frames)
+    now = reference_pairs(ds if frames is None else ds.frames({reference_frame, *frames}), reference_frame, missing="drop")
+    now = now if frames is None else now.where(F.col("frame").isin(*frames))
+    flags = sum((F.when(p, 1 << k).otherwise(0) for k, p in enumerate(g.periodic())), F.lit(0)).cast("int")
+    now = now.join(g.prepared(ds.cells), "frame").select("frame", "idx", flags.alias("_periodic"), *(s.alias(f"_u{k}") for k, s in enumerate(g.reduced_here(tuple(map(col, POSITION))))), *(F.col(f"r{k}").alias(c) for c, k in zip(POSITION, "xyz")))
+    then = asked.cells.select("frame").crossJoin(ds.cells.where(F.col("frame") == reference_frame).drop("frame"))
+    s = neighbor_sums(Dataset(now, then), cutoff, ("_u0", "_u1", "_u2"), "_periodic").join(ds.cells, "frame")
+    # The edges as columns of a matrix; in a flat cell the third unit is the length itself.
+    edge = [[F.when(F.col("is2d"), float(m == n)).otherwise(c) if 2 in (m, n) else c for n, c in enumerate(row)] for m, row in enumerate(zip(*g.edges()))]
+    three = lambda t: t(0) + t(1) + t(2)
+    sums = {f"v{m}{n}": F.col(f"qq{min(m, n)}{max(m, n)}") for m in range(3) for n in range(3)}
+    sums |= {f"w{m}{n}": three(lambda k: edge[m][k] * F.col(f"uq{k}{n}")) for m in range(3) for n in range(3)}
+    rr = three(lambda m: three(lambda k: three(lambda n: edge[m][k] * edge[m][n] * F.col(f"uu{min(k, n)}{max(k, n)}"))))
+    s = s.select("frame", "idx", "n", F.col("is2d").alias("flat"), rr.alias("rr"), *(x.alias(c) for c, x in sums.items()))
     out_of_plane = [(m, n) for m in range(3) for n in range(3) if 2 in (m, n)]
     s = s.withColumns({f"{x}{m}{n}": F.when(F.col("flat"), float(m == n)).otherwise(F.col(f"{x}{m}{n}")) for x in "vw" for m, n in out_of_plane})
     v, w = ([[F.col(f"{x}{m}{n}") for n in range(3)] for m in range(3)] for x in "vw")
@@ -244,9 +252,9 @@ def atomic_strain(ds: Dataset, cutoff: float = 3.0, reference_frame: int = 0) ->
     new = {"Shear Strain": shear, "Volumetric Strain": (e["xx"] + e["yy"] + e["zz"]) / 3, "Nonaffine Squared Displacement": F.greatest(F.lit(0.0), F.col("rr") - fit)}
     new |= {f"Strain.{k.upper()}": x for k, x in e.items()} | {f"Deformation Gradient.{m + 1}{n + 1}": F.col(f"f{m}{n}") for n in range(3) for m in range(3)}
     s = s.select("frame", "idx", F.col("ok").alias("_ok"), *(F.when(F.col("ok"), x).otherwise(0.0).alias(c) for c, x in new.items()))
-    kept = ds.particles.select(*(col(c) for c in ds.particles.columns if c not in new and c != "Selection"))
+    kept = asked.particles.select(*(col(c) for c in ds.particles.columns if c not in new and c != "Selection"))
     out = kept.join(s, ["frame", "idx"], "left").withColumn("Selection", (~F.coalesce("_ok", F.lit(False))).cast("int")).drop("_ok")
-    out = ds.having(particles=out.withColumns({c: F.coalesce(col(c), F.lit(0.0)) for c in new}))
+    out = asked.having(particles=out.withColumns({c: F.coalesce(col(c), F.lit(0.0)) for c in new}))
     return out.count_attribute("AtomicStrain.invalid_particle_count", F.col("Selection") != 0)
 
 

@@ -103,9 +103,8 @@ def halos(ds: Dataset, cutoff: float) -> DataFrame:
     return d.select(*bins, "part", "idx", "hx", "hy", "hz", "kx", "ky", "kz", (F.col("_own") & (F.col("_part") == F.col("part"))).alias("own"))
 
 
-def regions(ds: Dataset, cutoff: float, wide: int) -> DataFrame:
-    """Bins of ``wide`` cutoffs with all that lies within the cutoff of them, columns as in ``halos`` without parts: a particle goes to the bins that it is near to only."""
-    d = _binned(ds, ds.particles, _length(cutoff), wide=wide)
+def reached(d: DataFrame, cutoff: float) -> tuple[DataFrame, list[Column], g.Vector, Column]:
+    """Particles with bins, once for each bin that they are near to: the rows, columns of the bin's bin_*, the whole cells from it to the particle as it is, and whether the particle is the bin's own."""
     for k, periodic in zip("xyz", g.periodic()):
         along = (F.col(f"s{k}") - F.col(f"f{k}")) * F.col(f"n{k}") - F.col(f"bin_{k}")
         d = d.withColumn(f"_a{k}", along).withColumn(f"_d{k}", F.explode(F.sequence(-F.col(f"m{k}"), F.col(f"m{k}"))))
@@ -114,8 +113,14 @@ def regions(ds: Dataset, cutoff: float, wide: int) -> DataFrame:
         d = d.withColumn(f"u{k}", F.floor((F.col(f"bin_{k}") + F.col(f"_d{k}")) / F.col(f"n{k}")).cast("int")).where(periodic | (F.col(f"u{k}") == 0))
     own = (F.col("_dx") == 0) & (F.col("_dy") == 0) & (F.col("_dz") == 0)
     whole = tuple(0 - F.col(f"u{k}") - F.col(f"f{k}") for k in "xyz")
+    bins = [(F.col(f"bin_{k}") + F.col(f"_d{k}") - F.col(f"u{k}") * F.col(f"n{k}")).cast("int").alias(f"bin_{k}") for k in "xyz"]
+    return d, bins, whole, own
+
+
+def regions(ds: Dataset, cutoff: float, wide: int) -> DataFrame:
+    """Bins of ``wide`` cutoffs with all that lies within the cutoff of them, columns as in ``halos`` without parts: a particle goes to the bins that it is near to only."""
+    d, bins, whole, own = reached(_binned(ds, ds.particles, _length(cutoff), wide=wide), cutoff)
     seen = g.plus(tuple(F.col(k) for k in "xyz"), g.absolute_vector(whole))
-    bins = ((F.col(f"bin_{k}") + F.col(f"_d{k}") - F.col(f"u{k}") * F.col(f"n{k}")).cast("int").alias(f"bin_{k}") for k in "xyz")
     return d.select("frame", *bins, "idx", *(v.alias(f"h{k}") for k, v in zip("xyz", seen)), *(v.cast("int").alias(f"k{k}") for k, v in zip("xyz", whole)), own.alias("own"))
 
 
