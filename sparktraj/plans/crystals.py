@@ -186,7 +186,7 @@ def atomic_strain_2d(spark, sf_dir):
     flat = ds.particles.withColumn("Position.Z", F.lit(0.0))
     both = flat.unionByName(flat.withColumn("frame", F.lit(1)).withColumn("Position.Y", col("Position.Y") * 1.05))
     both = Dataset(both, cells_of(spark, [box(k, (1, 1, 1), (-0.5, -0.5, -0.5), (False,) * 3, is2d=True) for k in (0, 1)]))
-    d = analyze.atomic_strain(both, 0.1, 0).particles.where("frame = 1")
+    d = analyze.atomic_strain(both, 0.1, 0, frames=[1]).particles.where("frame = 1")
     return d.select(F.col("idx").alias("id"), _r("Volumetric Strain", "volumetric", 5), col("Selection").alias("invalid"))
 
 
